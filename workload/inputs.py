@@ -145,7 +145,7 @@ def seed_doc_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
         for j in range(N_SEEDS)
     ]
     rows = cells(spark, sf_dir).join(F.broadcast(labels), "word")
-    weights = rows.groupBy("doc_id").agg(F.transform(F.array(*sums), lambda x: F.round(x, 6)).alias("f"))
+    weights = rows.groupBy("doc_id").agg(F.transform(F.array(*sums), lambda x: F.round(x, 12)).alias("f"))
     return stage(with_all_documents(corpus(spark, sf_dir), weights, N_SEEDS), "seed-doc-topics")
 
 
