@@ -1,16 +1,23 @@
 """Non-negative matrix factorisation of a long table ``(doc_id, word, value)``.
 
 X ≈ W·H with Frobenius loss, an elastic-net penalty on both factors and cyclic coordinate descent.
-W is ``(doc_id, f array<double>)``, H is ``(word, f array<double>)``. A half-sweep is one join, one
-grouped sum and one row-local update; only k×k numbers reach the driver. X is hash-partitioned by
-document once and stays where it is: per sweep the shuffles carry factor rows and per-word partial
-sums, not cells.
+W is ``(doc_id, f array<double>)``, H is ``(word, f array<double>)``. X is hash-partitioned by
+document once and stays on its executors; a sweep moves factor rows and per-word partial sums.
+
+How H reaches the cells depends on its measured size:
+
+* within the limit (``HeldCells``): H is broadcast, and one pass over X per sweep updates each
+  document's weights and adds up its part of XᵀW per task;
+* beyond it (``JoinedCells``): H is a distributed table, and a half-sweep is one join (rows of
+  frequent words split), one grouped sum and one row-local update.
+
+Both give the same factors up to the order of floating-point sums.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.functions.columns import dominant, dot, total, zeros
+from topicloom.functions.descent import Rows, as_lists, as_matrix, coordinate_pass
 from topicloom.plans import staging
 from topicloom.plans.staging import cut, hot_keys, lookup_join, split_hot_join
 
@@ -34,65 +42,246 @@ class Factors:
     h: DataFrame
     k: int
     sweeps: int
-    objective: list[float]
+    objective: list[float] = field(default_factory=list)
 
 
-def _sums(k: int) -> Column:
-    """Σ value·f, element by element, for the rows of a group."""
-    return F.array(*[F.sum(F.col("value") * F.col("f")[j]) for j in range(k)]).alias("b")
+@dataclass
+class Penalty:
+    l1: float
+    l2: float
 
+    @classmethod
+    def of(cls, alpha: float, l1_ratio: float) -> Penalty:
+        return cls(alpha * l1_ratio, alpha * (1 - l1_ratio))
+
+    def on(self, g: np.ndarray) -> np.ndarray:
+        return g + self.l2 * np.eye(len(g))
+
+
+# --- placing X ----------------------------------------------------------------------------------
 
-@dataclass
-class Cells:
-    """X placed for the sweeps, and how its rows meet a per-word factor.
 
-    ``hot`` is None while the factor is small enough to broadcast; beyond that it lists the words
-    whose rows are split in the shuffle join.
+def place(x: DataFrame, k: int, limit: int | None = None) -> HeldCells | JoinedCells:
+    """X partitioned by document for repeated passes with factors of up to k numbers per word.
+
+    The rows come from staged tables, so a lost executor's part is read again from there.
     """
+    spark = x.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    x = x.select("doc_id", "word", F.col("value").cast("double").alias("value"))
+    words = staging.stage(x.select("word").distinct(), "words")
+    size = words.agg(F.sum(F.octet_length("word") + 8 * k + 64)).first()[0] or 0
+    if size > (staging.BROADCAST_BYTES if limit is None else limit):
+        placed = x.repartition(parts, "doc_id").persist(StorageLevel.MEMORY_AND_DISK)
+        return JoinedCells(placed, hot_keys(placed, "word"))
+    names = sorted(row["word"] for row in words.collect())  # measured above
+    numbered = spark.createDataFrame(list(enumerate(names)), "term int, word string")
+    # one row per document; a document's own cells are all that is gathered
+    packed = (
+        x.join(F.broadcast(numbered), "word")
+        .repartition(parts, "doc_id")
+        .groupBy("doc_id")
+        .agg(F.collect_list(F.struct("term", "value")).alias("cells"))
+        .select("doc_id", F.col("cells.term").alias("terms"), F.col("cells.value").alias("values"))
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    )
+    return HeldCells(packed, names)
+
+
+class HeldCells:
+    """X as one row of (terms, values) per document; per-word factors are driver-side matrices."""
+
+    def __init__(self, x: DataFrame, names: list[str]) -> None:
+        self.x, self.names = x, names
+        self.doc_type = x.schema["doc_id"].dataType.simpleString()
+
+    def documents(self) -> DataFrame:
+        return self.x.select("doc_id")
+
+    def words(self) -> DataFrame:
+        return self.frame(np.zeros((len(self.names), 0))).select("word")
+
+    def release(self) -> None:
+        self.x.unpersist()
+
+    def frame(self, h: np.ndarray) -> DataFrame:
+        """Matrix -> ``(word, f)``."""
+        table = pa.table({"word": pa.array(self.names, pa.string()), "f": as_lists(h)})
+        return self.x.sparkSession.createDataFrame(table)
+
+    def matrix(self, h: DataFrame, k: int) -> np.ndarray:
+        """``(word, f)`` -> matrix, zero rows for words it lacks."""
+        place = {word: i for i, word in enumerate(self.names)}
+        found = h.join(F.broadcast(self.words()), "word", "left_semi").select("word", "f").toArrow()
+        result = np.zeros((len(self.names), k))
+        if found.num_rows:
+            rows = [place[word] for word in found.column("word").to_pylist()]
+            result[rows] = as_matrix(found.column("f").combine_chunks(), k)
+        return result
+
+    def _added(self, rows: DataFrame, size: int, k: int) -> np.ndarray:
+        """Sum ``(term, f)`` rows of all tasks into a matrix."""
+        sums = F.array(*[F.sum(F.col("f")[j]) for j in range(k)]).alias("f")
+        found = rows.groupBy("term").agg(sums).toArrow()  # one row per word
+        result = np.zeros((size, k))
+        if found.num_rows:
+            result[found.column("term").to_numpy()] = as_matrix(found.column("f").combine_chunks(), k)
+        return result
+
+    def times_transposed(self, v: np.ndarray) -> np.ndarray:
+        """XᵀX·v in one pass."""
+        held = self.x.sparkSession.sparkContext.broadcast(v)
+
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            factor = held.value
+            found = np.zeros_like(factor)
+            for batch in batches:
+                rows = Rows(batch)
+                rows.add_transposed(rows.times(factor), found)
+            yield _terms(found)
+
+        try:
+            rows = self.x.mapInArrow(partial, "term int, f array<double>")
+            return self._added(rows, *v.shape)
+        finally:
+            held.destroy()
+
+    def project(self, v: np.ndarray) -> DataFrame:
+        """``(doc_id, f)``: X·v."""
+        held = self.x.sparkSession.sparkContext.broadcast(v)
+
+        def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                weights = as_lists(Rows(batch).times(held.value))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), weights], ["doc_id", "f"])
+
+        return cut(self.x.mapInArrow(product, f"doc_id {self.doc_type}, f array<double>"))
+
+    def sweep(
+        self, w: DataFrame, h: np.ndarray, penalty: Penalty
+    ) -> tuple[DataFrame, np.ndarray, float, float]:
+        """W with H fixed, then H with W fixed: (W, H, violation, fit part of the objective)."""
+        k = h.shape[1]
+        held = self.x.sparkSession.sparkContext.broadcast((h, penalty.on(h.T @ h)))
+        l1 = penalty.l1
+
+        def half(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            factor, g = held.value
+            # rows after the words': WᵀW, then (violation, mass) in the first column
+            found = np.zeros((len(factor) + k + 2, k))
+            for batch in batches:
+                rows, f = Rows(batch), as_matrix(batch.column("f"), k).copy()
+                violation = coordinate_pass(f, rows.times(factor) - l1, g)
+                rows.add_transposed(f, found[: len(factor)])
+                found[len(factor) : -2] += f.T @ f
+                found[-2:, 0] += violation.sum(), f.sum()
+                empty = pa.nulls(batch.num_rows, pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), empty, as_lists(f)], ["doc_id", "term", "f"]
+                )
+            sums = _terms(found)
+            no_doc = pa.nulls(sums.num_rows, doc_type)
+            yield pa.RecordBatch.from_arrays([no_doc, *sums.columns], ["doc_id", "term", "f"])
+
+        doc_type = pa.string() if self.doc_type == "string" else _arrow_type(self.doc_type)
+        joined = self.x.join(w.hint("shuffle_hash"), "doc_id", "full_outer").select(
+            "doc_id",
+            F.coalesce("terms", F.array().cast("array<int>")).alias("terms"),
+            F.coalesce("values", F.array().cast("array<double>")).alias("values"),
+            F.coalesce("f", zeros(k)).alias("f"),
+        )
+        out = cut(joined.mapInArrow(half, f"doc_id {self.doc_type}, term int, f array<double>"))
+        held.destroy()
+        n = len(h)
+        sums = self._added(out.filter("term is not null"), n + k + 2, k)
+        a, g_w = sums[:n], sums[n : n + k]
+        moved, mass = sums[-2, 0], sums[-1, 0]
+        h = h.copy()
+        moved += coordinate_pass(h, a - l1, penalty.on(g_w)).sum()
+        g_h = h.T @ h
+        fit = float(np.sum(g_w * g_h)) / 2 - float(np.sum(h * a)) + l1 * (mass + float(h.sum()))
+        fit += penalty.l2 / 2 * float(np.trace(g_w) + np.trace(g_h))
+        return out.filter("term is null").select("doc_id", "f"), h, float(moved), fit
+
+    def norm2(self) -> float:
+        squares = F.sum(F.aggregate("values", F.lit(0.0), lambda acc, v: acc + v * v))
+        return self.x.agg(squares).first()[0] or 0.0
+
+
+def _terms(found: np.ndarray) -> pa.RecordBatch:
+    """Rows of a matrix that are not all zero, as (term, f)."""
+    used = np.flatnonzero(found.any(axis=1))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(used, pa.int32()), as_lists(found[used])], ["term", "f"]
+    )
 
-    x: DataFrame
-    hot: DataFrame | None
 
-    def with_words(self, h: DataFrame) -> DataFrame:
-        h = h.select("word", "f")
-        if self.hot is None:
-            return self.x.join(F.broadcast(h), "word")
-        return split_hot_join(self.x, h, "word", hot=self.hot)
+def _arrow_type(name: str) -> pa.DataType:
+    return {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16()}[name]
 
 
-def times_words(cells: Cells, h: DataFrame, k: int) -> DataFrame:
-    """``(doc_id, b)``: X times a per-word factor."""
-    return cells.with_words(h).groupBy("doc_id").agg(_sums(k))
+class JoinedCells:
+    """X as a long table; per-word factors are tables, joined with the rows of hot words split."""
 
+    def __init__(self, x: DataFrame, hot: DataFrame) -> None:
+        self.x, self.hot = x, hot
 
-def times_docs(cells: Cells, w: DataFrame, k: int) -> DataFrame:
-    """``(word, b)``: transposed X times a per-document factor."""
-    weights = w.select("doc_id", "f").hint("shuffle_hash")
-    return cells.x.join(weights, "doc_id").groupBy("word").agg(_sums(k))
+    def documents(self) -> DataFrame:
+        return self.x.select("doc_id").distinct()
 
+    def words(self) -> DataFrame:
+        return self.x.select("word").distinct()
 
-def _matrix(column: pa.Array, k: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+    def release(self) -> None:
+        self.x.unpersist()
 
+    def times_words(self, h: DataFrame, k: int) -> DataFrame:
+        """``(doc_id, b)``: X times a per-word factor."""
+        joined = split_hot_join(self.x, h.select("word", "f"), "word", hot=self.hot)
+        return joined.groupBy("doc_id").agg(_sums(k))
 
-def _lists(matrix: np.ndarray) -> pa.Array:
-    rows, k = matrix.shape
-    return pa.ListArray.from_arrays(
-        pa.array(np.arange(0, (rows + 1) * k, k), pa.int32()), pa.array(matrix.ravel())
-    )
+    def times_docs(self, w: DataFrame, k: int) -> DataFrame:
+        """``(word, b)``: transposed X times a per-document factor."""
+        weights = w.select("doc_id", "f").hint("shuffle_hash")
+        return self.x.join(weights, "doc_id").groupBy("word").agg(_sums(k))
+
+    def sweep(
+        self, w: DataFrame, h: DataFrame, g_h: np.ndarray, penalty: Penalty, k: int
+    ) -> tuple[DataFrame, DataFrame, np.ndarray, float, float]:
+        """W with H fixed, then H with W fixed: (W, H, HᵀH, violation, fit part of the objective)."""
+        w = _half_sweep(w, self.times_words(h, k), "doc_id", g_h, penalty)
+        g_w, moved_w = gram(w, k)
+        b = self.times_docs(w, k)
+        h = _half_sweep(h, b, "word", g_w, penalty)
+        g_h, moved_h = gram(h, k)
+        mass = lambda t: F.sum(total(F.col("f")))
+        row = h.agg(F.sum(dot(F.col("f"), F.col("b"))).alias("cross"), mass(h).alias("mass")).first()
+        mass_w = w.agg(mass(w)).first()[0] or 0.0
+        fit = float(np.sum(g_w * g_h)) / 2 - (row["cross"] or 0.0)
+        fit += penalty.l1 * (mass_w + (row["mass"] or 0.0))
+        fit += penalty.l2 / 2 * float(np.trace(g_w) + np.trace(g_h))
+        return w, h, g_h, moved_w + moved_h, fit
+
+    def norm2(self) -> float:
+        return self.x.agg(F.sum(F.col("value") * F.col("value"))).first()[0] or 0.0
+
+
+def _sums(k: int) -> Column:
+    """Σ value·f, element by element, for the rows of a group."""
+    return F.array(*[F.sum(F.col("value") * F.col("f")[j]) for j in range(k)]).alias("b")
 
 
 def gram(factor: DataFrame, k: int) -> tuple[np.ndarray, float]:
     """fᵀ·f of a factor and the sum of its ``violation`` column, added up per task first."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, violation = np.zeros((k, k)), 0.0
+        added, violation = np.zeros((k, k)), 0.0
         for batch in batches:
-            rows = _matrix(batch.column("f"), k)
-            total += rows.T @ rows
+            rows = as_matrix(batch.column("f"), k)
+            added += rows.T @ rows
             violation += float(np.sum(batch.column("violation").to_numpy(zero_copy_only=False)))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(k * k + 1)), pa.array(np.append(total.ravel(), violation))],
+            [pa.array(np.arange(k * k + 1)), pa.array(np.append(added.ravel(), violation))],
             ["cell", "x"],
         )
 
@@ -111,70 +300,30 @@ def gram(factor: DataFrame, k: int) -> tuple[np.ndarray, float]:
     return flat[:-1].reshape(k, k), float(flat[-1])
 
 
-def coordinate_step(g: np.ndarray, l1: float, l2: float) -> Callable[[Column, Column], Column]:
+def coordinate_step(g: np.ndarray, l1: float) -> Callable[[Column, Column], Column]:
     """Column function (f, b) -> struct(f, violation): one cyclic pass over the k coordinates."""
     k = len(g)
-    g = g + l2 * np.eye(k)
 
     @F.arrow_udf("struct<f: array<double>, violation: double>")
     def step(f: pa.Array, b: pa.Array) -> pa.Array:
-        rows, target = _matrix(f, k).copy(), _matrix(b, k) - l1
-        violation = _pass(rows, target, g)
-        return pa.StructArray.from_arrays([_lists(rows), pa.array(violation)], ["f", "violation"])
+        rows = as_matrix(f, k).copy()
+        violation = coordinate_pass(rows, as_matrix(b, k) - l1, g)
+        return pa.StructArray.from_arrays([as_lists(rows), pa.array(violation)], ["f", "violation"])
 
     return step
 
 
-def _pass(rows: np.ndarray, target: np.ndarray, g: np.ndarray) -> np.ndarray:
-    """Update every row in place, coordinate by coordinate; returns the projected-gradient sums."""
-    violation = np.zeros(len(rows))
-    for t in range(len(g)):
-        slope = rows @ g[:, t] - target[:, t]
-        violation += np.abs(np.where(rows[:, t] == 0, np.minimum(slope, 0), slope))
-        if g[t, t] != 0:
-            rows[:, t] = np.maximum(rows[:, t] - slope / g[t, t], 0)
-    return violation
-
-
-def _half_sweep(
-    old: DataFrame, b: DataFrame, key: str, g: np.ndarray, l1: float, l2: float, k: int
-) -> DataFrame:
+def _half_sweep(old: DataFrame, b: DataFrame, key: str, g: np.ndarray, penalty: Penalty) -> DataFrame:
     """Move every row of ``old`` once; rows without cells have b = 0."""
-    step = coordinate_step(g, l1, l2)
-    moved = old.select(key, "f").join(b.hint("shuffle_hash"), key, "left").select(
-        key, step(F.col("f"), F.coalesce("b", zeros(k))).alias("s")
-    )
-    return cut(moved.select(key, "s.f", "s.violation"))
-
-
-def place(x: DataFrame, k: int, limit: int | None = None) -> Cells:
-    """X hash-partitioned by document and kept on the executors for the sweeps.
-
-    The rows come from a staged table, so a lost executor's part is read again from there.
-    A per-word factor of k numbers is broadcast only if it measures within ``limit`` bytes.
-    """
-    parts = int(x.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = (
-        x.select("doc_id", "word", F.col("value").cast("double").alias("value"))
-        .repartition(parts, "doc_id")
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    step = coordinate_step(penalty.on(g), penalty.l1)
+    joined = old.select(key, "f").join(b.hint("shuffle_hash"), key, "left")
+    moved = joined.select(key, "f", F.coalesce("b", zeros(len(g))).alias("b")).select(
+        key, "b", step(F.col("f"), F.col("b")).alias("s")
     )
-    words = placed.select("word").distinct()
-    size = words.agg(F.sum(F.octet_length("word") + 8 * k + 64)).first()[0] or 0
-    fits = size <= (staging.BROADCAST_BYTES if limit is None else limit)
-    return Cells(placed, None if fits else hot_keys(placed, "word"))
+    return cut(moved.select(key, "b", "s.f", "s.violation"))
 
 
-def objective(
-    cells: Cells, w: DataFrame, h: DataFrame, g_w: np.ndarray, g_h: np.ndarray, k: int, l1: float,
-    l2: float,
-) -> float:
-    """½‖X−WH‖² + l1·(ΣW+ΣH) + ½·l2·(‖W‖²+‖H‖²), from k×k products and per-word sums."""
-    norm2 = cells.x.agg(F.sum(F.col("value") * F.col("value"))).first()[0] or 0.0
-    cross = h.join(times_docs(cells, w, k), "word").agg(F.sum(dot(F.col("f"), F.col("b")))).first()[0]
-    mass = sum(part.agg(F.sum(total(F.col("f")))).first()[0] or 0.0 for part in (w, h))
-    fit = norm2 / 2 - (cross or 0.0) + float(np.sum(g_w * g_h)) / 2
-    return fit + l1 * mass + l2 / 2 * float(np.trace(g_w) + np.trace(g_h))
+# --- fitting and applying ------------------------------------------------------------------------
 
 
 def nmf_fit(
@@ -186,39 +335,47 @@ def nmf_fit(
     tol: float = 1e-4,
     init: tuple[DataFrame, DataFrame] | None = None,
     track_objective: bool = False,
+    limit: int | None = None,
 ) -> Factors:
     """Factorise X into k topics, starting from ``init`` = (W, H) or the NNDSVD factors.
 
     Each sweep updates W with H fixed, then H with W fixed. It stops after ``max_iter`` sweeps or
-    when the summed projected gradient falls to ``tol`` of the first sweep's.
+    when the summed projected gradient falls to ``tol`` of the first sweep's. ``limit`` is the
+    largest H in bytes that is broadcast. With ``track_objective`` the penalised loss
+    ½‖X−WH‖² + l1·(ΣW+ΣH) + ½·l2·(‖W‖²+‖H‖²) after each sweep is returned as well.
     """
-    l1, l2 = alpha * l1_ratio, alpha * (1 - l1_ratio)
-    cells = place(x, k + SVD_EXTRA)
+    penalty = Penalty.of(alpha, l1_ratio)
+    cells = place(x, k + SVD_EXTRA, limit)
     try:
         w, h = init if init is not None else _nndsvd(cells, k)
-        w, h = cut(_covering(cells.x, w, "doc_id", k)), cut(_covering(cells.x, h, "word", k))
-        g_h, _ = gram(h, k)
+        w = cut(_covering(cells.documents(), w, "doc_id", k))
+        if isinstance(cells, HeldCells):
+            h = cells.matrix(h, k)
+        else:
+            h = cut(_covering(cells.words(), h, "word", k))
+            g_h, _ = gram(h, k)
+        half_norm = cells.norm2() / 2 if track_objective else 0.0
         first, sweeps, history = None, 0, []
         for sweeps in range(1, max_iter + 1):
-            w = _half_sweep(w, times_words(cells, h, k), "doc_id", g_h, l1, l2, k)
-            g_w, moved_w = gram(w, k)
-            h = _half_sweep(h, times_docs(cells, w, k), "word", g_w, l1, l2, k)
-            g_h, moved_h = gram(h, k)
+            if isinstance(cells, HeldCells):
+                w, h, moved, fit = cells.sweep(w, h, penalty)
+            else:
+                w, h, g_h, moved, fit = cells.sweep(w, h, g_h, penalty, k)
             if track_objective:
-                history.append(objective(cells, w, h, g_w, g_h, k, l1, l2))
-            moved = moved_w + moved_h
+                history.append(half_norm + fit)
             first = moved if first is None else first
             if first == 0 or moved / first <= tol:
                 break
-        return Factors(w.select("doc_id", "f"), h.select("word", "f"), k, sweeps, history)
+        h = cells.frame(h) if isinstance(cells, HeldCells) else h.select("word", "f")
+        return Factors(w.select("doc_id", "f"), h, k, sweeps, history)
     finally:
-        cells.x.unpersist()
+        cells.release()
 
 
-def _covering(x: DataFrame, factor: DataFrame, key: str, k: int) -> DataFrame:
-    """The factor's rows plus a zero row for every key of X it lacks."""
+def _covering(keys: DataFrame, factor: DataFrame, key: str, k: int) -> DataFrame:
+    """The factor's rows plus a zero row for every key it lacks."""
     have = factor.select(key, "f")
-    missing = x.select(key).distinct().join(have, key, "left_anti").select(key, zeros(k).alias("f"))
+    missing = keys.join(have, key, "left_anti").select(key, zeros(k).alias("f"))
     return have.union(missing)
 
 
@@ -236,26 +393,25 @@ def nmf_transform(
     One pass over X gives X·Hᵀ; the coordinate sweeps that follow are local to each document, which
     stops on its own once its projected gradient falls to ``tol`` of its first sweep's.
     """
-    l1, l2 = alpha * l1_ratio, alpha * (1 - l1_ratio)
-    g_h, _ = gram(h, k)
-    g = g_h + l2 * np.eye(k)
+    penalty = Penalty.of(alpha, l1_ratio)
+    g, l1 = penalty.on(gram(h, k)[0]), penalty.l1
 
     @F.arrow_udf("array<double>")
     def solve(b: pa.Array) -> pa.Array:
-        target = _matrix(b, k) - l1
+        target = as_matrix(b, k) - l1
         rows = np.zeros_like(target)
         active = np.arange(len(rows))
         first = None
         for _ in range(max_iter):
             part = rows[active]
-            violation = _pass(part, target[active], g)
+            violation = coordinate_pass(part, target[active], g)
             rows[active] = part
             first = violation if first is None else first
             going = violation > tol * first
             active, first = active[going], first[going]
             if not len(active):
                 break
-        return _lists(rows)
+        return as_lists(rows)
 
     weighted = lookup_join(x, h.select("word", "f"), "word").groupBy("doc_id").agg(_sums(k))
     return weighted.select("doc_id", solve("b").alias("f"))
@@ -264,10 +420,8 @@ def nmf_transform(
 def doc_topics(docs: DataFrame, weights: DataFrame, k: int) -> DataFrame:
     """``(doc_id, topics, dominant_topic)`` for all documents; those without cells have zeros."""
     topics = F.coalesce("f", zeros(k)).alias("topics")
-    return (
-        docs.select("doc_id").join(weights, "doc_id", "left").select("doc_id", topics)
-        .withColumn("dominant_topic", dominant(F.col("topics")))
-    )
+    joined = docs.select("doc_id").join(weights, "doc_id", "left").select("doc_id", topics)
+    return joined.withColumn("dominant_topic", dominant(F.col("topics")))
 
 
 def topic_word(h: DataFrame) -> DataFrame:
@@ -277,32 +431,39 @@ def topic_word(h: DataFrame) -> DataFrame:
     )
 
 
-# --- starting factors -------------------------------------------------------------------------
+# --- starting factors ----------------------------------------------------------------------------
 
 
 def truncated_svd(
-    cells: Cells, k: int, power_steps: int = 7
+    cells: HeldCells | JoinedCells, k: int, power_steps: int = 7
 ) -> tuple[np.ndarray, DataFrame, DataFrame]:
     """``(s, U, V)``: the k leading singular triplets by subspace iteration.
 
-    V starts from pseudo-random numbers derived from each word. A step multiplies by XᵀX (two
-    grouped sums) and orthonormalises through the small Gram matrix. U and V are
-    ``(doc_id, f)`` and ``(word, f)``.
+    V starts from pseudo-random numbers derived from each word. A step multiplies by XᵀX and
+    orthonormalises through the small Gram matrix. U and V are ``(doc_id, f)`` and ``(word, f)``.
     """
-    words = cut(cells.x.select("word").distinct())
+    words = cut(cells.words())
     p = min(k + SVD_EXTRA, words.count())
     # uniform in (-1, 1) from a hash of (word, column)
     start = F.transform(
         F.sequence(F.lit(0), F.lit(p - 1)),
         lambda j: F.pmod(F.xxhash64("word", j), F.lit(2**31)) / F.lit(float(2**30)) - 1.0,
     )
-    v = _orthonormal(cut(words.select("word", start.alias("f"))), p)
-    for _ in range(power_steps):
-        y = times_words(cells, v, p).withColumnRenamed("b", "f")
-        v = _orthonormal(cut(times_docs(cells, y, p).withColumnRenamed("b", "f")), p)
-    y = cut(times_words(cells, v, p).withColumnRenamed("b", "f"))
-    small, _ = gram(y, p)
-    values, rotate = np.linalg.eigh(small)
+    v = words.select("word", start.alias("f"))
+    if isinstance(cells, HeldCells):
+        basis = cells.matrix(v, p)
+        basis = basis @ _whitener(basis.T @ basis)
+        for _ in range(power_steps):
+            basis = cells.times_transposed(basis)
+            basis = basis @ _whitener(basis.T @ basis)
+        y, v = cells.project(basis), cells.frame(basis)
+    else:
+        v = _orthonormal(cut(v), p)
+        for _ in range(power_steps):
+            y = cells.times_words(v, p).withColumnRenamed("b", "f")
+            v = _orthonormal(cut(cells.times_docs(y, p).withColumnRenamed("b", "f")), p)
+        y = cut(cells.times_words(v, p).withColumnRenamed("b", "f"))
+    values, rotate = np.linalg.eigh(gram(y, p)[0])
     order = np.argsort(-values)[:k]
     s = np.sqrt(np.maximum(values[order], 0))
     rotate = rotate[:, order]
@@ -317,37 +478,44 @@ def _times(rows: DataFrame, matrix: np.ndarray, key: str) -> DataFrame:
 
     @F.arrow_udf("array<double>")
     def product(f: pa.Array) -> pa.Array:
-        return _lists(np.ascontiguousarray(_matrix(f, p) @ matrix))
+        return as_lists(np.ascontiguousarray(as_matrix(f, p) @ matrix))
 
     return rows.select(key, product("f").alias("f"))
 
 
-def _orthonormal(v: DataFrame, p: int) -> DataFrame:
-    """Columns of a tall factor made orthonormal with the eigenvectors of its Gram matrix."""
-    small, _ = gram(v, p)
+def _whitener(small: np.ndarray) -> np.ndarray:
+    """Small matrix that makes the columns of a factor with this Gram matrix orthonormal."""
     values, vectors = np.linalg.eigh(small)
     floor = values.max() * 1e-14
-    scale = np.where(values > floor, 1 / np.sqrt(np.maximum(values, floor)), 0)
-    return _times(v, vectors * scale, "word")
+    return vectors * np.where(values > floor, 1 / np.sqrt(np.maximum(values, floor)), 0)
+
+
+def _orthonormal(v: DataFrame, p: int) -> DataFrame:
+    return _times(v, _whitener(gram(v, p)[0]), "word")
 
 
-def nndsvd_init(x: DataFrame, k: int, power_steps: int = 7) -> tuple[DataFrame, DataFrame]:
+def nndsvd_init(
+    x: DataFrame, k: int, power_steps: int = 7, limit: int | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Non-negative starting factors (W, H) from the k leading singular triplets.
 
     The first component takes absolute values. Every other one keeps the heavier of its two sign
     parts, so the result does not depend on the sign an SVD happens to return.
     """
-    cells = place(x, k + SVD_EXTRA)
+    cells = place(x, k + SVD_EXTRA, limit)
     try:
         w, h = _nndsvd(cells, k, power_steps)
         return cut(w), cut(h)
     finally:
-        cells.x.unpersist()
+        cells.release()
 
 
-def _nndsvd(cells: Cells, k: int, power_steps: int = 7) -> tuple[DataFrame, DataFrame]:
+def _nndsvd(
+    cells: HeldCells | JoinedCells, k: int, power_steps: int = 7
+) -> tuple[DataFrame, DataFrame]:
     s, u, v = truncated_svd(cells, k, power_steps)
     u, v = cut(u), cut(v)
+    k = len(s)
     plus_u, minus_u = _sign_norms(u, k)
     plus_v, minus_v = _sign_norms(v, k)
     take_plus = plus_u * plus_v >= minus_u * minus_v
@@ -377,11 +545,11 @@ def _sign_parts(rows: DataFrame, key: str, sign: np.ndarray, scale: np.ndarray)
 
     @F.arrow_udf("array<double>")
     def part(f: pa.Array) -> pa.Array:
-        values = _matrix(f, k) * sign
+        values = as_matrix(f, k) * sign
         values[:, 1:] = np.maximum(values[:, 1:], 0)
         values[:, 0] = np.abs(values[:, 0])
         values = values * scale
         values[values < INIT_FLOOR] = 0
-        return _lists(values)
+        return as_lists(values)
 
     return rows.select(key, part("f").alias("f"))
