@@ -167,16 +167,18 @@ for _name, _cells in (("meta", "x"), ("word", "plain")):
     part(f"{_name}_size", _cells, f"SELECT count(*)::DOUBLE AS n FROM {_cells}")
     part(f"{_name}_docs", _cells, f"SELECT count(DISTINCT doc_id)::DOUBLE AS n FROM {_cells}")
     part(f"{_name}_coherence", f"grid {_name}_pairs", f"""
-  SELECT g.t, g.topic, coalesce(sum(ln((c_ij + 1) / c_i)), 0) AS coherence
-  FROM grid g LEFT JOIN {_name}_pairs p ON p.topic = g.topic AND p.j <= g.t GROUP BY ALL""")
+  SELECT g.t, g.topic, coalesce(sum(ln((c_ij + 1) / c_i)) FILTER (c_i > 0), 0) AS coherence,
+         count(*) FILTER (c_i = 0) AS n_missing
+  FROM grid g LEFT JOIN {_name}_pairs p ON p.topic = g.topic AND p.j <= g.t GROUP BY g.t, g.topic""")
     for _universe in ("size", "docs"):
         part(f"{_name}_pmi_{_universe}", f"grid {_name}_pairs {_name}_{_universe}", f"""
-  SELECT t, topic, s / (t * (t - 1)) AS pmi, s / w AS npmi FROM (
+  SELECT t, topic, s / (t * (t - 1)) AS pmi, s / w AS npmi, n_missing FROM (
     SELECT g.t, g.topic,
-           sum(ln(((c_ij + 1) / n) / ((c_i::DOUBLE * c_j) / (n * n)))) AS s,
-           sum(-ln((c_ij + 0.01) / n)) AS w
-    FROM grid g JOIN {_name}_pairs p ON p.topic = g.topic AND p.j <= g.t CROSS JOIN {_name}_{_universe}
-    GROUP BY ALL)""")
+           coalesce(sum(ln(((c_ij + 1) / n) / ((c_i::DOUBLE * c_j) / (n * n)))) FILTER (c_i > 0 AND c_j > 0), 0) AS s,
+           sum(-ln((c_ij + 0.01) / n)) FILTER (c_i > 0 AND c_j > 0) AS w,
+           count(*) FILTER (c_i = 0 OR c_j = 0) AS n_missing
+    FROM grid g LEFT JOIN {_name}_pairs p ON p.topic = g.topic AND p.j <= g.t CROSS JOIN {_name}_{_universe}
+    GROUP BY g.t, g.topic)""")
 part("distances", "grid pairs vec", """
   SELECT g.t, g.topic,
          sum(sqrt(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) ** 2)) / (g.t * (g.t - 1)) AS l1,
@@ -361,7 +363,7 @@ def statements() -> dict[str, str]:
 
     def pmi(name: str, universe: str = "size") -> str:
         return (
-            f"SELECT t, topic, round(pmi, 4) AS pmi, round(npmi, 4) AS npmi, 0 AS n_missing"
+            f"SELECT t, topic, round(pmi, 4) AS pmi, round(npmi, 4) AS npmi, n_missing"
             f" FROM {name}_pmi_{universe}"
         )
 
@@ -438,7 +440,7 @@ def statements() -> dict[str, str]:
         "universe_size": statement("x plain", """SELECT 'metaword' AS cells_of, count(*) AS n_cells, count(DISTINCT doc_id) AS n_docs FROM x
             UNION ALL SELECT 'word', count(*), count(DISTINCT doc_id) FROM plain"""),
         "pair_cooccurrence": statement("meta_pairs", "SELECT topic, i, j, word_i, word_j, c_ij FROM meta_pairs"),
-        "coherence": statement("meta_coherence", "SELECT t, topic, round(coherence, 4) AS coherence, 0 AS n_missing FROM meta_coherence"),
+        "coherence": statement("meta_coherence", "SELECT t, topic, round(coherence, 4) AS coherence, n_missing FROM meta_coherence"),
         "pmi_npmi": statement("word_pmi_size", pmi("word")),
         "pmi_npmi_document_universe": statement("word_pmi_docs", pmi("word", "docs")),
         "metaword_npmi": statement("meta_pmi_size", pmi("meta")),
