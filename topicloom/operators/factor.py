@@ -121,7 +121,7 @@ class HeldCells:
 
     def _added(self, rows: DataFrame, size: int, k: int) -> np.ndarray:
         """Sum ``(term, f)`` rows of all tasks into a matrix."""
-        sums = F.array(*[F.sum(F.col("f")[j]) for j in range(k)]).alias("f")
+        sums = F.expr("array(" + ", ".join(f"sum(f[{j}])" for j in range(k)) + ") AS f")
         found = rows.groupBy("term").agg(sums).toArrow()  # one row per word
         result = np.zeros((size, k))
         if found.num_rows:
@@ -268,7 +268,7 @@ class JoinedCells:
 
 def _sums(k: int) -> Column:
     """Σ value·f, element by element, for the rows of a group."""
-    return F.array(*[F.sum(F.col("value") * F.col("f")[j]) for j in range(k)]).alias("b")
+    return F.expr("array(" + ", ".join(f"sum(value * f[{j}])" for j in range(k)) + ") AS b")
 
 
 def gram(factor: DataFrame, k: int) -> tuple[np.ndarray, float]:

@@ -1,6 +1,6 @@
 """Topic quality: UMass coherence, PMI, NPMI and distances between word vectors.
 
-``cells`` is a document × word table ``(doc_id, word, value)``; ``topic_words`` is
+``cells`` is a document × word table ``(doc_id, word, value)``; ``topic_words`` is a stored table
 ``(topic, rank, word)``, as long as the word lists asked for. Only cells of listed words move.
 """
 
@@ -17,7 +17,7 @@ DISTANCES = ("l1_dist", "l2_dist", "cos_dist", "coord_dist")
 
 def word_occurrence(cells: DataFrame, topic_words: DataFrame) -> DataFrame:
     """``(word, c_w)``: number of stored cells of every listed word, 0 if it has none."""
-    listed = stage(topic_words.select("word").distinct(), "listed-words")
+    listed = topic_words.select("word").distinct()
     counts = lookup_join(cells, listed, "word", "left_semi").groupBy("word").agg(
         F.count("*").alias("c_w")
     )
@@ -44,34 +44,55 @@ def pair_cooccurrence(cells: DataFrame, topic_words: DataFrame) -> DataFrame:
     A document's listed words are gathered per topic (never more than the list is long) and its
     pairs are added up before the shuffle by pair.
     """
-    listed = stage(topic_words.select("topic", F.col("rank").cast("int").alias("rank"), "word"), "lists")
+    listed = topic_words.select("topic", F.col("rank").cast("int").alias("rank"), "word")
     found = lookup_join(cells.filter("value <> 0").select("doc_id", "word"), listed, "word")
-    present = found.groupBy("doc_id", "topic").agg(F.sort_array(F.collect_set("rank")).alias("ranks"))
-    pairs = F.flatten(
-        F.transform(
-            "ranks",
-            lambda i: F.transform(
-                F.filter("ranks", lambda j: j > i),
-                lambda j: F.struct(i.alias("i"), j.alias("j")),
-            ),
-        )
-    )
-    counts = (
-        present.select("topic", F.explode(pairs).alias("p"))
-        .groupBy("topic", F.col("p.i").alias("i"), F.col("p.j").alias("j"))
-        .agg(F.count("*").alias("c_ij"))
+    present = found.groupBy("doc_id", "topic").agg(
+        F.sort_array(F.collect_set(F.struct("rank", F.lit(True).alias("solid")))).alias("words")
     )
+    counts = _ranked_pairs(present).filter("i < j").withColumnRenamed("c", "c_ij")
     return word_pairs(listed).join(counts, ["topic", "i", "j"], "left").select(
         "topic", "i", "j", "word_i", "word_j", F.coalesce("c_ij", F.lit(0)).alias("c_ij")
     )
 
 
+def _ranked_pairs(present: DataFrame) -> DataFrame:
+    """``(topic, i, j, c)``: how often ranks i <= j meet; i = j counts the word alone."""
+    firsts = present.select("topic", "words", F.posexplode("words").alias("at", "a"))
+    rest = F.slice("words", F.col("at") + 1, F.size("words") - F.col("at"))
+    return (
+        firsts.select("topic", "a", F.explode(rest).alias("b"))
+        .filter("a.rank = b.rank OR (a.solid AND b.solid)")
+        .groupBy("topic", F.col("a.rank").alias("i"), F.col("b.rank").alias("j"))
+        .agg(F.count("*").alias("c"))
+    )
+
+
 def pair_table(cells: DataFrame, topic_words: DataFrame) -> DataFrame:
-    """Pairs with ``c_i``, ``c_j`` and ``c_ij``; one pass over the cells each for words and pairs."""
-    occurrence = stage(word_occurrence(cells, topic_words), "word-occurrence")
-    c_i = occurrence.select(F.col("word").alias("word_i"), F.col("c_w").alias("c_i"))
-    c_j = occurrence.select(F.col("word").alias("word_j"), F.col("c_w").alias("c_j"))
-    return pair_cooccurrence(cells, topic_words).join(c_i, "word_i").join(c_j, "word_j")
+    """Pairs with ``c_i``, ``c_j`` and ``c_ij`` from one pass over the cells.
+
+    A document's listed words give the pairs (i, j) of their ranks; a pair (i, i) stands for the
+    word alone, so occurrences and co-occurrences are added up together.
+    """
+    listed = topic_words.select("topic", F.col("rank").cast("int").alias("rank"), "word")
+    solid = cells.select("doc_id", "word", (F.col("value") != 0).alias("solid"))
+    present = (
+        lookup_join(solid, listed, "word")
+        .groupBy("doc_id", "topic")
+        .agg(F.sort_array(F.collect_set(F.struct("rank", "solid"))).alias("words"))
+    )
+    counts = stage(_ranked_pairs(present), "pair-counts")
+    words = counts.filter("i = j").select("topic", "i", "c")
+
+    def count(column: str):
+        return F.coalesce(column, F.lit(0)).alias(column)
+
+    return (
+        word_pairs(listed)
+        .join(counts.withColumnRenamed("c", "c_ij"), ["topic", "i", "j"], "left")
+        .join(words.withColumnRenamed("c", "c_i"), ["topic", "i"], "left")
+        .join(words.withColumnsRenamed({"i": "j", "c": "c_j"}), ["topic", "j"], "left")
+        .select("topic", "i", "j", "word_i", "word_j", count("c_i"), count("c_j"), count("c_ij"))
+    )
 
 
 def _per_list(pairs: DataFrame, topic_words: DataFrame, list_sizes: list[int]) -> DataFrame:
@@ -145,8 +166,9 @@ def embedding_distance(
     ``l1_dist`` is Euclidean, ``l2_dist`` and ``coord_dist`` are squared Euclidean, ``cos_dist`` is
     one minus the cosine. Any other kind gives 0.
     """
-    listed = topic_words.select("word").distinct()
-    known = vectors.join(F.broadcast(stage(listed, "listed-words")), "word", "left_semi").select(
+    # the word lists are as short as they were asked for
+    listed = F.broadcast(topic_words.select("word").distinct())
+    known = vectors.join(listed, "word", "left_semi").select(
         "word", F.col("vector").cast("array<double>").alias("v")
     )
     known = stage(known, "listed-vectors")
@@ -199,9 +221,9 @@ def calc_metrics(
     found = []
     if "coherence" in metrics or "npmi" in metrics:
         if metaword_cells is not None:
-            meta_pairs = stage(pair_table(metaword_cells, longest), "metaword-pairs")
+            meta_pairs = pair_table(metaword_cells, longest)
         if metaword_cells is None or "npmi" in metrics:
-            plain_pairs = stage(pair_table(tfidf, longest), "word-pairs")
+            plain_pairs = pair_table(tfidf, longest)
     if "coherence" in metrics:
         pairs = plain_pairs if metaword_cells is None else meta_pairs
         found.append(summarise_metric(coherence(pairs, longest, list_sizes), "coherence", "coherence"))
