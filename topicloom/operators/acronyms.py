@@ -48,18 +48,21 @@ def find_acronyms(corpus: DataFrame) -> DataFrame:
             & ~inside.rlike(r"^\p{Nd}+$")
         )
 
+    def hit(i: Column) -> Column:
+        acronym = F.get(tokens, i + 1)
+        length = F.least(F.length(acronym), i)
+        before = F.reverse(F.slice(tokens, i - length + 1, length))
+        return F.struct(i.alias("pos"), acronym.alias("acronym"), before.alias("before"))
+
     places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(tokens) - 1, F.lit(0))), is_hit)
-    hits = (
+    return (
         corpus.select("doc_id", "text")
         # cheap test first: most texts have no parenthesis
         .filter(F.contains("text", F.lit("(")))
         .select("doc_id", acronym_tokens(F.col("text")).alias("tokens"))
-        .select("doc_id", "tokens", F.explode(places).alias("pos"))
-        .withColumn("acronym", F.get("tokens", F.col("pos") + 1))
+        .select("doc_id", F.explode(F.transform(places, hit)).alias("hit"))
+        .select("doc_id", "hit.pos", "hit.acronym", "hit.before")
     )
-    length = F.least(F.length("acronym"), F.col("pos"))
-    before = F.reverse(F.slice("tokens", F.col("pos") - length + 1, length))
-    return hits.select("doc_id", "pos", "acronym", before.alias("before"))
 
 
 def expand_acronym(

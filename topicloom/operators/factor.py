@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from topicloom.functions.columns import dominant, dot, total, zeros
 from topicloom.functions.descent import Rows, as_lists, as_matrix, coordinate_pass
@@ -34,6 +35,8 @@ from topicloom.plans.staging import cut, hot_keys, lookup_join, split_hot_join
 INIT_FLOOR = 1e-6
 # Columns the subspace iteration carries beyond the wanted ones.
 SVD_EXTRA = 10
+# Cells of X one task holds.
+PART_CELLS = 16_000_000
 
 
 @dataclass
@@ -67,13 +70,16 @@ def place(x: DataFrame, k: int, limit: int | None = None) -> HeldCells | JoinedC
     The rows come from staged tables, so a lost executor's part is read again from there.
     """
     spark = x.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     x = x.select("doc_id", "word", F.col("value").cast("double").alias("value"))
-    words = staging.stage(x.select("word").distinct(), "words")
-    size = words.agg(F.sum(F.octet_length("word") + 8 * k + 64)).first()[0] or 0
-    if size > (staging.BROADCAST_BYTES if limit is None else limit):
+    words = staging.stage(x.groupBy("word").agg(F.count("*").alias("rows")), "words")
+    found = words.agg(
+        F.sum(F.octet_length("word") + 8 * k + 64).alias("size"), F.sum("rows").alias("cells")
+    ).first()
+    # tasks hold a bounded number of cells, and there is one for every core
+    parts = max(spark.sparkContext.defaultParallelism, -(-(found["cells"] or 0) // PART_CELLS))
+    if (found["size"] or 0) > (staging.BROADCAST_BYTES if limit is None else limit):
         placed = x.repartition(parts, "doc_id").persist(StorageLevel.MEMORY_AND_DISK)
-        return JoinedCells(placed, hot_keys(placed, "word"))
+        return JoinedCells(placed, hot_keys(placed, "word", words))
     names = sorted(row["word"] for row in words.collect())  # measured above
     numbered = spark.createDataFrame(list(enumerate(names)), "term int, word string")
     # one row per document; a document's own cells are all that is gathered
@@ -163,7 +169,7 @@ class HeldCells:
         """W with H fixed, then H with W fixed: (W, H, violation, fit part of the objective)."""
         k = h.shape[1]
         held = self.x.sparkSession.sparkContext.broadcast((h, penalty.on(h.T @ h)))
-        l1 = penalty.l1
+        l1, doc_type = penalty.l1, to_arrow_type(self.x.schema["doc_id"].dataType)
 
         def half(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             factor, g = held.value
@@ -183,7 +189,6 @@ class HeldCells:
             no_doc = pa.nulls(sums.num_rows, doc_type)
             yield pa.RecordBatch.from_arrays([no_doc, *sums.columns], ["doc_id", "term", "f"])
 
-        doc_type = pa.string() if self.doc_type == "string" else _arrow_type(self.doc_type)
         joined = self.x.join(w.hint("shuffle_hash"), "doc_id", "full_outer").select(
             "doc_id",
             F.coalesce("terms", F.array().cast("array<int>")).alias("terms"),
@@ -216,10 +221,6 @@ def _terms(found: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def _arrow_type(name: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16()}[name]
-
-
 class JoinedCells:
     """X as a long table; per-word factors are tables, joined with the rows of hot words split."""
 

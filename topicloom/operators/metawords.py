@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,8 +15,12 @@ from topicloom.functions.columns import unit
 from topicloom.operators.text import held_documents, term_frequency, tokens_by, tokens_word
 from topicloom.plans.staging import lookup_join, stage
 
-# Bytes of one packed block of vectors; a task holds two blocks and their product at a time.
-BLOCK_BYTES = 512 * 1024
+# Largest packed block of vectors in bytes; a task holds two blocks at a time.
+BLOCK_BYTES = 4 * 1024 * 1024
+# Fewest words worth a block of their own.
+BLOCK_WORDS = 256
+# Similarities computed at a time inside a pair of blocks.
+TILE_CELLS = 1_000_000
 # Similarities are compared at this many decimals, so summation order cannot flip a tie.
 SIM_DECIMALS = 12
 
@@ -53,8 +58,10 @@ def knn_cosine(vectors: DataFrame, k: int, min_sim: float | None = None) -> Data
     """
     shape = vectors.agg(F.count("*").alias("n"), F.max(F.size("unit")).alias("dim")).first()
     n, dim = shape["n"], shape["dim"] or 1
-    block_words = max(64, BLOCK_BYTES // (8 * dim))
-    n_blocks = max(1, -(-n // block_words))
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    # enough pairs of blocks to keep the cores busy; more blocks only repeat more vectors
+    busy = min(-(-n // BLOCK_WORDS), math.ceil(math.sqrt(8 * cores)))
+    n_blocks = max(1, -(-n * 8 * dim // BLOCK_BYTES), busy)
     blocks = stage(
         vectors.groupBy(F.pmod(F.xxhash64("word"), F.lit(n_blocks)).cast("int").alias("block"))
         .agg(F.sort_array(F.collect_list(F.struct("word", "unit"))).alias("rows"))
@@ -97,10 +104,15 @@ def _block_neighbours(k: int, min_sim: float | None):
                 a_words, b_words = lists(batch.column("a_words"), i), lists(batch.column("b_words"), i)
                 a_rows = lists(batch.column("a_matrix"), i).reshape(len(a_words), -1)
                 b_rows = lists(batch.column("b_matrix"), i).reshape(len(b_words), -1)
-                sims = np.round(a_rows @ b_rows.T, SIM_DECIMALS)
-                yield _best(sims, a_words, b_words, k, min_sim)
+                yield from tiles(a_words, a_rows, b_words, b_rows)
                 if a != b:
-                    yield _best(sims.T, b_words, a_words, k, min_sim)
+                    yield from tiles(b_words, b_rows, a_words, a_rows)
+
+    def tiles(words, rows, others, other_rows) -> Iterator[pa.RecordBatch]:
+        height = max(1, TILE_CELLS // len(others))
+        for at in range(0, len(words), height):
+            sims = np.round(rows[at : at + height] @ other_rows.T, SIM_DECIMALS)
+            yield _best(sims, words[at : at + height], others, k, min_sim)
 
     return kernel
 
@@ -109,7 +121,10 @@ def _best(
     sims: np.ndarray, words: np.ndarray, others: np.ndarray, k: int, min_sim: float | None
 ) -> pa.RecordBatch:
     """Rows (word, other, sim) of the k largest similarities per word; ``others`` are sorted."""
-    keep = np.ones(sims.shape, bool) if min_sim is None else sims >= min_sim
+    least = np.full((len(sims), 1), -np.inf if min_sim is None else min_sim)
+    if sims.shape[1] > k:  # the k-th largest of each row; equal ones stay until they are ranked
+        least = np.maximum(least, np.partition(sims, -k, axis=1)[:, [-k]])
+    keep = sims >= least
     row, col = np.nonzero(keep)
     value = sims[row, col]
     # a word itself ranks before equal similarities

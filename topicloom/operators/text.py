@@ -80,7 +80,7 @@ def tf_idf(tf: DataFrame, n_docs: int) -> DataFrame:
     """
     frequent = stage(document_frequency(tf).filter("df > 1"), "document-frequency")
     idf = F.log(F.lit(float(n_docs)) / F.coalesce("df", F.lit(1))) + 1
-    weighted = lookup_join(tf, frequent, "word", "left").select(
+    weighted = lookup_join(tf, frequent, "word", "left", key_rows=frequent).select(
         "doc_id", "word", (F.col("n") * idf).alias("value")
     )
     return unit_rows(weighted)

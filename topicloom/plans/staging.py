@@ -84,23 +84,28 @@ def lookup_join(
     how: str = "inner",
     spread_by: str = "doc_id",
     limit: int | None = None,
+    key_rows: DataFrame | None = None,
 ) -> DataFrame:
     """Join a large table to a lookup on ``key``.
 
     A lookup whose measured size is within ``limit`` is broadcast and the facts do not move.
-    A larger one is shuffled, with the rows of hot keys split over several partitions.
+    A larger one is shuffled, with the rows of hot keys split over several partitions; pass
+    ``key_rows`` = (key, rows) where the rows per key are known already.
     """
     if fits_broadcast(lookup, limit):
         return facts.join(F.broadcast(lookup), key, how)
-    return split_hot_join(facts, lookup, key, how, spread_by)
+    return split_hot_join(facts, lookup, key, how, spread_by, hot_keys(facts, key, key_rows))
 
 
-def hot_keys(facts: DataFrame, key: str) -> DataFrame:
+def hot_keys(facts: DataFrame, key: str, key_rows: DataFrame | None = None) -> DataFrame:
     """``(key, _parts)``: keys with more than 1/HOT_SHARE of the rows and their number of parts.
 
     There are at most HOT_SHARE of them whatever the data.
     """
-    per_key = stage(facts.groupBy(key).agg(F.count("*").alias("_rows")), "key-counts")
+    if key_rows is None:
+        per_key = stage(facts.groupBy(key).agg(F.count("*").alias("_rows")), "key-counts")
+    else:
+        per_key = key_rows.toDF(key, "_rows")
     total = per_key.agg(F.sum("_rows")).first()[0] or 0
     share = max(1, total // HOT_SHARE)
     return per_key.filter(F.col("_rows") > share).select(
@@ -162,7 +167,9 @@ def _with_offsets(rows: DataFrame, chunk: list[str], name: str) -> DataFrame:
         .agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
         .select(*chunk, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
     )
-    # one row per partition or file split, hence small whatever the data
-    return rows.join(F.broadcast(offsets), chunk).withColumn(
+    offsets = stage(offsets, "row-offsets")  # one row per partition or file split
+    if fits_broadcast(offsets):
+        offsets = F.broadcast(offsets)
+    return rows.join(offsets, chunk).withColumn(
         name, (F.col("_at") + F.col("_shift")).cast("long")
     ).drop("_at", "_shift", *chunk)
