@@ -53,7 +53,7 @@ def test_character_ngrams(spark):
 
 
 def test_plain_nmf_run(corpus):
-    found = runs.nmf_topics(corpus, 2, max_iter=30)
+    found = runs.nmf_topics(corpus, 2, max_iter=12)
     words = {}
     for r in topics.top_words(found.topic_word, 4).collect():
         words.setdefault(r["topic"], set()).add(r["word"])
@@ -70,7 +70,7 @@ def test_whole_run_writes_everything(spark, corpus, tmp_path):
     )
     found, scores = runs.run(
         corpus, vectors, 2, str(tmp_path), k_neighbors=2, list_sizes=[2, 3],
-        metrics=["coherence", "npmi", "w2v_l1"], entities=["kind"], max_iter=20,
+        metrics=["coherence", "npmi", "w2v_l1"], entities=["kind"], max_iter=6,
     )
     assert scores.count() == 8
     assert found.doc_topics.count() == 61
