@@ -56,6 +56,15 @@ def test_tf_idf_does_not_depend_on_the_join(docs, monkeypatch):
     assert table(text.tf_idf(counts, 200), "doc_id", "word", "value") == broadcast
 
 
+def test_counts_of_a_fixed_vocabulary_do_not_depend_on_its_size(spark, docs, monkeypatch):
+    tokens = text.tokens_space(docs(*[(i, f"the the w{i % 7} w{i % 3} x") for i in range(100)]))
+    vocab = spark.createDataFrame([("the",), ("w1",), ("none",)], "word string")
+    small = table(text.term_frequency(tokens, vocab), "doc_id", "word", "n")
+    monkeypatch.setattr(staging, "BROADCAST_BYTES", 0)
+    assert table(text.term_frequency(tokens, vocab), "doc_id", "word", "n") == small
+    assert ("the", 2) in {(w, n) for _, w, n in small} and len({w for _, w, _ in small}) == 2
+
+
 def test_hot_keys_are_split_and_results_whole(spark, monkeypatch):
     monkeypatch.setattr(staging, "HOT_SHARE", 20)
     facts = spark.range(3000).select(

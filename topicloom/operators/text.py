@@ -12,7 +12,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.functions.columns import space_tokens, word_tokens
-from topicloom.plans.staging import lookup_join, ordered_index, stage
+from topicloom.plans.staging import (
+    fits_broadcast,
+    lookup_join,
+    ordered_index,
+    split_hot_join,
+    stage,
+)
 
 
 def by_document(corpus: DataFrame) -> DataFrame:
@@ -49,10 +55,18 @@ def vocabulary(tokens: DataFrame) -> DataFrame:
 
 
 def term_frequency(tokens: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
-    """``(doc_id, word, n)``, for the words of ``vocab`` if one is given."""
-    if vocab is not None:
-        tokens = lookup_join(tokens, vocab.select("word"), "word", "left_semi")
-    return tokens.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    """``(doc_id, word, n)``, for the words of ``vocab`` if one is given.
+
+    A vocabulary small enough to broadcast filters the tokens where they are; a larger one meets
+    the counts, which are fewer rows than the tokens.
+    """
+    early = vocab is not None and fits_broadcast(vocab.select("word"))
+    if early:
+        tokens = tokens.join(F.broadcast(vocab.select("word")), "word", "left_semi")
+    counts = tokens.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    if vocab is None or early:
+        return counts
+    return split_hot_join(counts, vocab.select("word"), "word", "left_semi")
 
 
 def document_frequency(tf: DataFrame) -> DataFrame:
