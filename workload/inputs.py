@@ -14,9 +14,6 @@ them again.
 from __future__ import annotations
 
 import functools
-import os
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -25,6 +22,7 @@ from pyspark.sql import functions as F
 
 from topicloom.operators import metawords, text, topics
 from topicloom.operators.factor import doc_topics as with_all_documents
+from topicloom.plans.shipping import ship_package  # noqa: F401  (used by the queries and the bench)
 from topicloom.plans.staging import ordered_index, shared_dir, stage
 from topicloom.sources.corpus import corpus_from_df, known_links
 
@@ -52,20 +50,6 @@ def kept(build: Callable) -> Callable:
     return once
 
 
-_shipped: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Send the package to the executors, whose workers import it."""
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        folder = tempfile.mkdtemp(prefix="topicloom-package-")
-        archive = shutil.make_archive(f"{folder}/topicloom", "zip", root, "topicloom")
-        spark.sparkContext.addPyFile(archive)
-        _shipped.add(app)
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
