@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from topicloom.llm import decontam, extraction, packing, sharding
+from topicloom.llm import decontam, extraction, packing, quality, sharding, toxicity
 from topicloom.llm.common import table
 from topicloom.llm.oracles import STATEMENTS
 from topicloom.plans.shipping import ship_package
@@ -40,12 +40,22 @@ def op2_extract_html(spark, sf_dir):
     return extraction.extract(table(spark, sf_dir, "pages"))
 
 
+@query
+def op4_quality(spark, sf_dir):
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op5_decontaminate(spark, sf_dir):
     found = decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("spans")
 
 
+@query
+def op6_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op8_shards(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
