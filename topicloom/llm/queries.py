@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from topicloom.llm import decontam, extraction, packing, quality, sharding, toxicity
+from topicloom.llm import decontam, extraction, packing, quality, sharding, toxicity, urls
 from topicloom.llm.common import table
 from topicloom.llm.oracles import STATEMENTS
 from topicloom.plans.shipping import ship_package
@@ -56,6 +56,11 @@ def op6_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op7_url_filter(spark, sf_dir):
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 @query
 def op8_shards(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
