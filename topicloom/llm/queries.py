@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from topicloom.llm import decontam, extraction, packing, quality, sharding, toxicity, urls
+from topicloom.llm import ann, decontam, extraction, packing, quality, sharding, toxicity, urls
 from topicloom.llm.common import table
 from topicloom.llm.oracles import STATEMENTS
 from topicloom.plans.shipping import ship_package
@@ -40,6 +41,11 @@ def op2_extract_html(spark, sf_dir):
     return extraction.extract(table(spark, sf_dir, "pages"))
 
 
+@query
+def op3_nearest(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query
 def op4_quality(spark, sf_dir):
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
