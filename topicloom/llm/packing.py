@@ -11,63 +11,129 @@ only its rest is placed. Nothing is held but the level array and the numbers of
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.llm.common import Numbered, slices
 
-# Entries after which a task's table of known words is started anew.
-KNOWN_WORDS = 500_000
+# Entries after which a worker's table of known words is started anew.
+KNOWN_WORDS = 1_000_000
+# Words of ASCII (without the apostrophe) and common Latin letters, and their runs once lower-cased.
+PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-įı-ňŊ-ž]+").fullmatch
+PARTS = re.compile(r"\n|[a-zß-öø-ž]+|[0-9]|[^\na-z0-9ß-öø-ž]+").findall
+
+
+class Encoded:
+    """Token ids of numbered strings, end to end in one array."""
+
+    def __init__(self) -> None:
+        self.numbers, self.chars = Numbered(), 0
+        self.flat, self.n_flat = np.zeros(1 << 16, np.uint32), 0
+        self.start, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
+
+    def add(self, at: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Store the ids of the strings numbered ``at``."""
+        self.flat = _room(self.flat, self.n_flat + len(ids))
+        self.flat[self.n_flat : self.n_flat + len(ids)] = ids
+        self.start, self.length = _room(self.start, len(self.numbers)), _room(self.length, len(self.numbers))
+        self.start[at] = self.n_flat + np.cumsum(lengths) - lengths
+        self.length[at] = lengths
+        self.n_flat += len(ids)
+
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the strings ``at``, end to end, and where each one's ids end."""
+        length = self.length[at]
+        stops = np.cumsum(length, dtype=np.int64)
+        where = np.repeat(self.start[at] - stops + length, length)
+        where += np.arange(len(where))
+        return self.flat[where], stops
 
 
 class WordEncoder:
-    """Token ids of texts; each distinct word is encoded once.
+    """Token ids of texts; each distinct word is encoded once, and so is each distinct part of words.
 
     The tokeniser never joins across white space, so a text's ids are its words' ids in order. Only
-    characters that are white space under every definition separate words here.
+    characters that are white space under every definition separate words here. Inside a word of plain
+    letters, digits and marks it never joins runs of letters, single digits and runs of marks either;
+    any other word goes to it whole.
     """
 
+    _kept: dict[str, WordEncoder] = {}
+
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
-
-    def forget(self) -> None:
-        self.words, self.chars = Numbered(), 0
-        self.flat, self.n_flat = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.length, self.n = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
-
-    def ids(self, text: str) -> np.ndarray:
-        """uint32 ids of one text."""
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-        if self.words.new:
-            self._learn(self.words.take_new())
-        start, length = self.start[at], self.length[at]
-        ends = np.cumsum(length)
-        out = self.flat[np.repeat(start - ends + length, length) + np.arange(ends[-1])]
-        if len(self.words) > KNOWN_WORDS or self.chars > 64 * KNOWN_WORDS:
-            self.forget()
-        return out
+        self.words, self.parts = Encoded(), Encoded()
+
+    @classmethod
+    def of(cls, path: str) -> WordEncoder:
+        """The encoder that this Python worker already has."""
+        if path not in cls._kept:
+            cls._kept[path] = cls(path)
+        return cls._kept[path]
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """uint32 ids of all texts in one array, and where each text's ids end in it."""
+        for name in ("words", "parts"):
+            kept = getattr(self, name)
+            if len(kept.numbers) > KNOWN_WORDS or kept.chars > 32 * KNOWN_WORDS:
+                setattr(self, name, Encoded())
+        texts = pc.fill_null(texts, "")
+        for blank in "\n\t\r":
+            texts = pc.replace_substring(texts, blank, " ")
+        split = pc.split_pattern(texts, " ")
+        ends = np.asarray(split.offsets)[1:] - split.offsets[0].as_py()
+        seen = split.flatten().dictionary_encode()
+        words = seen.dictionary.to_pylist()
+        numbers = self.words.numbers
+        known = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+        self._learn(numbers.take_new())
+        flat, stops = self.words.gather(known[np.asarray(seen.indices)])
+        return flat, stops[ends - 1]
 
     def _learn(self, new: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-        self.chars += sum(map(len, new))
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        total = int(lengths.sum())
-        self.flat = _room(self.flat, self.n_flat + total)
-        self.flat[self.n_flat : self.n_flat + total] = [i for ids in found for i in ids]
-        self.start, self.length = _room(self.start, self.n + len(new)), _room(self.length, self.n + len(new))
-        self.start[self.n : self.n + len(new)] = self.n_flat + np.cumsum(lengths) - lengths
-        self.length[self.n : self.n + len(new)] = lengths
-        self.n, self.n_flat = self.n + len(new), self.n_flat + total
+        first = len(self.words.numbers) - len(new)
+        self.words.chars += sum(map(len, new))
+        plain = np.fromiter((PLAIN(w) is not None and "<|" not in w for w in new), bool, len(new))
+        at = np.flatnonzero(plain)
+        if len(at):
+            found = PARTS("\n".join([new[i] for i in at]).lower())
+            numbers = self.parts.numbers
+            before = len(numbers)
+            code = np.fromiter((-1 if x == "\n" else numbers[x] for x in found), np.int64, len(found))
+            fresh = numbers.take_new()
+            self.parts.chars += sum(map(len, fresh))
+            self.parts.add(np.arange(before, len(numbers)), *self._encode(fresh))
+            word = np.cumsum(code < 0)[code >= 0]
+            code = code[code >= 0]
+            ids, _ = self.parts.gather(code)
+            lengths = np.bincount(word, self.parts.length[code], minlength=len(at)).astype(np.int64)
+            self.words.add(first + at, ids, lengths)
+        at = np.flatnonzero(~plain)
+        if len(at):
+            self.words.add(first + at, *self._encode([new[i] for i in at]))
+
+    def _encode(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of strings without white space, end to end, and their lengths."""
+        ids, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for first in range(0, len(strings), 2000):
+            some = strings[first : first + 2000]
+            encoded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            sizes = np.fromiter(map(len, some), np.int64, len(some))
+            begins = np.cumsum(sizes + 1) - sizes - 1
+            found = np.array(encoded.offsets, np.int64).reshape(-1, 2)[:, 0]
+            ids.append(np.array(encoded.ids, np.uint32))
+            lengths.append(np.bincount(np.searchsorted(begins, found, side="right") - 1, minlength=len(some)))
+        return np.concatenate(ids), np.concatenate(lengths)
 
 
 def _room(array: np.ndarray, size: int) -> np.ndarray:
@@ -127,12 +193,13 @@ def pack(
     )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, levels = WordEncoder(tokenizer), Levels(size)
+        encoder, levels = WordEncoder.of(tokenizer), Levels(size)
         for batch in slices(batches, "text"):
             rows: list[tuple] = []
             pid = batch.column(2)[0].as_py() << 33
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.append(encoder.ids(text or ""), np.uint32(end_id)).astype("<u4")
+            flat, ends = encoder.ids(batch.column(1))
+            for doc_id, begin, end in zip(batch.column(0).to_pylist(), np.append(0, ends).tolist(), ends.tolist()):
+                ids = np.append(flat[begin:end], np.uint32(end_id)).astype("<u4")
                 for start in range(0, len(ids), size):
                     piece = ids[start : start + size]
                     window, offset = levels.place(len(piece))
