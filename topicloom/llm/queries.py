@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import ann, decontam, extraction, packing, quality, sharding, toxicity, urls
+from topicloom.llm import ann, decontam, extraction, jaccard, packing, quality, sharding, toxicity, urls
 from topicloom.llm.common import table
 from topicloom.llm.oracles import STATEMENTS
 from topicloom.plans.shipping import ship_package
@@ -75,3 +75,8 @@ def op8_shards(spark, sf_dir):
 @query
 def op9_pack(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer())
+
+
+@query
+def op10_jaccard(spark, sf_dir):
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"), width=3, num=9, den=10)
