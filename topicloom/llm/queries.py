@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import ann, decontam, extraction, jaccard, packing, quality, sharding, toxicity, urls
+from topicloom.llm import ann, decontam, extraction, jaccard, packing, pii, quality, sharding, toxicity, urls
 from topicloom.llm.common import table
 from topicloom.llm.oracles import STATEMENTS
 from topicloom.plans.shipping import ship_package
@@ -36,6 +36,15 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+# Key of the surrogates in the registered query; a real run keeps its own secret.
+KEY = "topicloom"
+
+
+@query
+def op1_pii(spark, sf_dir):
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), KEY)
+
+
 @query
 def op2_extract_html(spark, sf_dir):
     return extraction.extract(table(spark, sf_dir, "pages"))
