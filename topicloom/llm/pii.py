@@ -1,6 +1,6 @@
 """Personal data replaced by keyed surrogates of the same type and format.
 
-Entities are found by one pattern: e-mail addresses, hexadecimal and prefixed secrets, IPv4 addresses,
+Entities are found by one pattern: e-mail addresses, announced, hexadecimal and prefixed secrets, IPv4 addresses,
 phone numbers, bank accounts, social security numbers, card numbers, and names after a title. Every
 mention is reduced to its entity (kind and canonical form), the entity's surrogate is drawn from a
 keyed hash, and the surrogate takes the mention's format: separators, capitals, a valid check digit.
@@ -38,9 +38,12 @@ PHONE = (
 IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _END
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _END
 CARD = r"(?:[0-9]{13,19}+|[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,4})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})" + _END
+# A value after a word that says it is a credential; it must hold a digit. Only the value is replaced.
+KEYED = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,3}[:=]\s{0,3}[\"']?"
+VALUE = r"(?=[\p{L}_+/.=~-]*+[0-9])[\p{L}\p{N}_+/.=~-]{6,}+"
 _NAME = r"\p{Lu}[\p{L}'’-]*+"
 NAME = rf"(?:{'|'.join(t for g in sorted(TITLES) for t in TITLES[g])})\.?\s{{1,3}}{_NAME}(?: {_NAME}){{0,2}}"
-PII = rf"{EMAIL}|(?<![\p{{L}}\p{{N}}])(?:{SECRET}|{IP}|{PHONE}|{IBAN}|{SSN}|{CARD}|{NAME})"
+PII = rf"{EMAIL}|(?<![\p{{L}}\p{{N}}])(?:{KEYED}{VALUE}|{SECRET}|{IP}|{PHONE}|{IBAN}|{SSN}|{CARD}|{NAME})"
 # A text without any of these holds no entity; cheap to test.
 HINT = rf"[0-9@]|(?:{'|'.join(t for g in sorted(TITLES) for t in TITLES[g])})\.?\s"
 
@@ -118,7 +121,8 @@ def kind_of(mention: Column) -> Column:
     female = mention.rlike(rf"^(?:{'|'.join(TITLES['f'])})\.?\s")
     whole = lambda pattern: mention.rlike(f"^(?:{pattern})$")
     return (
-        F.when(mention.contains("@"), "email")
+        F.when(mention.rlike(f"^{KEYED}{VALUE}"), "keyed")
+        .when(mention.contains("@"), "email")
         .when(whole(IP), "ip")
         .when(whole(SSN), "ssn")
         .when(whole(PHONE), "phone")
@@ -250,8 +254,9 @@ def mentions(text: Column) -> Column:
 def pieces(found: Column) -> Column:
     """``array<struct<at, raw, kind, canon>>`` of an array of mentions.
 
-    ``at`` is the mention's number. A name is cut into its title, separators and words; only the words
-    have a kind. Any other mention is one piece.
+    ``at`` is the mention's number. A name is cut into its title, separators and words, a credential
+    into what announces it and its value; only words and values have a kind. Any other mention is one
+    piece.
     """
     kinds = F.transform(found, lambda m, i: F.struct(i.alias("at"), m.alias("m"), kind_of(m).alias("kind")))
 
@@ -263,7 +268,14 @@ def pieces(found: Column) -> Column:
                 e["at"].alias("at"), w.alias("raw"), F.when((j > 0) & w.rlike(r"^\p{L}"), e["kind"]).alias("kind")
             ),
         )
-        return F.when(e["kind"].startswith("name"), named).otherwise(
+        start = F.regexp_extract(e["m"], f"^{KEYED}", 0)
+        value = e["m"].substr(F.length(start) + 1, F.length(e["m"]))
+        mixed = value.rlike("^(?=.*[a-fA-F])(?=.*[0-9])[0-9a-fA-F]+$")
+        keyed = F.array(
+            F.struct(e["at"].alias("at"), start.alias("raw"), F.lit(None).cast("string").alias("kind")),
+            F.struct(e["at"].alias("at"), value.alias("raw"), F.when(mixed, "hex").otherwise("secret").alias("kind")),
+        )
+        return F.when(e["kind"].startswith("name"), named).when(e["kind"] == "keyed", keyed).otherwise(
             F.array(F.struct(e["at"].alias("at"), e["m"].alias("raw"), e["kind"].alias("kind")))
         )
 
