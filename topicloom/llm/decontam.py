@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import slices
+from topicloom.llm.common import slices, unused
 from topicloom.plans.staging import cut
 
 # Largest benchmark text behind one automaton, in bytes.
@@ -112,18 +112,20 @@ class Automaton:
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, limit: int = BLOCK_BYTES) -> DataFrame:
-    """Add ``_ranges`` (array of word ranges) and ``_items`` (array of item ids) to the documents.
+    """Add two columns at the end: ``_ranges`` (array of word ranges) and ``_items`` (array of item ids).
 
-    Any further columns stay; ``text`` may be null or empty (no words, no hits).
+    All columns stay, and the new ones get more underscores if their names are taken; ``text`` may be
+    null or empty (no words, no hits).
     """
     spark: SparkSession = docs.sparkSession
     names = docs.columns
+    added = [unused(names, "_ranges"), unused(names, "_items")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    schema = f"{fields}, _ranges array<array<int>>, _items array<string>"
+    schema = f"{fields}, `{added[0]}` array<array<int>>, `{added[1]}` array<string>"
     out = docs.select(
-        *names,
-        F.array().cast("array<array<int>>").alias("_ranges"),
-        F.array().cast("array<string>").alias("_items"),
+        *[F.col(f"`{c}`") for c in names],
+        F.array().cast("array<array<int>>").alias(added[0]),
+        F.array().cast("array<string>").alias(added[1]),
     )
     at = names.index("text")
     parts = blocks(benchmark, limit)
@@ -147,7 +149,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, limit: int
                         pa.array(ranges, pa.list_(pa.list_(pa.int32()))),
                         pa.array(found, pa.list_(pa.string())),
                     ],
-                    [*names, "_ranges", "_items"],
+                    [*names, *added],
                 )
 
         out = out.mapInArrow(work, schema)
@@ -217,4 +219,5 @@ def original(text: str | None, merged: list[tuple[int, int]]) -> list[list[int]]
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """The documents without any hit, with all their columns; rows with a null text stay."""
     names = docs.columns
-    return scan(docs, benchmark, width).filter(F.size("_items") == 0).select(*[F.col(f"`{c}`") for c in names])
+    found = scan(docs, benchmark, width)
+    return found.filter(F.size(F.col(f"`{found.columns[-1]}`")) == 0).select(*[F.col(f"`{c}`") for c in names])

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from topicloom.llm.common import unused
 from topicloom.plans.staging import lookup_join, stage
 
 # Titles that tell the gender of the name that follows; fixed values.
@@ -329,47 +330,48 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
 
     A null text stays null, an empty one empty, a text without entities is unchanged. Equal texts get
     equal results wherever they are; ids play no part, so null, repeated or missing ones do not matter.
-    Added is ``n_entities``, the number of mentions replaced.
+    Added is ``n_entities``, the number of mentions replaced; a column of that name is overwritten.
     """
     names = docs.columns
+    found, mark, lates, turns_, pieced = (unused(names, c) for c in ("_found", "_mark", "_late", "_turns", "_new"))
     late = stage(late_entities(docs, key), "pii-late")
     text = F.col("text")
-    rows = docs.withColumn("_found", mentions(text))
+    rows = docs.withColumn(found, mentions(text))
     if late.isEmpty():
         turn = lambda p: F.lit(0)
     else:
-        told = docs.select(F.md5("text").alias("_mark"), F.explode(entities_in(text)).alias("e"))
+        told = docs.select(F.md5("text").alias(mark), F.explode(entities_in(text)).alias("e"))
         told = lookup_join(
-            told.select("_mark", F.concat_ws("|", "e.kind", "e.canon").alias("entity")),
+            told.select(mark, F.concat_ws("|", "e.kind", "e.canon").alias("entity")),
             late.select(F.concat_ws("|", "kind", "canon").alias("entity"), "turn"),
-            "entity", spread_by="_mark",
+            "entity", spread_by=mark,
         ).distinct()
-        turns = told.groupBy("_mark").agg(
-            F.collect_list("entity").alias("_late"), F.collect_list("turn").alias("_turns")
+        turns = told.groupBy(mark).agg(
+            F.collect_list("entity").alias(lates), F.collect_list("turn").alias(turns_)
         )
         # entity and turn lists keep their order: both come from the same rows of one aggregation
         rows = lookup_join(
-            rows.withColumn("_mark", F.md5("text")), stage(turns, "pii-turns"), "_mark", "left", spread_by="_found"
+            rows.withColumn(mark, F.md5("text")), stage(turns, "pii-turns"), mark, "left", spread_by=found
         )
 
         def turn(p: Column) -> Column:
-            at = F.array_position("_late", F.concat_ws("|", p["kind"], p["canon"]))
-            return F.coalesce(F.try_element_at("_turns", F.nullif(at.cast("int"), F.lit(0))), F.lit(0))
+            at = F.array_position(lates, F.concat_ws("|", p["kind"], p["canon"]))
+            return F.coalesce(F.try_element_at(turns_, F.nullif(at.cast("int"), F.lit(0))), F.lit(0))
 
-    cut = F.transform(pieces(F.col("_found")), lambda p: p.withField("turn", turn(p)))
+    cut = F.transform(pieces(F.col(found)), lambda p: p.withField("turn", turn(p)))
     done = F.transform(
         drawn(key, cut), lambda e: F.struct(e["at"].alias("at"), _formatted(e).alias("new"))
     )
-    rows = rows.withColumn("_new", F.when(F.size("_found") > 0, done))
+    rows = rows.withColumn(pieced, F.when(F.size(found) > 0, done))
     # the text between mentions, each followed by what replaces the mention
     joined = F.transform(
         F.split(text, PII, -1),
         lambda b, i: F.concat(
-            b, F.array_join(F.transform(F.filter("_new", lambda e: e["at"] == i), lambda e: e["new"]), "")
+            b, F.array_join(F.transform(F.filter(pieced, lambda e: e["at"] == i), lambda e: e["new"]), "")
         ),
     )
-    new = F.when(F.size("_found") > 0, F.array_join(joined, "")).otherwise(text)
+    new = F.when(F.size(found) > 0, F.array_join(joined, "")).otherwise(text)
     return rows.select(
-        *[new.alias("text") if c == "text" else F.col(f"`{c}`") for c in names],
-        F.size("_found").alias("n_entities"),
+        *[new.alias("text") if c == "text" else F.col(f"`{c}`") for c in names if c.lower() != "n_entities"],
+        F.size(found).alias("n_entities"),
     )
