@@ -1,7 +1,10 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from topicloom.functions.variational import digamma, expected_log, infer
 from topicloom.operators import embeddings, lda, topics
+from topicloom.operators.metrics import calc_metrics
 from topicloom.plans import runs
 
 
@@ -29,9 +32,51 @@ def test_lda_separates_two_vocabularies(corpus):
 
 
 def test_lda_keeps_every_word_within_bounds(corpus):
-    vectors, counts = lda.count_vectors(corpus)
-    assert sorted(counts.vocabulary) == ["cat", "comet", "dog", "horse", "moon", "orbit", "sheep", "star"]
-    assert vectors.count() == 61
+    cells = lda.count_cells(corpus)
+    weights = lda.lda_fit(cells, 2, passes=1)
+    words = ["cat", "comet", "dog", "horse", "moon", "orbit", "sheep", "star"]
+    assert sorted(r["word"] for r in weights.collect()) == words
+    assert lda.lda_topic_word(weights).count() == 16
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_lda_against_plain_numpy(corpus, limit):
+    """Two passes over two mini-batches, held and joined, against a loop over documents."""
+    cells = lda.count_cells(corpus)
+    start = lda.start_topic_word(cells.select("word").distinct(), 3, seed=5).collect()
+    words = {r["word"]: i for i, r in enumerate(sorted(start, key=lambda r: r["word"]))}
+    weights = np.array([r["f"] for r in sorted(start, key=lambda r: r["word"])])
+    docs = {}
+    for r in cells.withColumn("b", F.pmod(F.xxhash64("doc_id"), F.lit(2))).collect():
+        docs.setdefault((r["b"], r["doc_id"]), []).append((words[r["word"]], r["value"]))
+    t = 0
+    for batch in (0, 1, 0, 1):
+        t += 1
+        beta = expected_log(weights, weights.sum(axis=0))
+        added = np.zeros_like(weights)
+        mine = [d for (b, _), d in docs.items() if b == batch]
+        for d in mine:
+            at = [i for i, _ in d]
+            added[at] += infer(beta[at], np.array([n for _, n in d]), 1 / 3, 100, 1e-3)[1]
+        rate = (50 + t) ** -0.7
+        weights = (1 - rate) * weights + rate * (1 / 3 + len(docs) / len(mine) * added * beta)
+    got = lda.lda_fit(cells, 3, passes=2, seed=5, batches=2, limit=limit)
+    found = {r["word"]: r["f"] for r in got.collect()}
+    assert np.allclose([found[w] for w in words], weights, rtol=1e-9)
+    shares = lda.lda_transform(cells, got, corpus, 3, limit=limit).collect()
+    assert len(shares) == 61 and all(abs(sum(r["topics"]) - 1) < 1e-9 for r in shares)
+
+
+def test_digamma():
+    assert np.allclose(digamma(np.array([1.0, 0.5, 2.0])), [-0.5772156649015329, -1.9635100260214235, 0.42278433509846713], atol=1e-12)
+    x = np.array([0.01, 0.3, 4.0, 50.0])
+    assert np.allclose(digamma(x + 1), digamma(x) + 1 / x, atol=1e-10)
+
+
+def test_lda_metrics(corpus):
+    found = runs.lda_topics(corpus, 2)
+    scores = calc_metrics(found.topic_words, [3], ["coherence", "npmi"], found.cells, None, None).collect()
+    assert {r["metric"] for r in scores} == {"coherence", "npmi"}
 
 
 def test_word2vec_trains_vectors(corpus):

@@ -7,6 +7,8 @@ rows in place and needs no further exchange.
 
 from __future__ import annotations
 
+import math
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,9 +23,19 @@ from topicloom.plans.staging import (
 )
 
 
+# Text of one partition after the exchange, in bytes.
+PART_BYTES = 128 * 1024 * 1024
+
+
 def by_document(corpus: DataFrame) -> DataFrame:
-    """Co-locate everything about a document: the one exchange of the text."""
-    return corpus.select("doc_id", "text").repartition("doc_id")
+    """Co-locate everything about a document: the one exchange of the text.
+
+    The number of partitions follows the measured bytes of the text, and is the session's own where
+    that is more.
+    """
+    total = corpus.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    asked = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return corpus.select("doc_id", "text").repartition(max(asked, math.ceil(total / PART_BYTES)), "doc_id")
 
 
 def held_documents(corpus: DataFrame) -> DataFrame:

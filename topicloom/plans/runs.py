@@ -65,16 +65,17 @@ def nmf_topics(
 
 
 def lda_topics(
-    corpus: DataFrame, n_topics: int, n_total_words: int = 101, passes: int = 5
-) -> TopicRun:
+    corpus: DataFrame, n_topics: int, n_total_words: int = 101, passes: int = 5,
+    decimals: int | None = None,
+) -> TopicRun:
     """LDA topics of the document-frequency-bounded term counts."""
-    vectors, counts = lda.count_vectors(corpus)
-    vectors = stage(vectors, "count-vectors")
-    model = lda.lda_fit(vectors, n_topics, corpus.count(), passes)
-    topics = stage(lda.lda_transform(model, vectors), "doc-topics")
-    word_weights = lda.lda_topic_word(model, counts, n_total_words)
+    cells = lda.count_cells(corpus)
+    weights = stage(lda.lda_fit(cells, n_topics, passes), "lda-topics")
+    topics = lda.lda_transform(cells, weights, corpus, n_topics)
+    rounded = round_doc_topics(topics, n_topics if decimals is None else decimals)
+    word_weights = lda.lda_topic_word(weights)
     lists = stage(clean_topic_words(word_weights, n_total_words), "topic-words")
-    return TopicRun(n_topics, lists, word_weights, topics, vectors)
+    return TopicRun(n_topics, lists, word_weights, stage(rounded, "doc-topics"), cells)
 
 
 def run(

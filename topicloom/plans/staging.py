@@ -11,7 +11,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,22 +55,36 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _width(column: Column, kind: T.DataType) -> Column:
+    """Bytes of one value, nested ones counted to the leaves; a null counts as 8."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(column) + 24
+    elif isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)):
+            size = F.aggregate(
+                column, F.lit(24).cast("long"), lambda total, x: total + _width(x, kind.elementType)
+            )
+        else:
+            size = 8 * F.size(column) + 24
+    elif isinstance(kind, T.MapType):
+        size = _width(F.map_keys(column), T.ArrayType(kind.keyType)) + _width(
+            F.map_values(column), T.ArrayType(kind.valueType)
+        )
+    elif isinstance(kind, T.StructType):
+        size = F.lit(16)
+        for field in kind.fields:
+            size = size + _width(column.getField(field.name), field.dataType)
+    else:
+        size = F.lit(8)
+    return F.coalesce(size.cast("long"), F.lit(8).cast("long"))
+
+
 def measured_bytes(df: DataFrame) -> int:
     """Size of a (staged) table from its real lengths: one aggregate over the table."""
-    per_row = F.lit(0).cast("long")
+    per_row = F.lit(16).cast("long")
     for field in df.schema.fields:
-        column = F.col(f"`{field.name}`")
-        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
-            width = F.octet_length(column) + 24
-        elif isinstance(field.dataType, T.ArrayType):
-            if isinstance(field.dataType.elementType, T.StringType):
-                width = F.octet_length(F.array_join(column, "")) + 24 * F.size(column) + 24
-            else:
-                width = 8 * F.size(column) + 24
-        else:
-            width = F.lit(8)
-        per_row = per_row + F.coalesce(width.cast("long"), F.lit(8).cast("long"))
-    return df.agg(F.sum(per_row + 16)).first()[0] or 0
+        per_row = per_row + _width(F.col(f"`{field.name}`"), field.dataType)
+    return df.agg(F.sum(per_row)).first()[0] or 0
 
 
 def fits_broadcast(df: DataFrame, limit: int | None = None) -> bool:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,20 +13,27 @@ HEADER = r"^[0-9]+ [0-9]+\s*$"
 def read_word_vectors(spark: SparkSession, path: str) -> DataFrame:
     """``(word, vector array<float>)``; the first line of a repeated word wins.
 
-    A line whose number of values differs from the header's dimension raises an error.
+    Only the very first line (of the first file by name) is the header; later lines of two whole
+    numbers are words. A line whose number of values differs from the header's dimension raises an error.
     """
-    lines = spark.read.text(path)
-    header = lines.filter(F.col("value").rlike(HEADER)).first()
-    if header is None:
+    place = F.struct(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"),
+    )
+    lines = spark.read.text(path).select(place.alias("place"), "value")
+    header, first = lines.agg(F.min_by("value", "place"), F.min("place")).first()
+    if header is None or not re.match(HEADER, header):
         raise ValueError(f"no 'n dim' header line in {path}")
-    dim = int(header["value"].split()[1])
+    dim = int(header.split()[1])
     fields = F.split(F.rtrim("value"), " ", -1)
-    rows = lines.filter(~F.col("value").rlike(HEADER)).select(
-        F.struct(
-            F.col("_metadata.file_path"),
-            F.col("_metadata.file_block_start"),
-            F.monotonically_increasing_id().alias("at"),
-        ).alias("place"),
+    is_header = (
+        (F.col("place.path") == first["path"])
+        & (F.col("place.start") == first["start"])
+        & (F.col("place.at") == first["at"])
+    )
+    rows = lines.filter(~is_header).select(
+        "place",
         fields[0].alias("word"),
         F.slice(fields, 2, F.greatest(F.size(fields) - 1, F.lit(0))).alias("values"),
     )

@@ -20,8 +20,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.operators import metawords, text, topics
+from topicloom.operators import lda, metawords, text, topics
 from topicloom.operators.factor import doc_topics as with_all_documents
+from topicloom.plans import runs
 from topicloom.plans.shipping import ship_package  # noqa: F401  (used by the queries and the bench)
 from topicloom.plans.staging import ordered_index, shared_dir, stage
 from topicloom.sources.corpus import corpus_from_df, known_links
@@ -140,6 +141,17 @@ def seed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(listed.select("topic", "rank", "word"), "seed-words")
 
 
+@kept
+def lda_run(spark: SparkSession, sf_dir: str) -> runs.TopicRun:
+    """LDA with ten topics and all five passes."""
+    return runs.lda_topics(corpus(spark, sf_dir), 10)
+
+
+@kept
+def count_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lda.count_cells(corpus(spark, sf_dir))
+
+
 def all_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("paper_id"),

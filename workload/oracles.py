@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from topicloom.sources.corpus import MISSING_TEXTS
 from workload.inputs import LIST_SIZES, N_SEEDS, NEIGHBOURS, THRESHOLD
-from workload.queries import STOPWORDS
+
+# Stated here again, so that the SQL does not depend on the code it checks.
+MISSING_TEXTS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+]
+STOPWORDS = ["a", "an", "and", "for", "in", "of", "on", "the", "to", "with"]
 
 # name -> (names it needs, SQL). A statement lists the names it reads; needs are added before them.
 PARTS: dict[str, tuple[str, str]] = {}
+RECURSIVE = {"walk"}
 
 
 def part(name: str, needs: str, sql: str) -> None:
@@ -25,7 +31,10 @@ def statement(needs: str, select: str, recursive: bool = False) -> str:
 
     for name in needs.split():
         add(name)
-    listed = ",\n".join(f"{name} AS ({PARTS[name][1]})" for name in ordered)
+    # every part is computed once; a recursive part cannot be marked so
+    listed = ",\n".join(
+        f"{name} AS {'' if name in RECURSIVE else 'MATERIALIZED '}({PARTS[name][1]})" for name in ordered
+    )
     keyword = "WITH RECURSIVE " if recursive else "WITH "
     return (keyword + listed + "\n" if listed else "") + select
 
@@ -47,7 +56,7 @@ part("n", "", "SELECT count(*)::DOUBLE AS n FROM documents")
 part("tf", "space", "SELECT doc_id, word, count(*) AS n FROM space GROUP BY ALL")
 part("df", "tf", "SELECT word, count(*) AS df FROM tf GROUP BY word")
 part("w", "tf df n", """
-  SELECT doc_id, word, tf.n * (ln(n.n / df) + 1) AS v FROM tf JOIN df USING (word) CROSS JOIN n""")
+  SELECT doc_id, word, tf.n * (ln((SELECT n FROM n) / df) + 1) AS v FROM tf JOIN df USING (word)""")
 part("plain", "w", """
   SELECT doc_id, word, v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)) AS value FROM w""")
 part("vec", "runs", """
@@ -77,8 +86,8 @@ def cell_parts(suffix: str, tokens: str, neighbours: str) -> None:
   SELECT doc_id, metaword, sum(n * sim) AS ctf, sum(n) FILTER (sim > 0) AS npos
   FROM vtf{suffix} t JOIN {neighbours} b ON b.term = t.word GROUP BY ALL""")
     part(f"idf{suffix}", f"c{suffix} vec n", f"""
-  SELECT metaword, log10(max(n.n) / coalesce(nullif(sum(ctf / npos), 0), 0.001)) AS idf
-  FROM (SELECT word AS metaword FROM vec) LEFT JOIN c{suffix} USING (metaword) CROSS JOIN n
+  SELECT metaword, log10((SELECT n FROM n) / coalesce(nullif(sum(ctf / npos), 0), 0.001)) AS idf
+  FROM (SELECT word AS metaword FROM vec) LEFT JOIN c{suffix} USING (metaword)
   GROUP BY metaword""")
     part(f"x{suffix}", f"c{suffix} idf{suffix}", f"""
   SELECT doc_id, metaword AS word, ctf * idf AS value FROM c{suffix} JOIN idf{suffix} USING (metaword)""")
@@ -310,6 +319,43 @@ part("w1x", "w1", "SELECT doc_id, w0, w1, w2 FROM w1")
 half_sweep("h1", "word", "doc_id", "w1x", "h0", "w", "h")
 
 
+# --- latent Dirichlet allocation -----------------------------------------------------------------
+
+
+def digamma(x: str) -> str:
+    """Recurrence to x + 10, then the asymptotic series."""
+    steps = " + ".join(f"1 / ({x} + {i})" for i in range(10))
+    y = f"({x} + 10)"
+    series = f"ln({y}) - 1 / (2 * {y}) - 1 / (12 * {y} ** 2) + 1 / (120 * {y} ** 4) - 1 / (252 * {y} ** 6) + 1 / (240 * {y} ** 8)"
+    return f"({series} - ({steps}))"
+
+
+part("cnt", "tf df", """
+  SELECT doc_id, word, tf.n::DOUBLE AS c FROM tf JOIN df USING (word)
+  WHERE df >= 2 AND df <= 0.95::DOUBLE * (SELECT count(*) FROM documents)""")
+part("l0", "cnt", """
+  SELECT word, topic, (1 + (length(word) + topic) % 3)::DOUBLE AS f
+  FROM (SELECT DISTINCT word FROM cnt) CROSS JOIN (SELECT unnest(range(3)) AS topic)""")
+part("lbeta", "l0", f"""
+  SELECT word, topic, f, exp({digamma('f')} - {digamma('s')}) AS beta
+  FROM (SELECT *, sum(f) OVER (PARTITION BY topic) AS s FROM l0)""")
+# from equal weights every topic has the same factor t0, which leaves the first step's ratio
+part("lgamma", "cnt lbeta", """
+  SELECT doc_id, topic, 1 / 3::DOUBLE + sum(c * beta / s) AS g
+  FROM (SELECT doc_id, word, topic, c, beta, sum(beta) OVER (PARTITION BY doc_id, word) AS s
+        FROM cnt JOIN lbeta USING (word)) GROUP BY ALL""")
+part("ltheta", "lgamma", f"""
+  SELECT doc_id, topic, exp({digamma('g')} - {digamma('s')}) AS theta
+  FROM (SELECT *, sum(g) OVER (PARTITION BY doc_id) AS s FROM lgamma)""")
+part("lsum", "cnt lbeta ltheta", """
+  SELECT word, topic, sum(c * theta * beta / s) AS added
+  FROM (SELECT word, topic, c, theta, beta, sum(theta * beta) OVER (PARTITION BY doc_id, word) AS s
+        FROM cnt JOIN lbeta USING (word) JOIN ltheta USING (doc_id, topic)) GROUP BY ALL""")
+part("lnew", "l0 lsum", """
+  SELECT topic, word, (1 - 51 ** -0.7::DOUBLE) * f + 51 ** -0.7::DOUBLE * (1 / 3::DOUBLE + added) AS weight
+  FROM l0 JOIN lsum USING (word, topic)""")
+
+
 def factor_rows(table: str, key: str, m: str) -> str:
     return " UNION ALL ".join(
         f"SELECT {key}, {j} AS topic, round({m}{j}, 4) AS weight FROM {table}" for j in range(3)
@@ -423,6 +469,9 @@ def statements() -> dict[str, str]:
         "nmf_sweep_documents": statement("w1", factor_rows("w1", "doc_id", "w")),
         "nmf_sweep_words": statement("h1", factor_rows("h1", "word", "h")),
         "nmf_transform": statement("wt", factor_rows("wt", "doc_id", "w")),
+        "lda_update": statement("lnew", "SELECT topic::INTEGER AS topic, word, round(weight, 6) AS weight FROM lnew"),
+        "lda_doc_topics_total": "SELECT doc_id, 1.0::DOUBLE AS total FROM documents",
+        "lda_topic_word_size": statement("cnt", "SELECT word, 10 AS n_topics FROM cnt GROUP BY word"),
         "top_words": statement("ranked", "SELECT topic, rank, word, weight FROM ranked WHERE rank <= 101"),
         "drop_short_words": statement("df", """SELECT 0 AS topic, row_number() OVER (ORDER BY rank) AS rank, word
             FROM (SELECT word, row_number() OVER (ORDER BY df DESC, word) AS rank FROM df WHERE length(word) <= 2)

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from topicloom.functions import columns
 from topicloom.operators import (
     acronyms,
     embeddings,
@@ -385,15 +386,43 @@ def nmf_topic_words(spark, sf_dir):
 
 @query
 def lda_topic_words(spark, sf_dir):
-    return runs.lda_topics(given.corpus(spark, sf_dir), 10).topic_words
+    return given.lda_run(spark, sf_dir).topic_words
 
 
 @query
 def lda_doc_topics(spark, sf_dir):
-    docs = given.corpus(spark, sf_dir)
-    counted, _ = lda.count_vectors(docs)
-    model = lda.lda_fit(counted, 10, given.n_docs(spark, sf_dir))
-    return per_topic(lda.lda_transform(model, counted), "topics", "weight")
+    return per_topic(given.lda_run(spark, sf_dir).doc_topics, "topics", "weight")
+
+
+@query
+def lda_doc_topics_total(spark, sf_dir):
+    """A document's shares add up to one."""
+    shares = given.lda_run(spark, sf_dir).doc_topics
+    return shares.select("doc_id", F.round(columns.total(F.col("topics")), 6).alias("total"))
+
+
+@query
+def lda_topic_word_size(spark, sf_dir):
+    """Every counted word has a positive weight in every topic."""
+    weights = given.lda_run(spark, sf_dir).topic_word
+    return weights.filter("weight > 0").groupBy("word").agg(F.count("*").alias("n_topics"))
+
+
+@query
+def lda_update(spark, sf_dir):
+    """One update by the whole corpus from a fixed start, with one inner step per document."""
+    cells = given.count_cells(spark, sf_dir)
+    start = cells.select("word").distinct().select(
+        "word", F.array(*[1.0 + F.pmod(F.length("word") + t, F.lit(3)) for t in range(3)]).alias("f")
+    )
+    weights = lda.lda_fit(cells, 3, passes=1, steps=1, start=start, batches=1)
+    return lda.lda_topic_word(weights).withColumn("weight", F.round("weight", 6))
+
+
+@query
+def lda_metrics(spark, sf_dir):
+    found = given.lda_run(spark, sf_dir)
+    return metrics.calc_metrics(found.topic_words, LIST_SIZES, ["coherence", "npmi"], found.cells, None, None)
 
 
 @query
