@@ -15,7 +15,7 @@ from topicloom.plans.staging import stage
 def _large(links: DataFrame) -> DataFrame:
     both = links.select("u", "v").union(links.select("v", "u"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small(links: DataFrame) -> DataFrame:

@@ -38,9 +38,9 @@ BUCKET_BYTES, PARTITIONS = 32 << 20, 8192
 PACKED = 2_000_000
 # Parts of the hash space in the suffix filter.
 PARTS = 16
-# Star rounds before the members of different components meet, and the pairs per listed n-gram that
-# end them early.
-ROUNDS, FEW = 4, 8
+# Rounds with pivots before the members of different components meet, and the pairs per listed member
+# that end them early.
+ROUNDS, FEW = 2, 50
 KEY = 12
 
 
@@ -276,16 +276,16 @@ def survivors(shared: DataFrame, bits: int, num: int, den: int, partitions: int)
 
 
 def prefix_tokens(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """``(gram, cls, n, band, after, parts)`` for each prefix n-gram that other classes have too.
+    """``(gram, cls, n, alone, band, after, parts)`` for each prefix n-gram that other classes have too.
 
-    ``after`` n-grams follow it in the order, ``parts`` of them in each part of the hash space. Classes
+    ``alone`` n-grams of the class are in no other class, ``after`` n-grams follow it in the order, ``parts`` of them in each part of the hash space. Classes
     that can pass the length filter are in the same or in neighbouring bands.
     """
     width = np.log(den / num) * 1.0001
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["gram", "cls", "n", "band", "after", "parts"]
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32())]
+        names = ["gram", "cls", "n", "alone", "band", "after", "parts"]
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32())]
         for batch in batches:
             out = []
             for cls, n, alone, raw in zip(*(c.to_pylist() for c in batch.columns)):
@@ -296,12 +296,12 @@ def prefix_tokens(sets: DataFrame, num: int, den: int) -> DataFrame:
                 band = int(np.log(n) / width)
                 for i in range(min(prefix - alone, len(grams))):
                     left[part[i]] -= 1
-                    out.append((int(grams[i].astype(np.int64)), cls, n, band, len(grams) - i - 1, left.tolist()))
+                    out.append((int(grams[i].astype(np.int64)), cls, n, alone, band, len(grams) - i - 1, left.tolist()))
             for at in range(0, len(out), 4096):
                 yield _rows(names, kinds, out[at : at + 4096])
 
     return sets.select("cls", "n", "alone", "grams").mapInArrow(
-        work, "gram long, cls binary, n long, band int, after long, parts array<int>"
+        work, "gram long, cls binary, n long, alone long, band int, after long, parts array<int>"
     )
 
 
@@ -322,30 +322,45 @@ def passes(a: str, b: str, num: int, den: int):
 
 
 def star_pairs(tokens: DataFrame, num: int, den: int, turn: int) -> DataFrame:
-    """``(pivot, cls)``: every member of an n-gram's list with the list's pivots of its and the lower band.
+    """``(a, b, low, high)``: members of an n-gram's list with the list's pivots of its and the lower band.
 
-    The pivot is the smallest member of the band, by key in turn 0 and by a hash of it later.
+    In turn 0 a pivot is the member of the band with the fewest n-grams of its own (the likeliest
+    original of its copies), and every class meets only the best of its pivots; later pivots are the
+    smallest by a hash of class and turn, and all are met.
     """
-    rank = F.col("cls") if turn == 0 else F.xxhash64("cls", F.lit(turn))
+    rank = F.struct("alone", "cls") if turn == 0 else F.struct(F.xxhash64("cls", F.lit(turn)), "cls")
     fields = [c for c in tokens.columns if c not in ("gram", "band")]
     pivots = (
         tokens.groupBy("gram", "band")
-        .agg(F.min_by(F.struct(*fields), F.struct(rank, "cls")).alias("p"))
+        .agg(F.min_by(F.struct(*fields), rank).alias("p"))
         .select("gram", F.explode(F.array("band", F.col("band") + 1)).alias("band"), "p.*")
     )
     a, b = tokens.alias("a"), pivots.alias("b")
     met = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.band") == F.col("b.band")) & passes("a", "b", num, den))
-    if "root" in tokens.columns:
-        met = met.filter(F.col("a.root") != F.col("b.root"))
-    return met.select(F.col("b.cls").alias("pivot"), F.col("a.cls").alias("cls"))
+    met = met.filter(F.col("a.root") != F.col("b.root"))
+    if turn:
+        return met.select(*_pair("b", "a"))
+    pivot = F.struct("b.alone", "b.cls", "b.root")
+    met = met.groupBy(F.col("a.cls").alias("cls"), F.col("a.root").alias("root")).agg(F.min(pivot).alias("p"))
+    return met.alias("m").select("m.cls", "m.root", "m.p").alias("a").select(
+        *_pair("a", "a.p")
+    )
+
+
+def _pair(a: str, b: str) -> list:
+    """Two classes in order, and their roots in order."""
+    c, d, r, s = (F.col(x) for x in (f"{a}.cls", f"{b}.cls", f"{a}.root", f"{b}.root"))
+    return [F.least(c, d).alias("a"), F.greatest(c, d).alias("b"), F.least(r, s).alias("low"), F.greatest(r, s).alias("high")]
 
 
 def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """``(a, b, linked)`` of distinct pairs: the exact test on all n-grams that two classes can share."""
+    """``(a, b, low, high, linked)``: the exact test of distinct pairs on all n-grams they can share."""
     grams = sets.select("cls", "n", "grams")
     first = grams.toDF("b", "n_b", "grams_b")
     second = grams.toDF("a", "n_a", "grams_a")
-    both = pairs.join(first, "b").join(second, "a").select("a", "b", "n_a", "grams_a", "n_b", "grams_b")
+    both = pairs.join(first, "b").join(second, "a").select(
+        "a", "b", "n_a", "grams_a", "n_b", "grams_b", "low", "high"
+    )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -355,11 +370,10 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
                 a, b = np.frombuffer(raw_a, "<u8"), np.frombuffer(raw_b, "<u8")
                 same = len(np.intersect1d(a, b, assume_unique=True))
                 linked.append((num + den) * same >= num * (n_a + n_b))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"]
-            )
+            columns = [batch.column(c) for c in (0, 1, 6, 7)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(linked, pa.bool_())], ["a", "b", "low", "high", "linked"])
 
-    return both.mapInArrow(work, "a binary, b binary, linked boolean")
+    return both.mapInArrow(work, "a binary, b binary, low binary, high binary, linked boolean")
 
 
 def linked_classes(docs: DataFrame, known: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -372,49 +386,52 @@ def linked_classes(docs: DataFrame, known: DataFrame, width: int, num: int, den:
     shared = shared_grams(packs, bits, buckets, partitions)
     sets = stage(survivors(shared, bits, num, den, partitions), "jaccard-sets")
     tokens = stage(prefix_tokens(sets, num, den), "jaccard-prefixes")
-    done: DataFrame | None = None
-    roots: DataFrame | None = None
-
-    def settle(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Verify new pairs and bring the components up to date."""
-        pairs = pairs.select(F.least("pivot", "cls").alias("a"), F.greatest("pivot", "cls").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        fresh = stage(verify(pairs, sets, num, den), "jaccard-verified")
-        links = fresh.filter("linked").select("a", "b")
-        if roots is not None:
-            links = links.union(roots.toDF("a", "b"))
-        now = stage(components(links).toDF("cls", "root"), "jaccard-roots")
-        return (fresh if done is None else done.union(fresh)), now
-
-    # every class meets its smallest pivot, then those of other components
-    first = star_pairs(tokens, num, den, 0).groupBy("cls").agg(F.min("pivot").alias("pivot"))
-    done, roots = settle(first)
+    shared_lists = tokens.groupBy("gram").agg(F.count("*").alias("k")).filter("k > 1")
+    tokens = tokens.join(shared_lists, "gram", "left_semi").withColumn("root", F.col("cls"))
+    tokens = stage(tokens, "jaccard-lists")
+    tried: DataFrame | None = None
     for turn in range(ROUNDS + 1):
-        rooted = stage(
-            tokens.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")), "jaccard-rooted"
-        )
-        lists = rooted.groupBy("gram", "root").agg(F.count("*").alias("k"))
-        heads = lists.groupBy("gram").agg(
-            F.count("*").alias("roots"), F.max_by("root", F.struct("k", "root")).alias("head"),
-            F.max("k").alias("most"), F.sum("k").alias("all"),
-        ).filter("roots > 1")
-        heads = stage(heads.select("gram", "head", "most", "all"), "jaccard-heads")
-        pairs, listed = heads.agg(F.sum((F.col("all") - F.col("most")) * F.col("all")), F.sum("all")).first()
-        if not listed:
-            break
-        mixed = rooted.join(heads.select("gram", "head"), "gram")
-        if turn == ROUNDS or pairs <= FEW * listed:
-            # members outside the largest component of a list meet everybody of another component
-            a, b = mixed.filter("root <> head").alias("a"), mixed.alias("b")
-            met = a.join(
-                b,
-                (F.col("a.gram") == F.col("b.gram")) & (F.col("a.root") != F.col("b.root")) & passes("a", "b", num, den),
-            )
-            done, roots = settle(met.select(F.col("a.cls").alias("pivot"), F.col("b.cls").alias("cls")))
+        if turn:
+            # a list whose members all have one root is done for good
+            tokens = stage(_rerooted(tokens, fresh), "jaccard-rooted")  # noqa: F821
+            heads = stage(_mixed_lists(tokens), "jaccard-heads")
+            pairs, listed = heads.agg(F.sum((F.col("all") - F.col("most")) * F.col("all")), F.sum("all")).first()
+            if not listed:
+                break
+            tokens = tokens.join(heads.select("gram", "head"), "gram")
+            last = turn == ROUNDS or pairs <= FEW * listed
+            if last:  # members outside a list's largest component meet everybody of another component
+                a, b = tokens.filter("root <> head").alias("a"), tokens.alias("b")
+                meet = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.root") != F.col("b.root"))
+                met = a.join(b, meet & passes("a", "b", num, den)).select(*_pair("a", "b"))
+            else:
+                tokens = stage(tokens.drop("head"), "jaccard-mixed")
+                met = star_pairs(tokens, num, den, turn)
+            met = met.distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        else:
+            last = False
+            met = star_pairs(tokens, num, den, 0).distinct()
+        fresh = stage(verify(met, sets, num, den), "jaccard-verified")
+        tried = fresh if tried is None else tried.union(fresh)
+        if last:
             break
-        done, roots = settle(star_pairs(mixed.drop("head"), num, den, turn))
-    return roots
+    return components(tried.filter("linked").select("a", "b")).toDF("cls", "root")
+
+
+def _rerooted(tokens: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Bring roots together that new links connect."""
+    merged = components(fresh.filter("linked").select("low", "high")).toDF("root", "merged")
+    return tokens.join(merged, "root", "left").withColumn("root", F.coalesce("merged", "root")).drop("merged")
+
+
+def _mixed_lists(tokens: DataFrame) -> DataFrame:
+    """``(gram, head, most, all)`` of the lists with members of several roots; ``head`` is the commonest."""
+    lists = tokens.groupBy("gram", "root").agg(F.count("*").alias("k"))
+    heads = lists.groupBy("gram").agg(
+        F.count("*").alias("roots"), F.max_by("root", F.struct("k", "root")).alias("head"),
+        F.max("k").alias("most"), F.sum("k").alias("all"),
+    )
+    return heads.filter("roots > 1").drop("roots")
 
 
 def similar_documents(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
