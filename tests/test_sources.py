@@ -108,3 +108,19 @@ def test_document_topic_files(spark, tmp_path):
     ):
         lines = [line for p in (tmp_path / name).glob("part-*.csv") for line in p.read_text().splitlines()]
         assert set(lines) == expected
+
+
+def test_bracketed_topics_and_whole_number_words_stay(spark, tmp_path):
+    listed = metrics.topic_list(spark, ["[1] cat", "dog sun"])
+    results.write_topic_report(listed, 2, [2], str(tmp_path / "r"))
+    back = results.read_topic_report(spark, str(tmp_path / "r" / "result_topic_2"))
+    assert table(back, "topic", "rank", "word") == [(0, 1, "[1]"), (0, 2, "cat"), (1, 1, "dog"), (1, 2, "sun")]
+    path = tmp_path / "v.vec"
+    path.write_text("3 1\n7 5\ncat 2\n2005 1\n")
+    got = {r["word"]: r["vector"] for r in vectors.read_word_vectors(spark, str(path)).collect()}
+    assert got == {"7": [5.0], "cat": [2.0], "2005": [1.0]}
+
+
+def test_table_without_ids(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "t string, id2 int").coalesce(1)
+    assert table(corpus.corpus_from_df(rows, "t"), "doc_id", "text") == [(0, "a"), (1, "b"), (2, None)]

@@ -116,40 +116,41 @@ def entity_topic_total(positive: DataFrame, entity: str) -> DataFrame:
     )
 
 
-def row_percent(totals: DataFrame) -> DataFrame:
-    """Add ``row_pct``: percent of the entity's sum, 0 if that is 0."""
-    whole = F.sum("total").over(Window.partitionBy("entity"))
+def row_percent(totals: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Add ``row_pct``: percent of the entity's sum, 0 if that is 0; ``by`` keeps tables apart."""
+    whole = F.sum("total").over(Window.partitionBy(*by, "entity"))
     return totals.withColumn("row_pct", F.when(whole != 0, F.col("total") / whole * 100).otherwise(0.0))
 
 
-def column_percent(totals: DataFrame) -> DataFrame:
+def column_percent(totals: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Add ``col_pct``: percent of the topic's sum over all entities, 0 if that is 0.
 
     The sums are one row per topic and are joined back, so entities of a topic are never gathered.
     """
-    sums = totals.groupBy("topic").agg(F.sum("total").alias("whole"))
+    sums = totals.groupBy(*by, "topic").agg(F.sum("total").alias("whole"))
     share = F.when(F.col("whole") != 0, F.col("total") / F.col("whole") * 100).otherwise(0.0)
-    return totals.join(F.broadcast(sums), "topic").withColumn("col_pct", share).drop("whole")
+    return totals.join(F.broadcast(sums), [*by, "topic"]).withColumn("col_pct", share).drop("whole")
 
 
-def top10_share_per_topic(shares: DataFrame, n: int = 10) -> DataFrame:
+def top10_share_per_topic(shares: DataFrame, n: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
     """Add ``top_pct``: the n best entities of a topic rescaled to 100, every other one 0.
 
     Spark cuts each task to its best n before the shuffle; the n·k winners are joined back.
     """
-    order = Window.partitionBy("topic").orderBy(F.col("col_pct").desc(), "entity")
+    order = Window.partitionBy(*by, "topic").orderBy(F.col("col_pct").desc(), "entity")
     best = (
-        shares.select("topic", "entity", "col_pct")
+        shares.select(*by, "topic", "entity", "col_pct")
         .withColumn("place", F.row_number().over(order))
         .filter(F.col("place") <= n)
     )
-    whole = F.sum("col_pct").over(Window.partitionBy("topic"))
+    whole = F.sum("col_pct").over(Window.partitionBy(*by, "topic"))
     scaled = best.select(
+        *by,
         "topic",
         "entity",
         F.when(whole != 0, F.col("col_pct") / whole * 100).otherwise(0.0).alias("top_pct"),
     )
-    return shares.join(F.broadcast(scaled), ["topic", "entity"], "left").withColumn(
+    return shares.join(F.broadcast(scaled), [*by, "topic", "entity"], "left").withColumn(
         "top_pct", F.coalesce("top_pct", F.lit(0.0))
     )
 
@@ -181,9 +182,22 @@ def normalize_entities(
 ) -> dict[str, DataFrame]:
     """``normalized_topics_{name}`` for every link column; links are joined to topics once."""
     k = topic_count(doc_topics) if k is None else k
+    entities = entities or LINK_ENTITIES
     linked = percent_or_first(link_doc_topics(links, doc_topics))
-    positive = stage(positive_topics_map(linked), "link-topics")
+    # every link counts for each of its entities; all kinds go through the same jobs
+    kinds = F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("entity")) for c in entities]))
+    totals = (
+        positive_topics_map(linked)
+        .select("topics", kinds.alias("e"))
+        .filter(F.col("e.entity").isNotNull())
+        .select("e.kind", "e.entity", F.explode("topics").alias("topic", "pct"))
+        .groupBy("kind", "entity", "topic")
+        .agg(F.sum("pct").alias("total"))
+    )
+    totals = stage(totals, "entity-totals")
+    by = ("kind",)
+    shares = stage(top10_share_per_topic(column_percent(row_percent(totals, by), by), by=by), "entity-shares")
     return {
-        f"normalized_topics_{name}": entity_topic_table(entity_shares(positive, column), k)
-        for column, name in (entities or LINK_ENTITIES).items()
+        f"normalized_topics_{name}": entity_topic_table(shares.filter(F.col("kind") == column), k)
+        for column, name in entities.items()
     }

@@ -154,12 +154,16 @@ def split_hot_join(
 def ordered_index(df: DataFrame, *order, name: str) -> DataFrame:
     """Number rows 0, 1, 2, … in a global order without a single-partition window.
 
-    Rows are range-sorted and checkpointed; a row's number is its position inside its partition
-    plus the sizes of the partitions before it (one small row per partition).
+    Rows are range-sorted; a row's number is its position inside its partition plus the sizes of the
+    partitions before it (one small row per partition).
     """
-    rows = cut(df.orderBy(*order)).withColumn("_at", F.monotonically_increasing_id())
-    part = F.shiftright("_at", 33).alias("_p")
-    return _with_offsets(rows.withColumn("_p", part), ["_p"], name)
+    return row_index(df.orderBy(*order), name)
+
+
+def row_index(df: DataFrame, name: str) -> DataFrame:
+    """Number rows 0, 1, 2, … in the order the table has; the checkpoint holds that order still."""
+    rows = cut(df).withColumn("_at", F.monotonically_increasing_id())
+    return _with_offsets(rows.withColumn("_p", F.shiftright("_at", 33)), ["_p"], name)
 
 
 def scan_index(df: DataFrame, name: str) -> DataFrame:

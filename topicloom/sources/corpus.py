@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from topicloom.plans.staging import scan_index
+from topicloom.plans.staging import row_index, scan_index
 
 # Cell texts a delimited corpus file uses for "missing".
 MISSING_TEXTS = [
@@ -19,19 +19,23 @@ def text_or_empty(column: Column) -> Column:
     return F.when(column.isNull() | column.isin(MISSING_TEXTS), "").otherwise(column)
 
 
-def read_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """Pipe-separated file with a header; every column a string, quoted cells may span lines."""
+def read_delimited(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Pipe-separated file with a header; every column a string.
+
+    With ``multi_line`` quoted cells may span lines and a file is one task; without it a large file is
+    split over many.
+    """
     reader = spark.read.option("sep", "|").option("header", True).option("escape", '"')
     names = reader.csv(path).columns  # header only: no type inference pass
     schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
-    return reader.option("multiLine", True).schema(schema).csv(path)
+    return reader.option("multiLine", multi_line).schema(schema).csv(path)
 
 
 def read_corpus_csv(
-    spark: SparkSession, path: str, text_col: str, id_col: str = "id"
+    spark: SparkSession, path: str, text_col: str, id_col: str = "id", multi_line: bool = True
 ) -> DataFrame:
     """``(doc_id, text, other columns…)``; ids from ``id_col`` or, without one, the row number."""
-    rows = read_delimited(spark, path)
+    rows = read_delimited(spark, path, multi_line)
     columns = rows.columns
     if id_col not in columns:
         rows = scan_index(rows, id_col).withColumn(id_col, F.col(id_col).cast("string"))
@@ -51,9 +55,12 @@ def read_corpus_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def corpus_from_df(
-    df: DataFrame, text_col: str, id_col: str, entities: list[str] | None = None
+    df: DataFrame, text_col: str, id_col: str | None = None, entities: list[str] | None = None
 ) -> DataFrame:
-    """Pick text, id and entity columns of any table."""
+    """Pick text, id and entity columns of any table; without an id column, the row's place is the id."""
+    if id_col is None or id_col not in df.columns:
+        id_col = "doc_id"
+        df = row_index(df.select(text_col, *(entities or [])), id_col)
     return df.select(
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *(entities or [])
     )
@@ -64,9 +71,11 @@ def title_abstract_text(title: Column, abstract: Column) -> Column:
     return F.concat(F.coalesce(title, F.lit("")), F.lit(". "), F.coalesce(abstract, F.lit("")))
 
 
-def read_title_abstract(spark: SparkSession, path: str, id_col: str = "id") -> DataFrame:
+def read_title_abstract(
+    spark: SparkSession, path: str, id_col: str = "id", multi_line: bool = True
+) -> DataFrame:
     """``(doc_id, text)`` from a delimited file with ``title`` and ``abstract`` columns."""
-    rows = read_delimited(spark, path)
+    rows = read_delimited(spark, path, multi_line)
     if id_col not in rows.columns:
         rows = scan_index(rows, id_col)
     title, abstract = (text_or_empty(F.col(c)) for c in ("title", "abstract"))

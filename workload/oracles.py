@@ -254,8 +254,16 @@ part("part_texts", "", """
   SELECT p_partkey AS doc_id, lower(words || ' (' || initials || ')') AS text, p_size, p_brand
   FROM (SELECT *, array_to_string(list_transform(string_split(words, ' '), lambda x: left(x, 1)), '') AS initials
         FROM (SELECT *, p_type || ' ' || p_name AS words FROM part))""")
-for _name, _source in (("part_hits", "part_texts"), ("doc_hits", "documents")):
-    part(_name, "part_texts" if _name == "part_hits" else "", f"""
+part("marked", "", f"""
+  SELECT doc_id, text, w FROM (
+    SELECT doc_id, text, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]{{4,}}'),
+                                     lambda x: NOT list_contains([{quoted(STOPWORDS)}], x)) AS w FROM documents)
+  WHERE len(w) >= 3""")
+part("marked_texts", "marked", """
+  SELECT doc_id, w[1] || '-' || w[2] || ' ' || w[3] || ' (' || left(w[1], 1) || left(w[2], 1) || left(w[3], 1) || ') ' || text AS text
+  FROM marked""")
+for _name, _source in (("part_hits", "part_texts"), ("doc_hits", "marked_texts")):
+    part(_name, _source, f"""
   SELECT doc_id, i - 1 AS pos, toks[i + 1] AS acronym, toks FROM (
     SELECT doc_id, toks, unnest(range(1, len(toks) + 1)) AS i
     FROM (SELECT doc_id, regexp_extract_all(lower(text), '{ACRONYM_TOKENS}') AS toks FROM {_source}))
@@ -474,8 +482,8 @@ def statements() -> dict[str, str]:
         "lda_topic_word_size": statement("cnt", "SELECT word, 10 AS n_topics FROM cnt GROUP BY word"),
         "top_words": statement("ranked", "SELECT topic, rank, word, weight FROM ranked WHERE rank <= 101"),
         "drop_short_words": statement("df", """SELECT 0 AS topic, row_number() OVER (ORDER BY rank) AS rank, word
-            FROM (SELECT word, row_number() OVER (ORDER BY df DESC, word) AS rank FROM df WHERE length(word) <= 2)
-            WHERE rank <= 101 AND length(word) > 1"""),
+            FROM (SELECT word, row_number() OVER (ORDER BY df DESC, word) AS rank FROM df)
+            WHERE rank <= 2000 AND length(word) > 1"""),
         "similar_word_pairs": statement("plain_words", f"""SELECT a.topic, a.rank AS rank_a, b.rank AS rank_b,
             a.word AS word_a, b.word AS word_b, round({winkler('a.s', 'b.s')}, 6) AS similarity
             FROM plain_words a JOIN plain_words b ON a.topic = b.topic AND a.rank < b.rank"""),
@@ -530,6 +538,21 @@ def statements() -> dict[str, str]:
             FROM (SELECT doc_id, regexp_extract_all(lower(text), '{ACRONYM_TOKENS}') AS toks FROM documents)""",
         "find_acronyms": statement("before", "SELECT doc_id, pos, acronym, array_to_string(list_reverse(words), ' ') AS before FROM before"),
         "find_acronyms_documents": statement("doc_hits", "SELECT doc_id, pos, acronym FROM doc_hits"),
+        "expand_hyphenated": statement("marked", """SELECT doc_id, left(w[1], 1) || left(w[2], 1) || left(w[3], 1) AS acronym,
+            w[1] || '_' || w[2] || '_' || w[3] AS meaning FROM marked"""),
+        "load_punctuation": r"SELECT DISTINCT unnest(regexp_extract_all(text, '[^\p{L}\p{N}\s]')) AS mark FROM documents",
+        "title_abstract_file": """SELECT doc_id::VARCHAR AS doc_id, CASE WHEN lang <> 'en' THEN source ELSE '' END || '. ' ||
+            CASE WHEN source <> 'src0' THEN text ELSE '' END AS text FROM documents""",
+        "corpus_csv_by_lines": f"""SELECT doc_id::VARCHAR AS doc_id, CASE WHEN t IN ({missing}) THEN '' ELSE t END AS text
+            FROM (SELECT doc_id, replace(text, chr(10), ' ') AS t FROM documents)""",
+        "corpus_table_row_ids": "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, text, lang FROM documents",
+        "word_vectors_number_words": "SELECT vec_id::VARCHAR AS word, label AS x FROM embeddings",
+        "topic_report_brackets": statement("seeds", """SELECT topic, rank, CASE WHEN rank = 1 THEN '[1]' ELSE '' END || word AS word
+            FROM seeds WHERE rank <= 5"""),
+        "known_links_file": statement("links", "SELECT * REPLACE (paper_id::VARCHAR AS paper_id) FROM links"),
+        "calc_metrics_from_strings": statement("word_coherence word_pmi_size", " UNION ALL ".join([
+            summary("word_coherence", "coherence", "coherence", "t = 5"),
+            summary("word_pmi_size", "npmi", "npmi", "t = 5")])),
         "expand_acronym": statement("expanded", "SELECT doc_id, pos, acronym, meaning FROM expanded WHERE meaning <> ''"),
         "acronym_dictionary": statement("dictionary", "SELECT acronym, meaning FROM dictionary"),
         "dictionary_lines": statement("expanded", "SELECT doc_id, pos, meaning || '>>>>>' || acronym AS value FROM expanded WHERE meaning <> ''"),

@@ -103,6 +103,63 @@ def title_abstract(spark, sf_dir):
     return docs.select("doc_id", corpora.title_abstract_text(title, abstract).alias("text"))
 
 
+def _pipe_file(spark, table, name):
+    path = given.scratch(spark, name)
+    table.write.options(
+        sep="|", header=True, escape='"', quoteAll=True,
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    ).csv(path)
+    return path
+
+
+@query
+def title_abstract_file(spark, sf_dir):
+    """The same through a delimited file."""
+    docs = given.table(spark, sf_dir, "documents")
+    title = F.when(F.col("lang") != "en", F.col("source"))
+    abstract = F.when(F.col("source") != "src0", F.col("text"))
+    rows = docs.select(F.col("doc_id").alias("id"), title.alias("title"), abstract.alias("abstract"))
+    return corpora.read_title_abstract(spark, _pipe_file(spark, rows, "title-abstract"))
+
+
+@query
+def corpus_csv_by_lines(spark, sf_dir):
+    """A delimited file read line by line, so that it can be split."""
+    rows = given.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), F.regexp_replace("text", "\n", " ").alias("pp_text")
+    )
+    return corpora.read_corpus_csv(spark, _pipe_file(spark, rows, "corpus-lines"), "pp_text", multi_line=False)
+
+
+@query
+def corpus_table_row_ids(spark, sf_dir):
+    """A table without an id column."""
+    docs = given.table(spark, sf_dir, "documents").orderBy("doc_id")
+    return corpora.corpus_from_df(docs, "text", entities=["lang"])
+
+
+@query
+def word_vectors_number_words(spark, sf_dir):
+    """Words that are whole numbers with whole-number values are no headers."""
+    path = given.scratch(spark, "vectors-text")
+    rows = given.table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").cast("string").alias("word"), F.array(F.col("label").cast("float")).alias("vector")
+    )
+    vectors.write_word_vectors(rows, path)
+    return vectors.read_word_vectors(spark, path).select("word", F.element_at("vector", 1).cast("int").alias("x"))
+
+
+@query
+def topic_report_brackets(spark, sf_dir):
+    """Topics whose first word begins with a bracket stay topics."""
+    path = given.scratch(spark, "report")
+    listed = given.seed_words(spark, sf_dir).filter("rank <= 5").withColumn(
+        "word", F.when(F.col("rank") == 1, F.concat(F.lit("[1]"), "word")).otherwise(F.col("word"))
+    )
+    results.write_topic_report(listed, N_SEEDS, [5], path)
+    return results.read_topic_report(spark, f"{path}/result_topic_5")
+
+
 @query
 def word_vectors_text(spark, sf_dir):
     path = given.scratch(spark, "vectors-text")
@@ -181,6 +238,14 @@ def known_links(spark, sf_dir):
     return given.links(spark, sf_dir)
 
 
+@query
+def known_links_file(spark, sf_dir):
+    """The same through delimited files."""
+    links = _pipe_file(spark, given.all_links(spark, sf_dir), "links")
+    known = given.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality")
+    return corpora.read_links(spark, links, _pipe_file(spark, known, "known"))
+
+
 # --- tokens, vocabulary, counts ------------------------------------------------------------------
 
 
@@ -449,15 +514,14 @@ def _listed(spark, sf_dir):
 
 @query
 def drop_short_words(spark, sf_dir):
-    """Over single characters too: every space token of one or two characters is a weight-1 word."""
-    short = (
+    """The commonest space tokens of all documents, single characters among them, as one topic."""
+    common = (
         given.plain_cells(spark, sf_dir)
-        .filter(F.length("word") <= 2)
-        .groupBy(F.length("word").alias("topic"), "word")
+        .groupBy("word")
         .agg(F.count("*").alias("weight"))
-        .withColumn("topic", F.lit(0))
+        .select(F.lit(0).alias("topic"), "word", "weight")
     )
-    return topics.drop_short_words(topics.top_words(short, 101))
+    return topics.drop_short_words(topics.top_words(common, 2000))
 
 
 @query
@@ -510,16 +574,12 @@ def word_occurrence_plain(spark, sf_dir):
 
 @query
 def universe_size(spark, sf_dir):
-    cells, plain = given.cells(spark, sf_dir), given.plain_cells(spark, sf_dir)
-    sizes = [
-        table.agg(
-            F.lit(name).alias("cells_of"),
-            F.count("*").alias("n_cells"),
-            F.countDistinct("doc_id").alias("n_docs"),
-        )
-        for name, table in (("metaword", cells), ("word", plain))
+    tables = {"metaword": given.cells(spark, sf_dir), "word": given.plain_cells(spark, sf_dir)}
+    rows = [
+        (name, metrics.universe_size(table), metrics.universe_size(table, "docs"))
+        for name, table in tables.items()
     ]
-    return sizes[0].union(sizes[1])
+    return spark.createDataFrame(rows, "cells_of string, n_cells long, n_docs long")
 
 
 @query
@@ -612,6 +672,18 @@ def calc_metrics_from_list(spark, sf_dir):
     )
 
 
+@query
+def calc_metrics_from_strings(spark, sf_dir):
+    """Metrics of topics given as strings of words."""
+    listed = topics.head_words(given.seed_words(spark, sf_dir), 5).groupBy("topic").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "word"))).alias("w")
+    )
+    strings = [r[0] for r in listed.orderBy("topic").select(F.array_join("w.word", " ")).collect()]
+    return metrics.calc_metrics_from_list(
+        metrics.topic_list(spark, strings), ["coherence", "npmi"], given.plain_cells(spark, sf_dir), only_tfidf=True
+    )
+
+
 # --- entities ------------------------------------------------------------------------------------
 
 
@@ -753,12 +825,42 @@ def find_acronyms(spark, sf_dir):
     return hits.select("doc_id", "pos", "acronym", F.array_join("before", " ").alias("before"))
 
 
+def _marked_documents(spark, sf_dir):
+    """Documents that begin with their first three words, two of them joined by a hyphen, and initials."""
+    words = F.filter(
+        F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]{4,})"), 1), lambda w: ~w.isin(STOPWORDS)
+    )
+    docs = given.table(spark, sf_dir, "documents").select("doc_id", "text", words.alias("w")).filter(F.size("w") >= 3)
+    first = [F.get("w", F.lit(i)) for i in (0, 1, 2)]
+    initials = F.concat(*[F.substring(f, 1, 1) for f in first])
+    text_ = F.concat(first[0], F.lit("-"), first[1], F.lit(" "), first[2], F.lit(" ("), initials, F.lit(") "), "text")
+    return docs.select("doc_id", text_.alias("text"))
+
+
 @query
 def find_acronyms_documents(spark, sf_dir):
-    hits = acronyms.find_acronyms(given.corpus(spark, sf_dir))
+    hits = acronyms.find_acronyms(_marked_documents(spark, sf_dir))
     return hits.select("doc_id", "pos", "acronym")
 
 
+@query
+def expand_hyphenated(spark, sf_dir):
+    """A hyphenated word stands for two letters of the acronym."""
+    hits = acronyms.find_acronyms(_marked_documents(spark, sf_dir))
+    return acronyms.expand_acronym(hits, STOPWORDS).filter("pos = 2").select("doc_id", "acronym", "meaning")
+
+
+@query
+def load_punctuation(spark, sf_dir):
+    """Marks found in the documents, through a file with one per line."""
+    path = given.scratch(spark, "marks")
+    marks = given.table(spark, sf_dir, "documents").select(
+        F.explode(F.regexp_extract_all("text", F.lit(r"([^\p{L}\p{N}\s])"), 1)).alias("value")
+    )
+    marks.distinct().write.text(path)
+    return spark.createDataFrame([(m,) for m in acronyms.load_punctuation(spark, path)], "mark string")
+
+
 def _expanded(spark, sf_dir):
     return acronyms.expand_acronym(
         acronyms.find_acronyms(given.acronym_corpus(spark, sf_dir)), STOPWORDS
