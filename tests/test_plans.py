@@ -35,6 +35,8 @@ def test_no_cartesian_products(spark, corpus):
     unit = metawords.prepare_vectors(inputs.vectors(spark, SF))
     nearest = plan(metawords.knn_cosine(unit, 10))
     assert "CartesianProduct" not in nearest and "BroadcastNestedLoopJoin" not in nearest
+    # only a word's best k leave a task, so nothing is ranked or shuffled afterwards
+    assert nearest.index("MapInArrow") < nearest.index("Exchange") and "Window" not in nearest
 
 
 def test_top_words_are_cut_before_the_shuffle(spark):

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.functions.columns import unit
 from topicloom.operators.text import held_documents, term_frequency, tokens_by, tokens_word
-from topicloom.plans.staging import lookup_join, stage
+from topicloom.plans.staging import lookup_join, ordered_index, stage
 
 # Largest packed block of vectors in bytes; a task holds two blocks at a time.
 BLOCK_BYTES = 4 * 1024 * 1024
@@ -50,96 +49,113 @@ def prepare_vectors(vectors: DataFrame) -> DataFrame:
 def knn_cosine(vectors: DataFrame, k: int, min_sim: float | None = None) -> DataFrame:
     """``(metaword, term, sim, rank)``: exactly the k most similar words of every word, itself first.
 
-    Words are packed into blocks of bounded size by hash. Each unordered pair of blocks meets once
-    (block b meets b, b+1, … half way round the ring of blocks), one matrix product gives the
-    similarities both ways, and only a word's best k of the block leave the task. ``min_sim`` drops
-    smaller similarities before that cut; the best come first, so the final lists are the same.
-    ``vectors`` is ``(word, unit)`` with one row per word.
+    Words are packed into blocks of bounded size by hash. A task takes one block and streams all blocks
+    past it, its own first; it keeps the best k of each of its words so far, and only those leave it.
+    ``min_sim`` drops smaller similarities before that cut; the best come first, so the final lists are
+    the same. ``vectors`` is ``(word, unit)`` with one row per word.
     """
     shape = vectors.agg(F.count("*").alias("n"), F.max(F.size("unit")).alias("dim")).first()
     n, dim = shape["n"], shape["dim"] or 1
     cores = vectors.sparkSession.sparkContext.defaultParallelism
-    # enough pairs of blocks to keep the cores busy; more blocks only repeat more vectors
-    busy = min(-(-n // BLOCK_WORDS), math.ceil(math.sqrt(8 * cores)))
+    # enough blocks to keep the cores busy; more blocks only repeat more vectors
+    busy = min(-(-n // BLOCK_WORDS), 2 * cores)
     n_blocks = max(1, -(-n * 8 * dim // BLOCK_BYTES), busy)
+    places = ordered_index(vectors.select("word", "unit"), "word", name="place")
     blocks = stage(
-        vectors.groupBy(F.pmod(F.xxhash64("word"), F.lit(n_blocks)).cast("int").alias("block"))
-        .agg(F.sort_array(F.collect_list(F.struct("word", "unit"))).alias("rows"))
+        places.groupBy(F.pmod(F.xxhash64("word"), F.lit(n_blocks)).cast("int").alias("block"))
+        .agg(F.sort_array(F.collect_list(F.struct("place", "word", "unit"))).alias("rows"))
         .select(
             "block",
+            F.col("rows.place").alias("places"),
             F.col("rows.word").alias("words"),
             F.flatten("rows.unit").alias("matrix"),
         ),
         "vector-blocks",
     )
-    step = F.explode(F.sequence(F.lit(0), F.lit(n_blocks // 2))).alias("step")
-    left = blocks.select(
-        F.col("block").alias("a"), F.col("words").alias("a_words"), F.col("matrix").alias("a_matrix"), step
-    ).withColumn("b", F.pmod(F.col("a") + F.col("step"), F.lit(n_blocks)))
-    if n_blocks % 2 == 0:  # half way round an even ring both ends would list the pair
-        left = left.filter((F.col("step") < n_blocks // 2) | (F.col("a") < F.col("b")))
-    right = blocks.select(
-        F.col("block").alias("b"), F.col("words").alias("b_words"), F.col("matrix").alias("b_matrix")
+    every = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("task")
+    sent = blocks.select(every, "*").repartition(n_blocks, "task")
+    sent = sent.sortWithinPartitions("task", F.col("task") != F.col("block"), "block")
+    return sent.mapInArrow(
+        _nearest_of_block(k, min_sim), "metaword string, term string, sim double, rank int"
     )
-    pairs = left.join(right, "b").select("a", "b", "a_words", "a_matrix", "b_words", "b_matrix")
-    best = pairs.mapInArrow(
-        _block_neighbours(k, min_sim), "metaword string, term string, sim double"
-    )
-    order = Window.partitionBy("metaword").orderBy(
-        (F.col("metaword") != F.col("term")), F.col("sim").desc(), "term"
-    )
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _block_neighbours(k: int, min_sim: float | None):
-    """Arrow kernel: best k partners of every word for each pair of blocks."""
+def _nearest_of_block(k: int, min_sim: float | None):
+    """Arrow kernel over blocks sorted by task, the task's own block first."""
 
-    def lists(column: pa.Array, i: int) -> np.ndarray:
+    def values(column: pa.Array, i: int) -> np.ndarray:
         return column[i].values.to_numpy(zero_copy_only=False)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
         for batch in batches:
             for i in range(batch.num_rows):
-                a, b = batch.column("a")[i].as_py(), batch.column("b")[i].as_py()
-                a_words, b_words = lists(batch.column("a_words"), i), lists(batch.column("b_words"), i)
-                a_rows = lists(batch.column("a_matrix"), i).reshape(len(a_words), -1)
-                b_rows = lists(batch.column("b_matrix"), i).reshape(len(b_words), -1)
-                yield from tiles(a_words, a_rows, b_words, b_rows)
-                if a != b:
-                    yield from tiles(b_words, b_rows, a_words, a_rows)
-
-    def tiles(words, rows, others, other_rows) -> Iterator[pa.RecordBatch]:
-        height = max(1, TILE_CELLS // len(others))
-        for at in range(0, len(words), height):
-            sims = np.round(rows[at : at + height] @ other_rows.T, SIM_DECIMALS)
-            yield _best(sims, words[at : at + height], others, k, min_sim)
+                task, block = batch.column("task")[i].as_py(), batch.column("block")[i].as_py()
+                places, words = values(batch.column("places"), i), values(batch.column("words"), i)
+                rows = values(batch.column("matrix"), i).reshape(len(words), -1)
+                if task == block:
+                    if best is not None:
+                        yield best.table()
+                    best = _Nearest(places, words, rows, k, min_sim)
+                elif best is None or best.task != task:
+                    if best is not None:
+                        yield best.table()
+                    best = None
+                    continue  # a block without words of its own asks for nothing
+                best.task = task
+                best.meet(places, words, rows)
+        if best is not None:
+            yield best.table()
 
     return kernel
 
 
-def _best(
-    sims: np.ndarray, words: np.ndarray, others: np.ndarray, k: int, min_sim: float | None
-) -> pa.RecordBatch:
-    """Rows (word, other, sim) of the k largest similarities per word; ``others`` are sorted."""
-    least = np.full((len(sims), 1), -np.inf if min_sim is None else min_sim)
-    if sims.shape[1] > k:  # the k-th largest of each row; equal ones stay until they are ranked
-        least = np.maximum(least, np.partition(sims, -k, axis=1)[:, [-k]])
-    keep = sims >= least
-    row, col = np.nonzero(keep)
-    value = sims[row, col]
-    # a word itself ranks before equal similarities
-    order = np.lexsort((col, words[row] != others[col], -value, row))
-    row, col, value = row[order], col[order], value[order]
-    first = np.searchsorted(row, np.arange(len(words)))
-    chosen = np.arange(len(row)) - first[row] < k
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(words[row[chosen]], pa.string()),
-            pa.array(others[col[chosen]], pa.string()),
-            pa.array(value[chosen], pa.float64()),
-        ],
-        ["metaword", "term", "sim"],
-    )
+class _Nearest:
+    """The best k so far of each word of one block, in the order of rank."""
+
+    def __init__(self, places, words, rows, k: int, min_sim: float | None) -> None:
+        self.places, self.words, self.rows, self.k = places, words, rows, k
+        self.least = -np.inf if min_sim is None else min_sim
+        self.row, self.place, self.sim = np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0)
+        self.term = np.zeros(0, object)
+        self.cut = np.full(len(words), self.least)  # the k-th similarity so far
+        self.task = None
+
+    def meet(self, places, words, rows) -> None:
+        height = max(1, TILE_CELLS // len(words))
+        for at in range(0, len(self.words), height):
+            sims = np.round(self.rows[at : at + height] @ rows.T, SIM_DECIMALS)
+            floor = self.cut[at : at + height, None]
+            if sims.shape[1] > self.k:
+                floor = np.maximum(floor, np.partition(sims, -self.k, axis=1)[:, [-self.k]])
+            row, col = np.nonzero(sims >= floor)
+            self._merge(row + at, places[col], words[col], sims[row, col])
+
+    def _merge(self, row, place, term, sim) -> None:
+        row, place = np.concatenate([self.row, row]), np.concatenate([self.place, place])
+        term, sim = np.concatenate([self.term, term]), np.concatenate([self.sim, sim])
+        # a word itself ranks before equal similarities, then words in their order
+        order = np.lexsort((place, -sim, self.places[row] != place, row))
+        first = np.searchsorted(row[order], np.arange(len(self.words)))
+        order = order[np.arange(len(order)) - first[row[order]] < self.k]
+        self.row, self.place, self.term, self.sim = row[order], place[order], term[order], sim[order]
+        count = np.bincount(self.row, minlength=len(self.words))
+        full = count >= self.k
+        last = np.cumsum(count) - 1
+        self.cut[full] = np.maximum(self.least, self.sim[last[full]])
+
+    def table(self) -> pa.RecordBatch:
+        count = np.bincount(self.row, minlength=len(self.words))
+        rank = np.arange(len(self.row)) - np.repeat(np.cumsum(count) - count, count) + 1
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(self.words[self.row], pa.string()),
+                pa.array(self.term, pa.string()),
+                pa.array(self.sim, pa.float64()),
+                pa.array(rank.astype(np.int32)),
+            ],
+            ["metaword", "term", "sim", "rank"],
+        )
 
 
 def threshold_neighbours(neighbours: DataFrame, threshold: float | None) -> DataFrame:
