@@ -33,9 +33,9 @@ from topicloom.llm.components import components
 from topicloom.plans.staging import lookup_join, stage
 
 # Packed bytes of one bucket of the hash space, and partitions at most (a task takes its buckets in turn).
-BUCKET_BYTES, PARTITIONS = 32 << 20, 8192
+BUCKET_BYTES, PARTITIONS = 16 << 20, 8192
 # n-grams a task packs at a time.
-PACKED = 2_000_000
+PACKED = 1_000_000
 # Parts of the hash space in the suffix filter.
 PARTS = 16
 # Rounds with pivots before the members of different components meet, and the pairs per listed member

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import slices, unused
+from topicloom.llm.common import slices
 from topicloom.plans.staging import stage
 
 # Marks that are rare in prose.
@@ -76,8 +76,8 @@ def _logit(k: float, n: float) -> float:
     return float(np.log((k + 0.5) / (n - k + 0.5)))
 
 
-def with_statistics(docs: DataFrame, column: str = "_x") -> DataFrame:
-    """The documents with a ``column`` of transformed statistics; nothing moves."""
+def with_statistics(docs: DataFrame) -> DataFrame:
+    """The documents with a column ``_x`` of transformed statistics; nothing moves."""
     names = docs.columns
     at = names.index("text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
@@ -85,9 +85,9 @@ def with_statistics(docs: DataFrame, column: str = "_x") -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             x = pa.array([statistics(t) for t in batch.column(at).to_pylist()], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, x], [*names, column])
+            yield pa.RecordBatch.from_arrays([*batch.columns, x], [*names, "_x"])
 
-    return docs.mapInArrow(work, f"{fields}, `{column}` array<double>")
+    return docs.mapInArrow(work, f"{fields}, _x array<double>")
 
 
 @dataclass
@@ -152,8 +152,8 @@ def fit(rows: DataFrame, label: str, pooled: float = 0.6, diagonal: float = 0.02
     return Discriminant(n[1] / sum(n), means, factors)
 
 
-def scored(rows: DataFrame, model: Discriminant, keep: list[str], x: str = "_x", score: str = "score") -> DataFrame:
-    """``(…keep, score)`` of rows with a column ``x`` of statistics."""
+def scored(rows: DataFrame, model: Discriminant, keep: list[str]) -> DataFrame:
+    """``(…keep, score)`` of rows with a column ``_x`` of statistics."""
     fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,9 +161,9 @@ def scored(rows: DataFrame, model: Discriminant, keep: list[str], x: str = "_x",
             if batch.num_rows:
                 values = batch.column(len(keep)).flatten().to_numpy(zero_copy_only=False)
                 found = pa.array(model.scores(values.reshape(batch.num_rows, -1)))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], [*keep, score])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], [*keep, "score"])
 
-    return rows.select(*[F.col(f"`{c}`") for c in [*keep, x]]).mapInArrow(work, f"{fields}, `{score}` double")
+    return rows.select(*[F.col(f"`{c}`") for c in [*keep, "_x"]]).mapInArrow(work, f"{fields}, score double")
 
 
 def held_out(modulus: int, remainder: int):
@@ -196,8 +196,14 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataF
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The documents that the classifier accepts, with all their columns."""
     names = docs.columns
+    at = names.index("text")
     narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    known = stage(with_statistics(narrow).drop("text"), "quality-statistics")
-    x, score = unused(names, "_x"), unused(names, "score")
-    out = scored(with_statistics(docs, x), train(known, labels), names, x, score)
-    return out.filter(F.col(f"`{score}`") >= threshold).select(*[F.col(f"`{c}`") for c in names])
+    model = train(stage(with_statistics(narrow).drop("text"), "quality-statistics"), labels)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            x = np.array([statistics(t) for t in batch.column(at).to_pylist()])
+            yield batch.filter(pa.array(model.scores(x) >= threshold))
+
+    return docs.mapInArrow(work, fields)
