@@ -18,14 +18,18 @@ def as_lists(matrix: np.ndarray) -> pa.Array:
 
 
 class Rows:
-    """Sparse rows of a batch with ``terms`` and ``values`` array columns."""
+    """Sparse rows: row numbers, term numbers and values of all cells."""
 
-    def __init__(self, batch: pa.RecordBatch) -> None:
-        lengths = batch.column("terms").value_lengths().to_numpy(zero_copy_only=False)
-        self.n = batch.num_rows
+    def __init__(self, lengths: np.ndarray, term: np.ndarray, value: np.ndarray) -> None:
+        self.n = len(lengths)
         self.row = np.repeat(np.arange(self.n), lengths)
-        self.term = batch.column("terms").flatten().to_numpy(zero_copy_only=False)
-        self.value = batch.column("values").flatten().to_numpy(zero_copy_only=False)
+        self.term, self.value = term, value
+
+    @classmethod
+    def of_block(cls, batch: pa.RecordBatch, i: int) -> Rows:
+        """Rows of one block of a batch with packed ``lengths``, ``terms`` and ``values``."""
+        kinds = {"lengths": "<i4", "terms": "<i4", "values": "<f8"}
+        return cls(*[np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in kinds.items()])
 
     def times(self, h: np.ndarray) -> np.ndarray:
         """Rows times a term factor, one column at a time to keep memory at one number per cell."""

@@ -24,7 +24,6 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from topicloom.functions.columns import dominant, dot, total, zeros
 from topicloom.functions.descent import Rows, as_lists, as_matrix, coordinate_pass
@@ -35,8 +34,9 @@ from topicloom.plans.staging import cut, hot_keys, lookup_join, split_hot_join
 INIT_FLOOR = 1e-6
 # Columns the subspace iteration carries beyond the wanted ones.
 SVD_EXTRA = 10
-# Cells of X one task holds.
+# Cells of X one task holds, and documents of one packed block.
 PART_CELLS = 16_000_000
+BLOCK_DOCS = 1024
 
 
 @dataclass
@@ -89,26 +89,58 @@ def place(x: DataFrame, k: int, limit: int | None = None) -> HeldCells | JoinedC
         .groupBy("doc_id")
         .agg(F.collect_list(F.struct("term", "value")).alias("cells"))
         .select("doc_id", F.col("cells.term").alias("terms"), F.col("cells.value").alias("values"))
-        .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    return HeldCells(packed, names)
+    # staged: the order of documents in a block must not change when a lost part is read again
+    blocks = staging.stage(_blocks(packed), "cell-blocks")
+    return HeldCells(blocks.repartition(parts, "block").persist(StorageLevel.MEMORY_AND_DISK), names)
+
+
+def _blocks(packed: DataFrame) -> DataFrame:
+    """Rows of documents -> rows of many documents, cells as flat binary columns.
+
+    A pass then moves a few buffers per block instead of one array per document.
+    """
+    kind = packed.schema["doc_id"].dataType.simpleString()
+    names = ["block", "doc_ids", "lengths", "terms", "values"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK_DOCS):
+                part = batch.slice(at, BLOCK_DOCS)
+                ids = part.column(0)
+                lengths = part.column(1).value_lengths().to_numpy(zero_copy_only=False)
+                terms, values = (part.column(c).flatten().to_numpy(zero_copy_only=False) for c in (1, 2))
+                buffers = [lengths.astype("<i4"), terms.astype("<i4"), values.astype("<f8")]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([(part.column(3)[0].as_py() << 32) + n], pa.int64()),
+                        pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+                        *[pa.array([b.tobytes()], pa.binary()) for b in buffers],
+                    ],
+                    names,
+                )
+                n += 1
+
+    given = packed.select("doc_id", "terms", "values", F.spark_partition_id().alias("part"))
+    return given.mapInArrow(pack, f"block long, doc_ids array<{kind}>, lengths binary, terms binary, values binary")
 
 
 class HeldCells:
-    """X as one row of (terms, values) per document; per-word factors are driver-side matrices."""
+    """X as blocks of documents; per-word factors are driver-side matrices."""
 
     def __init__(self, x: DataFrame, names: list[str]) -> None:
-        self.x, self.names = x, names
-        self.doc_type = x.schema["doc_id"].dataType.simpleString()
+        self.x, self.names, self.kept = x, names, x
+        self.doc_type = x.schema["doc_ids"].dataType.elementType
 
     def documents(self) -> DataFrame:
-        return self.x.select("doc_id")
+        return self.x.select(F.explode("doc_ids").alias("doc_id"))
 
     def words(self) -> DataFrame:
         return self.frame(np.zeros((len(self.names), 0))).select("word")
 
     def release(self) -> None:
-        self.x.unpersist()
+        self.kept.unpersist()
 
     def frame(self, h: np.ndarray) -> DataFrame:
         """Matrix -> ``(word, f)``."""
@@ -142,12 +174,13 @@ class HeldCells:
             factor = held.value
             found = np.zeros_like(factor)
             for batch in batches:
-                rows = Rows(batch)
-                rows.add_transposed(rows.times(factor), found)
+                for i in range(batch.num_rows):
+                    rows = Rows.of_block(batch, i)
+                    rows.add_transposed(rows.times(factor), found)
             yield _terms(found)
 
         try:
-            rows = self.x.mapInArrow(partial, "term int, f array<double>")
+            rows = self.x.select("lengths", "terms", "values").mapInArrow(partial, "term int, f array<double>")
             return self._added(rows, *v.shape)
         finally:
             held.destroy()
@@ -158,10 +191,50 @@ class HeldCells:
 
         def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                weights = as_lists(Rows(batch).times(held.value))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), weights], ["doc_id", "f"])
+                for i in range(batch.num_rows):
+                    weights = as_lists(Rows.of_block(batch, i).times(held.value))
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[i].values, weights], ["doc_id", "f"])
+
+        return cut(self.x.mapInArrow(product, f"doc_id {self.doc_type.simpleString()}, f array<double>"))
+
+    def weights(self, w: DataFrame, k: int) -> DataFrame:
+        """``(doc_id, f)`` -> ``(block, f)`` with a block's weights in one binary value.
+
+        Documents of W without cells get blocks of their own, with no cells.
+        """
+        places = self.x.select("block", F.posexplode("doc_ids").alias("pos", "doc_id"))
+        spare = staging.stage(w.select("doc_id").join(places, "doc_id", "left_anti"), "documents-without-cells")
+        if not spare.isEmpty():
+            none = F.array().cast("array<int>"), F.array().cast("array<double>")
+            more = _blocks(spare.select("doc_id", none[0].alias("terms"), none[1].alias("values")))
+            more = staging.stage(more.withColumn("block", -1 - F.col("block")), "empty-blocks")
+            self.x = self.x.union(more)
+            places = self.x.select("block", F.posexplode("doc_ids").alias("pos", "doc_id"))
+        rows = (
+            places.join(w, "doc_id", "left")
+            .withColumn("f", F.coalesce("f", zeros(k)))
+            .groupBy("block")
+            .agg(F.array_sort(F.collect_list(F.struct("pos", "f"))).alias("rows"))
+            .select("block", F.flatten("rows.f").alias("f"))
+        )
+
+        def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                f = [np.array(v, "<f8").tobytes() for v in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f, pa.binary())], ["block", "f"])
 
-        return cut(self.x.mapInArrow(product, f"doc_id {self.doc_type}, f array<double>"))
+        return cut(rows.mapInArrow(flat, "block long, f binary"))
+
+    def per_document(self, w: DataFrame, k: int) -> DataFrame:
+        """``(block, f)`` -> ``(doc_id, f)``."""
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    f = np.frombuffer(batch.column(1)[i].as_buffer(), "<f8").reshape(-1, k)
+                    yield pa.RecordBatch.from_arrays([batch.column(0)[i].values, as_lists(f)], ["doc_id", "f"])
+
+        rows = self.x.select("block", "doc_ids").join(w.hint("shuffle_hash"), "block").select("doc_ids", "f")
+        return cut(rows.mapInArrow(spread, f"doc_id {self.doc_type.simpleString()}, f array<double>"))
 
     def sweep(
         self, w: DataFrame, h: np.ndarray, penalty: Penalty
@@ -169,36 +242,34 @@ class HeldCells:
         """W with H fixed, then H with W fixed: (W, H, violation, fit part of the objective)."""
         k = h.shape[1]
         held = self.x.sparkSession.sparkContext.broadcast((h, penalty.on(h.T @ h)))
-        l1, doc_type = penalty.l1, to_arrow_type(self.x.schema["doc_id"].dataType)
+        l1 = penalty.l1
 
         def half(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             factor, g = held.value
             # rows after the words': WᵀW, then (violation, mass) in the first column
             found = np.zeros((len(factor) + k + 2, k))
             for batch in batches:
-                rows, f = Rows(batch), as_matrix(batch.column("f"), k).copy()
-                violation = coordinate_pass(f, rows.times(factor) - l1, g)
-                rows.add_transposed(f, found[: len(factor)])
-                found[len(factor) : -2] += f.T @ f
-                found[-2:, 0] += violation.sum(), f.sum()
-                empty = pa.nulls(batch.num_rows, pa.int32())
+                new = []
+                for i in range(batch.num_rows):
+                    rows = Rows.of_block(batch, i)
+                    f = np.frombuffer(batch.column("f")[i].as_buffer(), "<f8").reshape(-1, k).copy()
+                    violation = coordinate_pass(f, rows.times(factor) - l1, g)
+                    rows.add_transposed(f, found[: len(factor)])
+                    found[len(factor) : -2] += f.T @ f
+                    found[-2:, 0] += violation.sum(), f.sum()
+                    new.append(f.tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), empty, as_lists(f)], ["doc_id", "term", "f"]
+                    [batch.column("block"), pa.array(new, pa.binary())], ["block", "f"]
                 )
-            sums = _terms(found)
-            no_doc = pa.nulls(sums.num_rows, doc_type)
-            yield pa.RecordBatch.from_arrays([no_doc, *sums.columns], ["doc_id", "term", "f"])
-
-        joined = self.x.join(w.hint("shuffle_hash"), "doc_id", "full_outer").select(
-            "doc_id",
-            F.coalesce("terms", F.array().cast("array<int>")).alias("terms"),
-            F.coalesce("values", F.array().cast("array<double>")).alias("values"),
-            F.coalesce("f", zeros(k)).alias("f"),
-        )
-        out = cut(joined.mapInArrow(half, f"doc_id {self.doc_type}, term int, f array<double>"))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([None], pa.int64()), pa.array([found.tobytes()], pa.binary())], ["block", "f"]
+            )
+
+        joined = self.x.join(w.hint("shuffle_hash"), "block").select("block", "lengths", "terms", "values", "f")
+        out = cut(joined.mapInArrow(half, "block long, f binary"))
         held.destroy()
         n = len(h)
-        sums = self._added(out.filter("term is not null"), n + k + 2, k)
+        sums = self._added(_unpacked(out.filter("block is null"), n + k + 2, k), n + k + 2, k)
         a, g_w = sums[:n], sums[n : n + k]
         moved, mass = sums[-2, 0], sums[-1, 0]
         h = h.copy()
@@ -206,11 +277,25 @@ class HeldCells:
         g_h = h.T @ h
         fit = float(np.sum(g_w * g_h)) / 2 - float(np.sum(h * a)) + l1 * (mass + float(h.sum()))
         fit += penalty.l2 / 2 * float(np.trace(g_w) + np.trace(g_h))
-        return out.filter("term is null").select("doc_id", "f"), h, float(moved), fit
+        return out.filter("block is not null"), h, float(moved), fit
 
     def norm2(self) -> float:
-        squares = F.sum(F.aggregate("values", F.lit(0.0), lambda acc, v: acc + v * v))
-        return self.x.agg(squares).first()[0] or 0.0
+        def squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [float((np.frombuffer(v.as_buffer(), "<f8") ** 2).sum()) for v in batch.column(0)]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64())], ["s"])
+
+        return self.x.select("values").mapInArrow(squares, "s double").agg(F.sum("s")).first()[0] or 0.0
+
+
+def _unpacked(rows: DataFrame, size: int, k: int) -> DataFrame:
+    """Tasks' packed sums -> ``(term, f)`` rows."""
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for f in batch.column(0):
+                yield _terms(np.frombuffer(f.as_buffer(), "<f8").reshape(size, k))
+
+    return rows.select("f").mapInArrow(spread, "term int, f array<double>")
 
 
 def _terms(found: np.ndarray) -> pa.RecordBatch:
@@ -332,7 +417,7 @@ def nmf_fit(
     k: int,
     alpha: float = 0.1,
     l1_ratio: float = 0.5,
-    max_iter: int = 200,
+    max_iter: int = 2500,
     tol: float = 1e-4,
     init: tuple[DataFrame, DataFrame] | None = None,
     track_objective: bool = False,
@@ -351,7 +436,7 @@ def nmf_fit(
         w, h = init if init is not None else _nndsvd(cells, k)
         w = cut(_covering(cells.documents(), w, "doc_id", k))
         if isinstance(cells, HeldCells):
-            h = cells.matrix(h, k)
+            w, h = cells.weights(w, k), cells.matrix(h, k)
         else:
             h = cut(_covering(cells.words(), h, "word", k))
             g_h, _ = gram(h, k)
@@ -367,7 +452,10 @@ def nmf_fit(
             first = moved if first is None else first
             if first == 0 or moved / first <= tol:
                 break
-        h = cells.frame(h) if isinstance(cells, HeldCells) else h.select("word", "f")
+        if isinstance(cells, HeldCells):
+            w, h = cells.per_document(w, k), cells.frame(h)
+        else:
+            h = h.select("word", "f")
         return Factors(w.select("doc_id", "f"), h, k, sweeps, history)
     finally:
         cells.release()
@@ -386,7 +474,7 @@ def nmf_transform(
     k: int,
     alpha: float = 0.1,
     l1_ratio: float = 0.5,
-    max_iter: int = 200,
+    max_iter: int = 2500,
     tol: float = 1e-4,
 ) -> DataFrame:
     """``(doc_id, f)``: document weights for fixed H, starting from zero.

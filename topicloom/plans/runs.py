@@ -5,12 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from topicloom.operators import factor, lda
 from topicloom.operators.entities import entity_topics
 from topicloom.operators.metawords import build_metawords, vocab_coverage
 from topicloom.operators.metrics import calc_metrics
-from topicloom.operators.text import held_documents, term_frequency, tf_idf, tokens_space, tokens_word
+from topicloom.operators.text import by_document, held_documents, term_frequency, tf_idf, tokens_space, tokens_word
 from topicloom.operators.topics import clean_topic_words, round_doc_topics
 from topicloom.plans.staging import stage
 from topicloom.sources import results
@@ -35,12 +36,21 @@ def plain_tfidf(corpus: DataFrame) -> DataFrame:
     return cells
 
 
+def present_words(corpus: DataFrame) -> DataFrame:
+    """Staged ``(doc_id, word, value)`` counts: non-zero exactly where plain TF-IDF is.
+
+    The metrics ask only which words a document has, so no weights are computed for them.
+    """
+    counts = term_frequency(tokens_space(by_document(corpus)))
+    return stage(counts.select("doc_id", "word", F.col("n").alias("value")), "present-words")
+
+
 def _nmf_run(
     corpus: DataFrame, cells: DataFrame, n_topics: int, n_total_words: int, max_iter: int,
-    decimals: int | None,
+    decimals: int | None, tol: float,
 ) -> TopicRun:
-    model = factor.nmf_fit(cells, n_topics, max_iter=max_iter)
-    weights = factor.nmf_transform(cells, model.h, n_topics)
+    model = factor.nmf_fit(cells, n_topics, max_iter=max_iter, tol=tol)
+    weights = factor.nmf_transform(cells, model.h, n_topics, max_iter=max_iter)
     topics = factor.doc_topics(corpus, weights, n_topics)
     rounded = round_doc_topics(topics, n_topics if decimals is None else decimals)
     word_weights = factor.topic_word(model.h)
@@ -50,18 +60,18 @@ def _nmf_run(
 
 def metaword_topics(
     corpus: DataFrame, cells: DataFrame, n_topics: int, n_total_words: int = 101,
-    max_iter: int = 200, decimals: int | None = None,
+    max_iter: int = 2500, decimals: int | None = None, tol: float = 1e-4,
 ) -> TopicRun:
     """NMF topics of a meta-word TF-IDF table."""
-    return _nmf_run(corpus, cells, n_topics, n_total_words, max_iter, decimals)
+    return _nmf_run(corpus, cells, n_topics, n_total_words, max_iter, decimals, tol)
 
 
 def nmf_topics(
-    corpus: DataFrame, n_topics: int, n_total_words: int = 101, max_iter: int = 200,
-    decimals: int | None = None,
+    corpus: DataFrame, n_topics: int, n_total_words: int = 101, max_iter: int = 2500,
+    decimals: int | None = None, tol: float = 1e-4,
 ) -> TopicRun:
     """NMF topics of the plain TF-IDF table."""
-    return _nmf_run(corpus, plain_tfidf(corpus), n_topics, n_total_words, max_iter, decimals)
+    return _nmf_run(corpus, plain_tfidf(corpus), n_topics, n_total_words, max_iter, decimals, tol)
 
 
 def lda_topics(
@@ -89,7 +99,8 @@ def run(
     list_sizes: list[int] | None = None,
     metrics: list[str] | None = None,
     entities: list[str] | None = None,
-    max_iter: int = 200,
+    max_iter: int = 2500,
+    tol: float = 1e-4,
 ) -> tuple[TopicRun, DataFrame]:
     """Corpus and word vectors to meta-word topics, document topics, metrics and entity tables.
 
@@ -98,11 +109,11 @@ def run(
     list_sizes = list_sizes or [10, 20, 30]
     metrics = metrics or ["npmi"]
     built = build_metawords(corpus, vectors, k_neighbors, threshold)
-    cells = built.tfidf
-    found = metaword_topics(corpus, cells, n_topics, n_total_words, max_iter)
+    cells = stage(built.tfidf, "metaword-tfidf")
+    found = metaword_topics(corpus, cells, n_topics, n_total_words, max_iter, tol=tol)
+    plain = present_words(corpus) if {"coherence", "npmi"} & set(metrics) else None
     scores = stage(
-        calc_metrics(found.topic_words, list_sizes, metrics, plain_tfidf(corpus), cells, vectors),
-        "metrics",
+        calc_metrics(found.topic_words, list_sizes, metrics, plain, cells, vectors), "metrics"
     )
     if path is not None:
         share = vocab_coverage(tokens_word(corpus), vectors).first()["coverage"]
