@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,25 @@ def unused(columns: list[str], name: str) -> str:
     return name
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def frugal(work: Callable) -> Callable:
+    """An Arrow function that hands freed memory back when its task ends.
+
+    Python workers live on and serve other stages, whose tasks would find that memory taken.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the text of one slice stays near ``limit`` bytes (one long text may pass it)."""
     for batch in batches:
         if batch.num_rows == 0:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import slices, unused
+from topicloom.llm.common import frugal, slices, unused
 from topicloom.plans.staging import cut
 
 # Largest benchmark text behind one automaton, in bytes.
@@ -152,7 +152,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, limit: int
                     [*names, *added],
                 )
 
-        out = out.mapInArrow(work, schema)
+        out = out.mapInArrow(frugal(work), schema)
         if len(parts) > 1:
             out = cut(out)
     return out
@@ -194,7 +194,7 @@ def report(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, limit: in
                 ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
             )
 
-    return found.select("doc_id", "text", "_ranges", "_items").mapInArrow(work, schema)
+    return found.select("doc_id", "text", "_ranges", "_items").mapInArrow(frugal(work), schema)
 
 
 def merge(ranges: list[list[int]]) -> list[tuple[int, int]]:

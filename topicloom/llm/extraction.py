@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import slices
+from topicloom.llm.common import frugal, slices
 
 # Smoothing width in lines, and the share of the standard deviation that separates content.
 SIGMA, SHARE = 1.0, 0.5
@@ -271,4 +271,4 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> Dat
             )
 
     given = pages.select(*keep, F.col("html").cast("string").alias("html"))
-    return given.mapInArrow(work, f"{fields}, text string, n_chars long")
+    return given.mapInArrow(frugal(work), f"{fields}, text string, n_chars long")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import mix, slices
+from topicloom.llm.common import frugal, mix, slices
 from topicloom.llm.components import components
 from topicloom.plans.staging import lookup_join, stage
 
@@ -96,7 +96,7 @@ def classes(docs: DataFrame, width: int) -> DataFrame:
                 ["doc_id", "cls", "n"],
             )
 
-    return docs.mapInArrow(work, f"doc_id {kind}, cls binary, n long")
+    return docs.mapInArrow(frugal(work), f"doc_id {kind}, cls binary, n long")
 
 
 _PACKS = "bucket int, classes binary, sizes binary, counts binary, grams binary"
@@ -179,7 +179,7 @@ def packed_sets(docs: DataFrame, width: int, bits: int) -> DataFrame:
         if held:
             yield from flush(held, keys)
 
-    return docs.select("text").mapInArrow(work, _PACKS)
+    return docs.select("text").mapInArrow(frugal(work), _PACKS)
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
@@ -233,7 +233,7 @@ def shared_grams(packs: DataFrame, bits: int, owners: int, partitions: int) -> D
                 yield _rows(names, kinds, out[at : at + 16])
 
     fed = packs.repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    return fed.mapInArrow(work, _PACKS + ", dfs binary, origin int")
+    return fed.mapInArrow(frugal(work), _PACKS + ", dfs binary, origin int")
 
 
 def survivors(shared: DataFrame, bits: int, num: int, den: int, partitions: int) -> DataFrame:
@@ -272,7 +272,7 @@ def survivors(shared: DataFrame, bits: int, num: int, den: int, partitions: int)
                 yield _rows(["cls", "n", "alone", "grams"], kinds, out[at : at + 256])
 
     fed = shared.repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    return fed.mapInArrow(work, "cls binary, n long, alone long, grams binary")
+    return fed.mapInArrow(frugal(work), "cls binary, n long, alone long, grams binary")
 
 
 def prefix_tokens(sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -301,7 +301,7 @@ def prefix_tokens(sets: DataFrame, num: int, den: int) -> DataFrame:
                 yield _rows(names, kinds, out[at : at + 4096])
 
     return sets.select("cls", "n", "alone", "grams").mapInArrow(
-        work, "gram long, cls binary, n long, alone long, band int, after long, parts array<int>"
+        frugal(work), "gram long, cls binary, n long, alone long, band int, after long, parts array<int>"
     )
 
 
@@ -373,7 +373,7 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
             columns = [batch.column(c) for c in (0, 1, 6, 7)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(linked, pa.bool_())], ["a", "b", "low", "high", "linked"])
 
-    return both.mapInArrow(work, "a binary, b binary, low binary, high binary, linked boolean")
+    return both.mapInArrow(frugal(work), "a binary, b binary, low binary, high binary, linked boolean")
 
 
 def linked_classes(docs: DataFrame, known: DataFrame, width: int, num: int, den: int) -> DataFrame:

@@ -21,10 +21,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import Numbered, slices
+from topicloom.llm.common import Numbered, frugal, slices
 
-# Entries after which a worker's table of known words is started anew.
-KNOWN_WORDS = 400_000
+# Entries after which a task's table of known words is started anew.
+KNOWN_WORDS = 600_000
 # Words of ASCII (without the apostrophe) and common Latin letters, and their runs once lower-cased.
 PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-įı-ňŊ-ž]+").fullmatch
 PARTS = re.compile(r"\n|[a-zß-öø-ž]+|[0-9]|[^\na-z0-9ß-öø-ž]+").findall
@@ -65,8 +65,6 @@ class WordEncoder:
     any other word goes to it whole.
     """
 
-    _kept: dict[str, WordEncoder] = {}
-
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -74,13 +72,6 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.words, self.parts = Encoded(), Encoded()
 
-    @classmethod
-    def of(cls, path: str) -> WordEncoder:
-        """The encoder that this Python worker already has."""
-        if path not in cls._kept:
-            cls._kept[path] = cls(path)
-        return cls._kept[path]
-
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """uint32 ids of all texts in one array, and where each text's ids end in it."""
         for name in ("words", "parts"):
@@ -193,7 +184,7 @@ def pack(
     )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, levels = WordEncoder.of(tokenizer), Levels(size)
+        encoder, levels = WordEncoder(tokenizer), Levels(size)
         for batch in slices(batches, "text"):
             rows: list[tuple] = []
             pid = batch.column(2)[0].as_py() << 33
@@ -214,7 +205,7 @@ def pack(
     given = docs.select(
         F.col("doc_id").cast("long"), F.col("text").cast("string"), F.spark_partition_id().alias("_pid")
     )
-    return given.mapInArrow(work, schema)
+    return given.mapInArrow(frugal(work), schema)
 
 
 def windows(pieces: DataFrame) -> DataFrame:

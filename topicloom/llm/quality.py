@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import slices
+from topicloom.llm.common import frugal, slices
 from topicloom.plans.staging import stage
 
 # Marks that are rare in prose.
@@ -87,7 +87,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
             x = pa.array([statistics(t) for t in batch.column(at).to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*batch.columns, x], [*names, "_x"])
 
-    return docs.mapInArrow(work, f"{fields}, _x array<double>")
+    return docs.mapInArrow(frugal(work), f"{fields}, _x array<double>")
 
 
 @dataclass
@@ -163,7 +163,7 @@ def scored(rows: DataFrame, model: Discriminant, keep: list[str]) -> DataFrame:
                 found = pa.array(model.scores(values.reshape(batch.num_rows, -1)))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], [*keep, "score"])
 
-    return rows.select(*[F.col(f"`{c}`") for c in [*keep, "_x"]]).mapInArrow(work, f"{fields}, score double")
+    return rows.select(*[F.col(f"`{c}`") for c in [*keep, "_x"]]).mapInArrow(frugal(work), f"{fields}, score double")
 
 
 def held_out(modulus: int, remainder: int):
@@ -206,4 +206,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
             x = np.array([statistics(t) for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array(model.scores(x) >= threshold))
 
-    return docs.mapInArrow(work, fields)
+    return docs.mapInArrow(frugal(work), fields)
