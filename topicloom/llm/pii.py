@@ -29,7 +29,7 @@ TITLES = {
 }
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _END = r"(?![\p{L}\p{N}])"
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]++\.)++\p{L}{2,}+" + _END
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]++\.)+\p{L}{2,}+" + _END
 SECRET = r"(?:[0-9a-fA-F]{32,}+|(?:sk|pk|ghp|gho|xoxb|xoxp|AKIA)[-_]?[A-Za-z0-9_-]{16,}+)" + _END
 IP = rf"(?<![0-9]\.){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?[0-9])" + _END
 PHONE = (
