@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,24 +24,45 @@ def unused(columns: list[str], name: str) -> str:
     return name
 
 
+# What a Python worker keeps from one task to the next of the same stage.
+_kept: dict = {}
+
+
+def kept(name: str, build: Callable):
+    """``build()`` once for all tasks of a stage in one Python worker."""
+    if name not in _kept:
+        _kept[name] = build()
+    return _kept[name]
+
+
 def frugal(work: Callable) -> Callable:
     """An Arrow function that hands freed memory back when its task ends.
 
-    Python workers live on and serve other stages, whose tasks would find that memory taken.
+    Python workers live on and serve other stages, whose tasks would find that memory taken. What an
+    earlier stage kept goes when the next one begins.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stage = TaskContext.get().stageId()
+        if _kept.get("stage") != stage:
+            _kept.clear()
+            _kept["stage"] = stage
+            _give_back()
         try:
             yield from work(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
-            if trim is not None:
-                trim(0)
+            _give_back()
 
     return run
 
 
+def _give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the text of one slice stays near ``limit`` bytes (one long text may pass it)."""
     for batch in batches:

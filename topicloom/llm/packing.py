@@ -21,10 +21,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import Numbered, frugal, slices
+from topicloom.llm.common import Numbered, frugal, kept, slices
 
-# Entries after which a task's table of known words is started anew.
-KNOWN_WORDS = 600_000
+# Entries after which a worker's table of known words is started anew.
+KNOWN_WORDS = 400_000
 # Words of ASCII (without the apostrophe) and common Latin letters, and their runs once lower-cased.
 PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-įı-ňŊ-ž]+").fullmatch
 PARTS = re.compile(r"\n|[a-zß-öø-ž]+|[0-9]|[^\na-z0-9ß-öø-ž]+").findall
@@ -184,7 +184,7 @@ def pack(
     )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, levels = WordEncoder(tokenizer), Levels(size)
+        encoder, levels = kept(f"encoder {tokenizer}", lambda: WordEncoder(tokenizer)), Levels(size)
         for batch in slices(batches, "text"):
             rows: list[tuple] = []
             pid = batch.column(2)[0].as_py() << 33
