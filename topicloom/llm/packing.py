@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from topicloom.llm.common import Numbered, frugal, kept, slices
 
 # Entries after which a worker's table of known words is started anew.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 250_000
 # Words of ASCII (without the apostrophe) and common Latin letters, and their runs once lower-cased.
 PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-įı-ňŊ-ž]+").fullmatch
 PARTS = re.compile(r"\n|[a-zß-öø-ž]+|[0-9]|[^\na-z0-9ß-öø-ž]+").findall
