@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from topicloom.llm.common import Numbered, frugal, kept, slices
 
-# Entries after which a worker's table of known words is started anew.
-KNOWN_WORDS = 250_000
+# Entries after which a worker's table of known words is started anew: more save time, fewer memory.
+KNOWN_WORDS = 1_000_000
 # Words of ASCII (without the apostrophe) and common Latin letters, and their runs once lower-cased.
 PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-įı-ňŊ-ž]+").fullmatch
 PARTS = re.compile(r"\n|[a-zß-öø-ž]+|[0-9]|[^\na-z0-9ß-öø-ž]+").findall
@@ -65,7 +65,8 @@ class WordEncoder:
     any other word goes to it whole.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int | None = None) -> None:
+        self.most = most or KNOWN_WORDS
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -76,7 +77,7 @@ class WordEncoder:
         """uint32 ids of all texts in one array, and where each text's ids end in it."""
         for name in ("words", "parts"):
             kept = getattr(self, name)
-            if len(kept.numbers) > KNOWN_WORDS or kept.chars > 32 * KNOWN_WORDS:
+            if len(kept.numbers) > self.most or kept.chars > 32 * self.most:
                 setattr(self, name, Encoded())
         texts = pc.fill_null(texts, "")
         for blank in "\n\t\r":
@@ -167,12 +168,13 @@ class Levels:
 
 
 def pack(
-    docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, with_ids: bool = False
-) -> DataFrame:
+    docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, with_ids: bool = False,
+    known_words: int | None = None,
+) -> DataFrame:
     """Pieces of documents and their places in windows of ``size`` tokens.
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are ignored. ``tokenizer`` is a file that
-    every executor has. Returns one row per piece: ``doc_id, start, length, ids_crc32, doc_tokens,
+    every executor has; ``known_words`` bounds each worker's table of words. Returns one row per piece: ``doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset`` and, if asked for, ``ids``. ``sequence_id`` is unique, not gapless.
 
     A null or empty text is one piece holding only ``end_id``. Repeated rows and null or repeated ids
@@ -184,7 +186,7 @@ def pack(
     )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, levels = kept(f"encoder {tokenizer}", lambda: WordEncoder(tokenizer)), Levels(size)
+        encoder, levels = kept(f"encoder {tokenizer}", lambda: WordEncoder(tokenizer, known_words)), Levels(size)
         for batch in slices(batches, "text"):
             rows: list[tuple] = []
             pid = batch.column(2)[0].as_py() << 33
