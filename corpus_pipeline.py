@@ -52,7 +52,8 @@ def private_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def packed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of the documents' pieces in windows of 2,048 tokens."""
     ship_package(spark)
-    return packing.pack(docs, word_tokenizer())
+    # the workers have served the stages before, so the table of words is kept small
+    return packing.pack(docs, word_tokenizer(), known_words=250_000)
 
 
 STAGES = [
