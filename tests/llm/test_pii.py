@@ -90,6 +90,45 @@ def test_real_entities_are_not_drawn(spark):
     assert new[1] != drawn and new[1] != new[2] and new[2] != drawn
 
 
+NAMED = {
+    "Then Mr. J. Smith came": "Then Mr. # # came",
+    "with Mr John F. Kennedy.": "with Mr # # #.",
+    "Frau Anna von Bülow kam": "Frau # von # kam",
+    "Señora Ana María García López dijo": "Señora # # # # dijo",
+    "Dr. Emily Watson and Prof. Miller": "Dr. # and Prof. #",
+    "Frau Prof. Dr. med. Eva-Maria van der Berg-Klein geht": "Frau Prof. Dr. med. # van der # geht",
+    "Mr. J.R.R. Tolkien; Mr. Lee  Ford, Mr. B. and": "Mr. # #; Mr. #, Mr. # and",
+    "Monsieur Valéry Giscard d'Estaing": "Monsieur # d'#",
+    "Señor García y Señora López": "Señor # y Señora #",
+    "Mr Smith Mrs Jones\nThe end": "Mr # Mrs #\nThe end",
+    "проф. А. Б. Иванов": "проф. # #",
+}
+
+
+def test_whole_names_after_titles(spark):
+    rows = [(i, t) for i, t in enumerate(NAMED)]
+    new = {r["doc_id"]: r["text"] for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    for (i, old), kept in zip(rows, NAMED.values()):
+        assert re.fullmatch(re.escape(kept).replace(r"\#", r"[^\W\d_a-zа-я][\w. ]*?"), new[i]), (old, new[i])
+        for word in re.findall(r"[A-ZÀ-ÖØ-ÞА-Я][\w-]*\w", re.sub("|".join(t + r"\b" for g in "fmn" for t in pii.TITLES[g]), "", old)):
+            assert word in kept or word not in new[i], (old, new[i])
+    assert re.fullmatch(r"Then Mr\. [A-Z]\. [A-Z][a-z]{5,} came", new[0]) and "J." not in new[0]
+    assert re.fullmatch(r"Dr\. [A-Z][a-z]+i [A-Z][a-z]+i and Prof\. [A-Z][a-z]+i", new[4])
+    assert re.match(r"Frau Prof\. Dr\. med\. [A-Z][a-z]+a van der ", new[5])
+
+
+def test_name_leaves_what_follows_whole(spark):
+    texts = [
+        "Mr Smith Anna.Smith@mail.example.com", "Mr Smith IBAN DE89 3704 0044 0532 0130 00",
+        "Mr Smith Password: x1y2z3q4", "Mr " + "Smith " * 50_000, "key sk-abcdefghijklmnopqrst here", "hex " + "abcdef" * 6,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sorted(pii.pseudonymise(docs, "k").collect(), key=lambda r: r["doc_id"])
+    assert [r["n_entities"] for r in rows] == [2, 2, 2, 1, 1, 1]
+    for r, gone in zip(rows, ("mail.", "3704", "x1y2", "Smith", "efgh", "abcdef")):
+        assert gone not in r["text"] and "Smith" not in r["text"]
+
+
 def test_empty_table_and_plan(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pii.pseudonymise(docs, "k").count() == 0

@@ -4,7 +4,9 @@ Entities are found by one pattern: e-mail addresses, announced, hexadecimal and
 phone numbers, bank accounts, social security numbers, card numbers, and names after a title. Every
 mention is reduced to its entity (kind and canonical form), the entity's surrogate is drawn from a
 keyed hash, and the surrogate takes the mention's format: separators, capitals, a valid check digit.
-Names keep the gender of their title and their script, e-mail addresses the script of their letters.
+Names keep the gender of their title (if it has one) and their script, e-mail addresses the script of
+their letters. An initial becomes an initial, so two initials may get the same letter; every other
+entity has a surrogate of its own.
 
 A surrogate depends on the entity, the key and a round only, so the same entity gets the same surrogate
 in every document without any table of entities. Distinctness is checked over all entities: where two
@@ -22,11 +24,18 @@ from pyspark.sql import functions as F
 from topicloom.llm.common import unused
 from topicloom.plans.staging import lookup_join, stage
 
-# Titles that tell the gender of the name that follows; fixed values.
+# Titles by the gender of the name that follows, "n" for those that do not tell; fixed values.
 TITLES = {
     "f": "Mrs Ms Miss Madam Lady Frau Señora Señorita Sra Madame Mademoiselle Mme Mlle госпожа г-жа Κυρία κυρία".split(),
     "m": "Mr Sir Herr Señor Monsieur господин г-н Κύριος κύριος".split(),
+    "n": "Dr Prof Professor Doctor Doktor Docteur Mx доктор Доктор д-р профессор Профессор проф Δρ".split(),
 }
+# Lower-case words inside a name, and abbreviated first names longer than a letter; fixed values.
+PARTICLES = (
+    "von vom van zu zur zum de del della dello delle dei degli di da do dos das du des la las lo los le el y e i"
+    " bin ibn ben bint binti abu al ap af av te ten ter"
+).split()
+INITIALS = "Ph Th Ch Chr St Ste Wm Geo Дж".split()
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _END = r"(?![\p{L}\p{N}])"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]++\.)+\p{L}{2,}+" + _END
@@ -42,11 +51,22 @@ CARD = r"(?:[0-9]{13,19}+|[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,4})?|[0-9]
 # A value after a word that says it is a credential; it must hold a digit. Only the value is replaced.
 KEYED = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,3}[:=]\s{0,3}[\"']?"
 VALUE = r"(?=[\p{L}_+/.=~-]*+[0-9])[\p{L}\p{N}_+/.=~-]{6,}+"
-_NAME = r"\p{Lu}[\p{L}'’-]*+"
-NAME = rf"(?:{'|'.join(t for g in sorted(TITLES) for t in TITLES[g])})\.?\s{{1,3}}{_NAME}(?: {_NAME}){{0,2}}"
+# A title or a chain of them, as in "Frau Dr. med."; then any number of name words on one line.
+_GAP = r"[\s\h]{1,3}"
+_TITLE = "(?:" + "|".join(t for g in sorted(TITLES) for t in TITLES[g]) + ")"
+TITLED = rf"(?:{_TITLE}(?:\.?-Ing)?\.?{_GAP}(?:\p{{Ll}}{{1,5}}\.[\s\h]{{0,3}})*+)++"
+_WORD = r"\p{Lu}[\p{L}\p{M}'’-]*+"
+# No name word is a title, an announced credential, or the beginning of an address or a number.
+_OTHER = rf"(?!{_TITLE}\.?{_GAP}|{KEYED}|[\p{{L}}\p{{N}}._%+-]*+@)"
+_LAST = rf"{_OTHER}(?:\p{{Ll}}{{1,3}}['’-]){{0,2}}+{_WORD}(?!\p{{N}})"
+_INITIAL = rf"{_OTHER}(?:\p{{Lu}}|{'|'.join(INITIALS)})\.-?"
+# "der" and its like are articles too and count only after a preposition
+_PARTICLE = rf"(?:(?:von|van|zu|auf|op|in) (?:der|den|dem|het|de|['’]t)|{'|'.join(PARTICLES)}|['’]t)"
+_NAME = rf"(?:(?:{_INITIAL}[\s\h]{{0,3}}|{_PARTICLE}{_GAP})*+{_LAST}|{_INITIAL}(?:\h{{0,3}}{_INITIAL})*+)"
+NAME = rf"{TITLED}{_NAME}(?:\h{{1,3}}{_NAME})*+"
 PII = rf"{EMAIL}|(?<![\p{{L}}\p{{N}}])(?:{KEYED}{VALUE}|{SECRET}|{IP}|{PHONE}|{IBAN}|{SSN}|{CARD}|{NAME})"
 # A text without any of these holds no entity; cheap to test.
-HINT = rf"[0-9@]|(?:{'|'.join(t for g in sorted(TITLES) for t in TITLES[g])})\.?\s"
+HINT = rf"[0-9@]|(?<![\p{{L}}\p{{N}}])(?:{_TITLE}(?:\.?-Ing)?\.?[\s\h]|{SECRET})"
 
 # Letters by script for surrogates, and consonants and vowels for names; fixed values.
 LETTERS = {
@@ -57,9 +77,9 @@ LETTERS = {
     "Latin": "abcdefghijklmnopqrstuvwxyz",
 }
 SOUNDS = {
-    "Cyrillic": ("бвгдзклмнпрст", "аеиоу", {"f": "а", "m": "в"}),
-    "Greek": ("βγδζθκλμνπρστ", "αειου", {"f": "α", "m": "ς"}),
-    "Latin": ("bdfgklmnprstv", "aeiou", {"f": "a", "m": "n"}),
+    "Cyrillic": ("бвгдзклмнпрст", "аеиоу", {"f": "а", "m": "в", "n": "о"}),
+    "Greek": ("βγδζθκλμνπρστ", "αειου", {"f": "α", "m": "ς", "n": "ι"}),
+    "Latin": ("bdfgklmnprstv", "aeiou", {"f": "a", "m": "n", "n": "i"}),
 }
 
 
@@ -119,7 +139,9 @@ def _luhn(digits: Column) -> Column:
 def kind_of(mention: Column) -> Column:
     """Kind of a mention; names carry gender and script."""
     script = F.when(mention.rlike(r"\p{IsCyrillic}"), "Cyrillic").when(mention.rlike(r"\p{IsGreek}"), "Greek").otherwise("Latin")
-    female = mention.rlike(rf"^(?:{'|'.join(TITLES['f'])})\.?\s")
+    titles = F.regexp_extract(mention, f"^{TITLED}", 0)
+    told = lambda g: titles.rlike(rf"(?<![\p{{L}}-])(?:{'|'.join(TITLES[g])})(?![\p{{L}}-])")
+    gender = F.when(told("f"), "f ").when(told("m"), "m ").otherwise("n ")
     whole = lambda pattern: mention.rlike(f"^(?:{pattern})$")
     return (
         F.when(mention.rlike(f"^{KEYED}{VALUE}"), "keyed")
@@ -131,7 +153,7 @@ def kind_of(mention: Column) -> Column:
         .when(whole(CARD), "card")
         .when(whole(IBAN), "iban")
         .when(whole(SECRET), "secret")
-        .otherwise(F.concat(F.lit("name "), F.when(female, "f ").otherwise("m "), script))
+        .otherwise(F.concat(F.lit("name "), gender, script))
     )
 
 
@@ -231,6 +253,9 @@ def _formatted(e: Column) -> Column:
         ),
         "",
     )
+    # one letter, and another one than before: a drawn name begins with a consonant and a vowel
+    first = F.when(new.substr(1, 1) == e["canon"], new.substr(2, 1)).otherwise(new.substr(1, 1))
+    new = F.when(kind.startswith("name") & (F.length(raw) == 1), first).otherwise(new)
     letters = F.regexp_replace(raw, r"[^\p{L}]", "")
     cased = (
         F.when((F.length(letters) > 1) & (letters == F.upper(letters)) & (letters != F.lower(letters)), F.upper(new))
@@ -255,18 +280,20 @@ def mentions(text: Column) -> Column:
 def pieces(found: Column) -> Column:
     """``array<struct<at, raw, kind, canon>>`` of an array of mentions.
 
-    ``at`` is the mention's number. A name is cut into its title, separators and words, a credential
-    into what announces it and its value; only words and values have a kind. Any other mention is one
-    piece.
+    ``at`` is the mention's number. A name is cut into its titles, separators with particles, and words, a
+    credential into what announces it and its value; only words and values have a kind. Any other mention
+    is one piece.
     """
     kinds = F.transform(found, lambda m, i: F.struct(i.alias("at"), m.alias("m"), kind_of(m).alias("kind")))
 
     def cut(e: Column) -> Column:
-        parts = F.regexp_extract_all(e["m"], F.lit(r"\p{L}[\p{L}'’-]*|[^\p{L}]+"), F.lit(0))
+        titles = F.regexp_extract(e["m"], f"^{TITLED}", 0)
+        rest = e["m"].substr(F.length(titles) + 1, F.length(e["m"]))
+        parts = F.concat(F.array(titles), F.regexp_extract_all(rest, F.lit(rf"{_WORD}|[^\p{{Lu}}]++"), F.lit(0)))
         named = F.transform(
             parts,
             lambda w, j: F.struct(
-                e["at"].alias("at"), w.alias("raw"), F.when((j > 0) & w.rlike(r"^\p{L}"), e["kind"]).alias("kind")
+                e["at"].alias("at"), w.alias("raw"), F.when((j > 0) & w.rlike(r"^\p{Lu}"), e["kind"]).alias("kind")
             ),
         )
         start = F.regexp_extract(e["m"], f"^{KEYED}", 0)
