@@ -30,6 +30,36 @@ def test_page_without_article_element():
     ]
 
 
+def _paragraphs(name, n, length=150):
+    return [f"{name}{i} ".ljust(length, "x") for i in range(n)]
+
+
+def _html(texts):
+    return "".join(f"<p>{t}</p>" for t in texts)
+
+
+def test_one_very_long_paragraph_hides_no_section():
+    before, after, long = _paragraphs("a", 20), _paragraphs("b", 20), ["y" * 20_000]
+    middle = ["Head", *long, "End of it"]
+    menu = "<ul><li><a href=a>Start</a><li><a href=b>Shop</a></ul>"
+    for tag in ("section", "div", "blockquote"):
+        page = f"<body>{menu}<div><{tag}>{_html(before)}</{tag}><{tag}>{_html(middle)}</{tag}><{tag}>{_html(after)}</{tag}></div>{menu}</body>"
+        assert main_text(page).split("\n") == [*before, *middle, *after]
+
+
+def test_short_section_beside_a_long_one():
+    texts = _paragraphs("a", 10, 400)
+    page = f"<body><div>{_html(texts)}</div><div><h2>Needed</h2><ul><li>Salt<li>Two eggs</ul></div><ul><li><a href=c>More</a></ul></body>"
+    assert main_text(page).split("\n") == [*texts, "Needed", "Salt", "Two eggs"]
+
+
+def test_several_articles_and_text_beside_them():
+    one, two, lead = _paragraphs("a", 3, 900), ["Short note."], _paragraphs("lead", 2, 600)
+    nav = "<nav><ul><li><a href=a>Start</a></ul></nav>"
+    page = f"<body>{nav}<div><h2>Lead</h2>{_html(lead)}</div><article>{_html(one)}</article><article>{_html(two)}</article></body>"
+    assert main_text(page).split("\n") == ["Lead", *lead, *one, *two]
+
+
 def test_broken_markup():
     assert main_text("<article><p>one two three <b>four<p>five six seven</article>") == "one two three four\nfive six seven"
     assert main_text("plain text only") == "plain text only"

@@ -3,9 +3,11 @@
 The standard library's parser streams events over the whole page. Every block element ends a line;
 a line knows its text, its tags, how much of the text is linked and whether an ancestor marks it as
 page furniture. The ratio of text to tags per line (zero for furniture and for link lists) is smoothed
-with a Gaussian, and lines above a share of its standard deviation form the content clusters. The
-region of the page tree that holds the clusters is then taken as a whole: inside it no line is lost
-to shortness, only furniture is left out.
+with a Gaussian, and lines above a share of its standard deviation form the content clusters; very
+long lines are clipped for that deviation. The regions of the page tree that hold the clusters are then
+taken as a whole: inside them no line is lost to shortness, only furniture is left out. A page with
+articles gives all of them and the clusters beside them; on any other page the region grows while text
+that is neither furniture nor a link list lies beside it.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from topicloom.llm.common import frugal, slices
 
 # Smoothing width in lines, and the share of the standard deviation that separates content.
 SIGMA, SHARE = 1.0, 0.5
+# Ratios count in the deviation up to so many times their third quartile.
+CLIP = 4.0
 
 # Fixed values of HTML: elements without an end tag, elements that break a line, elements never shown.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -204,31 +208,44 @@ def content_lines(lines: list[tuple], sigma: float = SIGMA, share: float = SHARE
     )
     if not ratios.any():
         return [i for i, line in enumerate(lines) if not line[4]]
-    high = smooth(ratios, sigma) >= share * ratios.std()
+    clipped = np.minimum(ratios, CLIP * np.quantile(ratios[ratios > 0], 0.75))
+    high = smooth(ratios, sigma) >= share * clipped.std()
     return [int(i) for i in np.flatnonzero(high & (ratios > 0))]
 
 
+def _up(node: Node | None) -> Iterator[Node]:
+    """The element and those around it, inmost first."""
+    while node:
+        yield node
+        node = node.parent
+
+
 def region(lines: list[tuple], chosen: list[int]) -> set[Node]:
-    """Elements whose lines are taken: the articles of the chosen lines, or else what they share."""
-    homes = set()
-    for i in chosen:
-        node = home = lines[i][3]
-        while node.parent:
-            if node.tag in CONTENT:
-                home = node
-            node = node.parent
-        homes.add(home)
-    articles = {h for h in homes if h.tag in CONTENT}
+    """Elements whose lines are taken: all articles with what lies beside them, or what the chosen lines share."""
+    articles, around = set(), set()
+    for _, _, _, home, furniture in lines:
+        held = [] if furniture else [n for n in _up(home) if n.tag in CONTENT]
+        if held and held[-1] not in articles:
+            articles.add(held[-1])
+            around.update(_up(held[-1].parent))
     if articles:
-        return articles
+        beside = set()
+        for i in chosen:
+            path = list(_up(lines[i][3]))
+            if articles.isdisjoint(path):  # the largest element without an article
+                beside.update([n for n in path if n not in around][-1:])
+        return articles | beside
     shared = None
-    for h in homes:
-        path = []
-        while h:
-            path.append(h)
-            h = h.parent
-        shared = path if shared is None else [n for n in shared if n in set(path)]
-    return {shared[0]} if shared else set()
+    for i in chosen:
+        path = list(_up(lines[i][3]))
+        inside = set(path)
+        shared = path if shared is None else [n for n in shared if n in inside]
+    if not shared:
+        return set()
+    # out to the element that holds all text which is neither furniture nor a link list
+    place = {n: i for i, n in enumerate(shared)}
+    loose = {home for text, _, linked, home, furniture in lines if not furniture and linked * 2 <= len(text)}
+    return {shared[max((next(place[n] for n in _up(home) if n in place) for home in loose), default=0)]}
 
 
 def main_text(html: str | None) -> str:
@@ -241,15 +258,14 @@ def main_text(html: str | None) -> str:
     lines = parser.lines
     chosen = content_lines(lines)
     taken = region(lines, chosen)
-    whole = any(n.tag in CONTENT for n in taken)
+    known = set(chosen)
     out = []
-    for i, (text, _, linked, node, furniture) in enumerate(lines):
-        # link lists around the clusters of a page without an article are furniture too
+    for i, (text, _, linked, home, furniture) in enumerate(lines):
+        whole = any(n.tag in CONTENT for n in _up(home))
+        # link lists around the clusters of a page, outside its articles, are furniture too
         if furniture or not whole and linked * 2 > len(text) and not chosen[0] < i < chosen[-1]:
             continue
-        while node and node not in taken:
-            node = node.parent
-        if node:
+        if i in known or any(n in taken for n in _up(home)):
             out.append(text)
     return "\n".join(out)
 
