@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check import TABLES, difference
+from topicloom.operators import factor
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 SQL = entry.oracle_sql()
@@ -37,3 +38,18 @@ def test_rows_only_queries_run(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["doc_id", "metaword", "value"]
+
+
+class Fitted(Exception):
+    pass
+
+
+@pytest.mark.parametrize("name", ["metaword_topic_words", "nmf_topic_words", "topic_run_metrics"])
+def test_fits_run_to_the_production_tolerance(spark, monkeypatch, name):
+    def fit(cells, k, max_iter, tol):
+        raise Fitted(max_iter, tol)
+
+    monkeypatch.setattr(factor, "nmf_fit", fit)
+    with pytest.raises(Fitted) as found:
+        QUERIES[name](spark, SF)
+    assert found.value.args == (2500, 1e-4)

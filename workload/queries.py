@@ -30,8 +30,6 @@ from workload.inputs import LIST_SIZES, N_SEEDS, NEIGHBOURS, THRESHOLD
 
 REGISTERED: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
-# Tolerance of the registered meta-word fits, as a share of the first sweep's violation.
-LOOSE = 5e-3
 # A short stop-word list, so that the SQL can state it in full.
 STOPWORDS = ["a", "an", "and", "for", "in", "of", "on", "the", "to", "with"]
 
@@ -442,8 +440,7 @@ def nmf_transform(spark, sf_dir):
 
 @query
 def metaword_topic_words(spark, sf_dir):
-    # meta-word cells are smooth, so the fit stops on this tolerance and not on a number of sweeps
-    found = runs.metaword_topics(given.corpus(spark, sf_dir), given.cells(spark, sf_dir), 10, tol=LOOSE)
+    found = runs.metaword_topics(given.corpus(spark, sf_dir), given.cells(spark, sf_dir), 10)
     return found.topic_words
 
 
@@ -498,7 +495,7 @@ def topic_run_metrics(spark, sf_dir):
     path = given.scratch(spark, "run")
     _, scores = runs.run(
         given.corpus(spark, sf_dir), given.vectors(spark, sf_dir), 10, path,
-        metrics=["coherence", "npmi", "w2v_l1"], entities=["source", "lang"], tol=LOOSE,
+        metrics=["coherence", "npmi", "w2v_l1"], entities=["source", "lang"],
     )
     return scores
 
