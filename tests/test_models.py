@@ -67,6 +67,22 @@ def test_lda_against_plain_numpy(corpus, limit):
     assert len(shares) == 61 and all(abs(sum(r["topics"]) - 1) < 1e-9 for r in shares)
 
 
+@pytest.mark.parametrize("limit", [None, 0])
+def test_lda_of_new_documents(spark, limit):
+    """Held and joined: totals over the whole model, words without weights do not count."""
+    words, weights = ["cat", "dog", "moon", "star"], np.array([[9.0, 1.0], [4.0, 2.0], [1.0, 30.0], [2.0, 50.0]])
+    model = spark.createDataFrame([(w, f.tolist()) for w, f in zip(words, weights)], "word string, f array<double>")
+    rows = [(1, "cat", 2.0), (1, "moon", 1.0), (1, "unseen", 5.0), (2, "dog", 1.0), (3, "unseen", 2.0)]
+    cells = spark.createDataFrame(rows, "doc_id long, word string, value double")
+    docs = spark.createDataFrame([(i, "") for i in range(1, 5)], "doc_id long, text string")
+    got = {r["doc_id"]: r["topics"] for r in lda.lda_transform(cells, model, docs, 2, limit=limit).collect()}
+    beta = expected_log(weights, weights.sum(axis=0))
+    for doc, at, counts in ((1, [0, 2], [2.0, 1.0]), (2, [1], [1.0])):
+        want = infer(beta[at], np.array(counts), 1 / 2, 100, 1e-3)[0]
+        assert np.allclose(got[doc], want / want.sum(), rtol=1e-9)
+    assert got[3] == got[4] == [0.5, 0.5]
+
+
 def test_digamma():
     assert np.allclose(digamma(np.array([1.0, 0.5, 2.0])), [-0.5772156649015329, -1.9635100260214235, 0.42278433509846713], atol=1e-12)
     x = np.array([0.01, 0.3, 4.0, 50.0])
