@@ -53,3 +53,12 @@ def test_fits_run_to_the_production_tolerance(spark, monkeypatch, name):
     with pytest.raises(Fitted) as found:
         QUERIES[name](spark, SF)
     assert found.value.args == (2500, 1e-4)
+
+
+def test_word_vectors_of_every_word(spark, db):
+    found = QUERIES["word2vec_vectors"](spark, SF).toPandas()
+    words = db.sql("""SELECT word FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents)
+        GROUP BY word HAVING count(*) >= 5""").df()["word"]
+    assert set(found["word"]) == set(words) and len(found) == 100 * len(words)
+    assert found["x"].abs().max() < float("inf") and found["x"].notna().all()
+    assert (found.groupby("word")["pos"].nunique() == 100).all()

@@ -388,7 +388,7 @@ def metaword_tfidf_word_tokens(spark, sf_dir):
 
 @query
 def word2vec_vectors(spark, sf_dir):
-    trained = embeddings.train_word2vec(given.corpus(spark, sf_dir), size=20, window=5, epochs=1)
+    trained = embeddings.train_word2vec(given.corpus(spark, sf_dir))
     return trained.select("word", F.posexplode("vector").alias("pos", "x"))
 
 
