@@ -67,6 +67,17 @@ def test_edges(spark):
     assert ann.search(table.filter("vec_id = 0"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("n", [8, 60])
+def test_small_tables_give_all_candidates(spark, n):
+    x = np.random.default_rng(n).normal(size=(n, 32))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for probes in (None, 1):
+        rows = ann.search(table, F.col("vec_id") % 4 == 0, probes=probes).collect()
+        for own in range(0, n, 4):
+            got = sorted(r["rank"] for r in rows if r["query_id"] == own)
+            assert got == list(range(1, min(20, n - 1) + 1))
+
+
 def test_transform_keeps_lengths_and_products():
     x = np.random.default_rng(3).normal(size=(5, 16))
     y = ann.hadamard(x)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from topicloom.plans.staging import stage
+from topicloom.plans.staging import lookup_join, stage
 
 TABLES, BLOCK = 4, 8192
 # Queries of the sample that fits the number of probes, and the share of their neighbours to be met.
@@ -180,7 +180,8 @@ def search(rows: DataFrame, is_query, k: int = 20, probes: int | None = None, n_
     ``rows`` has ``vec_id`` and ``embedding``; ``is_query`` is a condition on ``vec_id``. Every valid
     vector is indexed (see ``valid_vectors`` for the others). A vector id that is there more than once
     is one candidate with its best score, and never a candidate of its own query. Fewer candidates
-    than ``k`` are all returned; no candidates or an empty table give no rows.
+    than ``k`` are all returned: a query that meets fewer probes every axis. No candidates or an empty
+    table give no rows.
     """
     vectors = stage(valid_vectors(rows), "vectors")
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c))
@@ -192,6 +193,21 @@ def search(rows: DataFrame, is_query, k: int = 20, probes: int | None = None, n_
     if probes is None:
         probes = fit_probes(vectors, tables, k)
     probes = min(probes, 2 * tables.size)
+    asked = vectors.filter(is_query)
+    found = _search(vectors, asked, tables, dim, k, probes)
+    if probes == 2 * tables.size:
+        return found
+    found = stage(found, "nearest")
+    full = found.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
+    short = stage(asked.select("vec_id").distinct().join(full, "vec_id", "left_anti"), "short-queries")
+    if short.isEmpty():
+        return found
+    again = _search(vectors, lookup_join(asked, short, "vec_id", spread_by="v"), tables, dim, k, 2 * tables.size)
+    return found.join(short.withColumnRenamed("vec_id", "query_id"), "query_id", "left_anti").unionByName(again)
+
+
+def _search(vectors: DataFrame, asked: DataFrame, tables: Tables, dim: int, k: int, probes: int) -> DataFrame:
+    """``query_id, rank, vec_id, score`` of the vectors of ``asked`` with a number of probes per table."""
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,7 +224,7 @@ def search(rows: DataFrame, is_query, k: int = 20, probes: int | None = None, n_
                 yield from _filed(batch.column(0).to_numpy(), x, codes)
 
     index = vectors.mapInArrow(file, _FILED)
-    asked = vectors.filter(is_query).mapInArrow(look, _FILED)
+    asked = asked.select("vec_id", "v").mapInArrow(look, _FILED)
     sizes = _parts(index).join(_parts(asked).withColumnRenamed("parts", "q_parts"), "bucket")
     sizes = F.broadcast(stage(sizes, "bucket-sizes"))  # at most n_tables * 2 * tables.size rows
     part = F.pmod(F.xxhash64("ids"), F.col("parts")).cast("int").alias("part")
