@@ -52,3 +52,113 @@ WITH RECURSIVE d AS MATERIALIZED (
 SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.node) AS component_id
 FROM reach AS r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
 """
+
+# CRC-32 of a value's text, bit by bit: a byte is mixed in, then eight shifts (marked -1) follow.
+_CRC32 = """(xor(list_reduce(
+    [4294967295::bigint] || flatten(list_transform(range(0, strlen({0}::varchar)),
+      lambda i: [('0x' || hex(encode({0}::varchar))[2 * i + 1:2 * i + 2])::bigint, -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END
+  ), 4294967295))"""
+_FRAMED = "coalesce(strlen({0}::varchar)::varchar || ':' || {0}::varchar, '-')"
+_LEAF = "sha256(" + " || ".join(_FRAMED.format(c) for c in ("doc_id", "source", "lang", "{0}", "text")) + ")"
+
+STATEMENTS["op11_merkle"] = f"""
+WITH RECURSIVE docs AS MATERIALIZED (
+  SELECT doc_id, lang, {_LEAF.format("n_chars")} AS leaf,
+    CASE WHEN {_CRC32.format("doc_id")} % 7 = 0 THEN {_LEAF.format("(n_chars::hugeint + 1)")} END AS checked
+  FROM documents
+), placed AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM docs
+), low(lang, level, pos, n, h) AS (
+  SELECT lang, 0, pos, count(*) OVER (PARTITION BY lang), leaf FROM placed
+  UNION ALL
+  SELECT lang, any_value(level) + 1, pos // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' ORDER BY pos))
+  FROM low WHERE n > 1 GROUP BY lang, pos // 2
+), subroots AS MATERIALIZED (
+  SELECT lang, h, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS pos FROM low WHERE n = 1
+), high(level, pos, n, h) AS (
+  SELECT 0, pos, count(*) OVER (), h FROM subroots
+  UNION ALL
+  SELECT any_value(level) + 1, pos // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' ORDER BY pos))
+  FROM high WHERE n > 1 GROUP BY pos // 2
+), steps AS (
+  SELECT p.doc_id, p.leaf, false AS top, l.level, b.h AS other, (p.pos >> l.level) % 2 = 1 AS odd
+  FROM placed AS p
+  JOIN (SELECT DISTINCT lang, level FROM low WHERE n > 1) AS l ON l.lang IS NOT DISTINCT FROM p.lang
+  LEFT JOIN low AS b ON b.lang IS NOT DISTINCT FROM p.lang AND b.level = l.level
+    AND b.pos = xor(p.pos >> l.level, 1)
+  UNION ALL
+  SELECT p.doc_id, p.leaf, true, l.level, b.h, (s.pos >> l.level) % 2 = 1
+  FROM placed AS p JOIN subroots AS s ON s.lang IS NOT DISTINCT FROM p.lang
+  CROSS JOIN (SELECT DISTINCT level FROM high WHERE n > 1) AS l
+  LEFT JOIN high AS b ON b.level = l.level AND b.pos = xor(s.pos >> l.level, 1)
+), ways AS (
+  SELECT doc_id, leaf, string_agg(other, '' ORDER BY top, level) AS proof,
+    list(CASE WHEN other IS NULL THEN '=' WHEN odd THEN '<' || other ELSE '>' || other END ORDER BY top, level) AS way
+  FROM steps GROUP BY doc_id, leaf
+), folded AS (
+  SELECT p.doc_id, p.leaf, s.h AS subroot, sha256(coalesce(w.proof, '')) AS proof_sha256,
+    list_reduce([coalesce(p.checked, p.leaf)] || coalesce(w.way, []), lambda a, x: sha256(
+      CASE x[1] WHEN '=' THEN a WHEN '<' THEN x[2:] || a ELSE a || x[2:] END)) AS folded_root
+  FROM placed AS p JOIN subroots AS s ON s.lang IS NOT DISTINCT FROM p.lang
+  LEFT JOIN ways AS w ON w.doc_id IS NOT DISTINCT FROM p.doc_id AND w.leaf = p.leaf
+)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified
+FROM folded, (SELECT h AS root FROM high WHERE n = 1)
+"""
+
+_SPACED = r"[^\x20\x09-\x0D]+"
+_TOKENS = (
+    r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    r"|[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+"
+)
+
+STATEMENTS["op13_quality_rules"] = f"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w,
+    regexp_extract_all(coalesce(text, ''), '{_TOKENS}') AS tokens
+  FROM documents
+), hashes AS MATERIALIZED (
+  SELECT token, {_CRC32.format('token')} AS h FROM (SELECT DISTINCT unnest(tokens) AS token FROM d)
+), placed AS MATERIALIZED (
+  SELECT row, doc_id, i, h FROM (
+    SELECT row, doc_id, i, tokens[i] AS token FROM d, unnest(range(1, len(tokens) + 1)) AS u(i)
+  ) JOIN hashes USING (token)
+), windows AS (
+  SELECT row, i, array_to_string(w[i:i + 2], ' ') AS s
+  FROM d, unnest(range(1, greatest(len(w) - 2, 0) + 1)) AS u(i)
+), twice AS (
+  SELECT row, i FROM windows JOIN (SELECT row, s FROM windows GROUP BY ALL HAVING count(*) > 1) USING (row, s)
+), covered AS (
+  SELECT row, count(DISTINCT p) AS n_repeat_words FROM twice, unnest(range(i, i + 3)) AS u(p) GROUP BY row
+), lines AS (
+  SELECT row, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM d, unnest(string_split(t, chr(10))) AS u(line) WHERE regexp_matches(line, '{_SPACED}') GROUP BY row
+), base AS (
+  SELECT row, doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+    length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM d LEFT JOIN lines USING (row) LEFT JOIN covered USING (row)
+), grams AS MATERIALIZED (
+  SELECT row, doc_id, h % 10000 AS g FROM placed
+  UNION ALL
+  SELECT a.row, a.doc_id, (a.h * 31 + b.h) % 10000 FROM placed AS a JOIN placed AS b ON b.row = a.row AND b.i = a.i + 1
+), trusted AS (
+  SELECT DISTINCT doc_id FROM labels WHERE quality = 1
+), counts AS (
+  SELECT b.g, coalesce(r.n, 0) AS r, coalesce(t.n, 0) AS t
+  FROM range(10000) AS b(g)
+  LEFT JOIN (SELECT g, count(*) AS n FROM grams GROUP BY g) AS r ON r.g = b.g
+  LEFT JOIN (SELECT g, count(*) AS n FROM grams SEMI JOIN trusted USING (doc_id) GROUP BY g) AS t ON t.g = b.g
+), ratios AS (
+  SELECT g, CASE WHEN ts = 0 THEN 0 ELSE ln(((t + 1) / (ts + 10000)) / ((r + 1) / (rs + 10000))) END AS x
+  FROM counts, (SELECT sum(r)::double AS rs, sum(t)::double AS ts FROM counts)
+), scores AS (
+  SELECT row, avg(x) AS score FROM grams JOIN ratios USING (g) GROUP BY row
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(score, 0) >= -0.3 AS kept
+FROM base LEFT JOIN scores USING (row)
+"""

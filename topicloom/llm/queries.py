@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import ann, decontam, extraction, jaccard, packing, pii, quality, sharding, toxicity, urls
+from topicloom.llm import (
+    ann,
+    decontam,
+    extraction,
+    jaccard,
+    merkle,
+    packing,
+    pii,
+    quality,
+    rules,
+    sharding,
+    toxicity,
+    urls,
+)
 from topicloom.llm.common import table
 from topicloom.llm.oracles import STATEMENTS
 from topicloom.plans.shipping import ship_package
@@ -89,3 +102,21 @@ def op9_pack(spark, sf_dir):
 @query
 def op10_jaccard(spark, sf_dir):
     return jaccard.similar_documents(table(spark, sf_dir, "documents"), width=3, num=9, den=10)
+
+
+def _crc32(number):
+    """Unsigned checksum of an integer's decimal text."""
+    return F.crc32(F.encode(number.cast("string"), "UTF-8"))
+
+
+@query
+def op11_merkle(spark, sf_dir):
+    found = merkle.manifest(table(spark, sf_dir, "documents"), _crc32(F.col("doc_id")) % 7 == 0)
+    return found.withColumn("proof_sha256", F.sha2(merkle.siblings(F.col("path")), 256)).drop("lang", "path")
+
+
+@query
+def op13_quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    ratio = rules.fit(docs, rules.trusted_documents(docs, table(spark, sf_dir, "labels")))
+    return rules.judge(docs, ratio).drop("score")
