@@ -66,9 +66,9 @@ def plain(rows, tampered):
     return sorted(found, key=str)
 
 
-def built(spark, rows, odd=False):
+def built(spark, rows, step=merkle.STEP):
     docs = spark.createDataFrame(rows, SCHEMA)
-    out = merkle.manifest(docs, F.col("doc_id") % 3 == 0)
+    out = merkle.manifest(docs, F.col("doc_id") % 3 == 0, step)
     out = out.withColumn("proof", F.sha2(merkle.siblings(F.col("path")), 256))
     out = out.select("doc_id", "leaf", "subroot", "root", "proof", "folded_root", "verified")
     return sorted((tuple(r) for r in out.collect()), key=str)
@@ -89,10 +89,9 @@ def test_small_trees(spark, n):
         assert built(spark, rows) == plain(rows, tampered)
 
 
-def test_several_stored_levels(spark, monkeypatch):
-    monkeypatch.setattr(merkle, "STEP", 2)
+def test_several_stored_levels(spark):
     rows = rows_of(75, ["en", "en", "en", "de", "fr", "es", "", None])
-    assert built(spark, rows) == plain(rows, tampered)
+    assert built(spark, rows, step=2) == plain(rows, tampered)
 
 
 def test_a_tree_larger_than_one_subtree(spark):
@@ -117,15 +116,14 @@ def test_empty_table_and_clashing_columns(spark):
     assert all(r.verified for r in merkle.manifest(docs).collect())
 
 
-def test_only_every_few_levels_are_stored(spark, monkeypatch):
-    monkeypatch.setattr(merkle, "STEP", 3)
+def test_only_every_few_levels_are_stored(spark):
     nodes = spark.range(100).select(
         F.lit(0).cast("long").alias("tree"), F.col("id").alias("pos"), F.lit(100).cast("long").alias("n"),
         F.sha2(F.col("id").cast("string"), 256).alias("digest"),
     )
-    levels = merkle.stored_levels(nodes)
+    levels = merkle.stored_levels(nodes, 3)
     assert [t.count() for t in levels] == [100, 13, 2, 1]
     want = tree([h(str(i)) for i in range(100)])
     assert levels[-1].first()["digest"] == want[-1][0]
-    for r in merkle.with_paths(levels).collect():
+    for r in merkle.with_paths(levels, step=3).collect():
         assert merkle.fold(r["digest"], r["path"]) == want[-1][0]

@@ -1,7 +1,7 @@
 """Merkle manifest of a table: a hash tree per group, and one over the groups' roots.
 
-Nodes are kept only every ``STEP`` levels. Going up, the nodes of one aligned subtree (at most
-``2**STEP`` consecutive ones) meet in a task and become one node of the next stored level. Going down, a
+Nodes are kept only every ``step`` levels. Going up, the nodes of one aligned subtree (at most
+``2**step`` consecutive ones) meet in a task and become one node of the next stored level. Going down, a
 task takes the stored nodes of a subtree once more, makes the levels between again, hands the siblings on
 each node's way to the nodes and forgets them. What lies above a subtree reaches it as one row.
 
@@ -32,13 +32,13 @@ def _parents(level: list[str]) -> list[str]:
     return [sha256("".join(level[i : i + 2]).encode()).hexdigest() for i in range(0, len(level), 2)]
 
 
-def _levels(nodes: list[str], n: int) -> list[list[str]]:
-    """Levels of one aligned subtree from its stored nodes up, at most ``STEP`` above them.
+def _levels(nodes: list[str], n: int, step: int) -> list[list[str]]:
+    """Levels of one aligned subtree from its stored nodes up, at most ``step`` above them.
 
     ``n`` nodes has the whole tree on the stored level; growing ends where that leaves one.
     """
     levels = [nodes]
-    for _ in range(STEP):
+    for _ in range(step):
         if n == 1:
             break
         levels.append(_parents(levels[-1]))
@@ -56,7 +56,7 @@ def _merged(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One batch for each (tree, block) of sorted rows; at most ``2**STEP + 1`` rows."""
+    """One batch for each (tree, block) of sorted rows; at most ``2**step + 1`` rows."""
     held: list[pa.RecordBatch] = []
     key = None
     for batch in batches:
@@ -75,8 +75,8 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _merged(held)
 
 
-def stored_levels(nodes: DataFrame) -> list[DataFrame]:
-    """Every ``STEP``-th level of all trees, from the leaves ``(tree, pos, n, digest, …)`` to the roots.
+def stored_levels(nodes: DataFrame, step: int = STEP) -> list[DataFrame]:
+    """Every ``step``-th level of all trees, from the leaves ``(tree, pos, n, digest, …)`` to the roots.
 
     ``pos`` runs from 0 without gaps inside a tree, ``n`` is the tree's number of nodes on that level.
     Trees that have ended stay on the later levels as one node.
@@ -86,7 +86,7 @@ def stored_levels(nodes: DataFrame) -> list[DataFrame]:
         made = []
         for rows in _groups(batches):
             tree, block, n = (rows.column(c)[0].as_py() for c in ("tree", "block", "n"))
-            made.append((tree, block, -(-n >> STEP), _levels(rows.column("digest").to_pylist(), n)[-1][0]))
+            made.append((tree, block, -(-n >> step), _levels(rows.column("digest").to_pylist(), n, step)[-1][0]))
             if len(made) == 4096:
                 yield _node_batch(made)
                 made = []
@@ -95,7 +95,7 @@ def stored_levels(nodes: DataFrame) -> list[DataFrame]:
 
     levels = [nodes]
     while (levels[-1].agg(F.max("n")).first()[0] or 1) > 1:
-        below = levels[-1].select("tree", F.shiftright("pos", STEP).alias("block"), "pos", "n", "digest")
+        below = levels[-1].select("tree", F.shiftright("pos", step).alias("block"), "pos", "n", "digest")
         levels.append(stage(_dealt(below).mapInArrow(up, _NODE), "tree-level"))
     return levels
 
@@ -106,7 +106,7 @@ def _node_batch(made: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, ["tree", "pos", "n", "digest"])
 
 
-def with_paths(levels: list[DataFrame], above: DataFrame | None = None) -> DataFrame:
+def with_paths(levels: list[DataFrame], above: DataFrame | None = None, step: int = STEP) -> DataFrame:
     """The leaves with ``path``: each one's siblings up to the root of its tree, in order.
 
     ``path`` is text: one sign and 64 hex digits a sibling, ``<`` for one on the left, ``>`` for one on the
@@ -114,7 +114,7 @@ def with_paths(levels: list[DataFrame], above: DataFrame | None = None) -> DataF
     paths beyond the roots; its other columns are handed down to the leaves as well.
 
     The way down starts at the roots. What is above a subtree is one row, sent to its nodes in the
-    exchange that brings them together, so there is no join and no key with more than ``2**STEP`` rows.
+    exchange that brings them together, so there is no join and no key with more than ``2**step`` rows.
     """
     if above is None:
         above = levels[-1].select("tree", F.lit("").alias("path"))
@@ -124,27 +124,27 @@ def with_paths(levels: list[DataFrame], above: DataFrame | None = None) -> DataF
         over = known.select(
             "tree", F.col("pos").alias("block"), F.lit(-1).cast("long").alias("pos"), *given
         )
-        rows = level.withColumn("block", F.shiftright("pos", STEP))
+        rows = level.withColumn("block", F.shiftright("pos", step))
         own = rows.columns
         both = _dealt(rows.unionByName(over, allowMissingColumns=True))
         kinds = {f.name: f.dataType.simpleString() for f in both.schema.fields if f.name != "block"}
         kept = list(kinds) if level is levels[0] else ["tree", "pos", *given]
         schema = ", ".join(f"`{c}` {kinds[c]}" for c in kept)
-        rows = both.mapInArrow(_handing_down(kept, [c for c in given if c not in own]), schema)
+        rows = both.mapInArrow(_handing_down(kept, [c for c in given if c not in own], step), schema)
         known = rows if level is levels[0] else stage(rows, "tree-paths")
     if len(levels) == 1:
         known = levels[0].join(known.drop("pos"), "tree")  # every tree is one leaf
     return known
 
 
-def _handing_down(kept: list[str], given: list[str]) -> Callable:
+def _handing_down(kept: list[str], given: list[str], step: int) -> Callable:
     """Groups of one upper row and a subtree's nodes -> the nodes with their paths."""
 
     def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready, waiting = [], 0
         for group in _groups(batches):
             upper, nodes = group.slice(0, 1), group.slice(1)
-            levels = _levels(nodes.column("digest").to_pylist(), nodes.column("n")[0].as_py())[:-1]
+            levels = _levels(nodes.column("digest").to_pylist(), nodes.column("n")[0].as_py(), step)[:-1]
             end = upper.column("path")[0].as_py()
             found = []
             for i in range(nodes.num_rows):
@@ -157,7 +157,7 @@ def _handing_down(kept: list[str], given: list[str]) -> Callable:
             fresh["path"] = pa.array(found, pa.string())
             ready.append(pa.RecordBatch.from_arrays([fresh[c] if c in fresh else nodes.column(c) for c in kept], kept))
             waiting += len(found)
-            if waiting >= 1 << STEP + 3:
+            if waiting >= 1 << step + 3:
                 yield _merged(ready)
                 ready, waiting = [], 0
         if ready:
@@ -199,7 +199,7 @@ def _leaf(n_chars: Column) -> Column:
     return F.sha2(F.concat(*[framed(v) for v in values]), 256)
 
 
-def manifest(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
+def manifest(docs: DataFrame, tampered: Column | None = None, step: int = STEP) -> DataFrame:
     """Leaf, subroot, root, path and verification of every document.
 
     Trees are those of ``lang``; leaves ascend by ``doc_id``, nulls first, then by digest. Subroots are
@@ -229,16 +229,16 @@ def manifest(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
         "tree", (F.col("row") - F.col("tree")).alias("pos"), "n", F.col("leaf").alias("digest"),
         "doc_id", "lang", "checked",
     )
-    lower = stored_levels(stage(rows, "tree-rows"))
+    lower = stored_levels(stage(rows, "tree-rows"), step)
 
     subroots = lower[-1].select("tree", "digest")
     upper = cut(row_index(subroots.orderBy("tree"), "pos"))  # numbered by their first rows, so by lang
     n_groups = F.lit(upper.count()).cast("long")
     one_tree = F.lit(0).cast("long").alias("tree")
-    upper = stored_levels(upper.select(one_tree, "pos", n_groups.alias("n"), "digest", F.col("tree").alias("group")))
+    upper = stored_levels(upper.select(one_tree, "pos", n_groups.alias("n"), "digest", F.col("tree").alias("group")), step)
     root = upper[-1].select(F.col("digest").alias("root"))
-    over = with_paths(upper).select(F.col("group").alias("tree"), "path", F.col("digest").alias("subroot"))
-    found = with_paths(lower, stage(over, "tree-roots")).withColumn("root", root.scalar())
+    over = with_paths(upper, step=step).select(F.col("group").alias("tree"), "path", F.col("digest").alias("subroot"))
+    found = with_paths(lower, stage(over, "tree-roots"), step).withColumn("root", root.scalar())
 
     @F.arrow_udf("string")
     def folded(leaf: pa.Array, path: pa.Array) -> pa.Array:
