@@ -113,6 +113,48 @@ _TOKENS = (
     r"|[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+"
 )
 
+STATEMENTS["op12_trie"] = f"""
+WITH placed AS MATERIALIZED (
+  SELECT conv_id, sha256(strlen(role)::varchar || ':' || role || text) AS x,
+    len(regexp_extract_all(text, '{_SPACED}')) AS words,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations)
+  WHERE conv_id IS NOT NULL
+), convs AS MATERIALIZED (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, {_CRC32.format("conv_id")} % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM placed)
+), turns AS (
+  SELECT c.conv_id, 0 AS own, p.pos, x, words FROM convs AS c JOIN placed AS p ON p.conv_id = c.base AND p.pos < h
+  UNION ALL
+  SELECT conv_id, 1, pos, x, words FROM convs JOIN placed USING (conv_id) WHERE pos >= h
+), lists AS MATERIALIZED (
+  SELECT c.conv_id, coalesce(xs, []) AS xs, coalesce(ws, []) AS ws
+  FROM convs AS c LEFT JOIN (
+    SELECT conv_id, list(x ORDER BY own, pos) AS xs, list(words ORDER BY own, pos) AS ws FROM turns GROUP BY conv_id
+  ) AS t ON t.conv_id = c.conv_id
+), prefixes AS MATERIALIZED (
+  SELECT conv_id, d, len(xs) AS size, sha256(array_to_string(xs[1:d], ' ')) AS node,
+    CASE WHEN d > 0 THEN sha256(array_to_string(xs[1:d - 1], ' ')) END AS up, coalesce(ws[d], 0) AS words
+  FROM lists, unnest(range(0, len(xs) + 1)) AS u(d)
+), nodes AS MATERIALIZED (
+  SELECT d, node, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' ORDER BY conv_id) FILTER (WHERE d = size), '')) AS ends_sha256
+  FROM prefixes GROUP BY d, node
+), children AS (
+  SELECT d - 1 AS d, up AS node, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL
+), whole AS MATERIALIZED (
+  SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes AS n LEFT JOIN children USING (d, node)
+), below AS (
+  SELECT p.d, p.node, count(*) FILTER (WHERE w.n_children = 0) AS n_leaves,
+    sum((w.n_convs - 1) * w.words)::bigint AS saved_tokens
+  FROM whole AS w JOIN prefixes AS p ON p.conv_id = w.conv_id AND p.d <= w.d GROUP BY ALL
+)
+SELECT w.conv_id, w.d AS depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens,
+  w.ends_sha256
+FROM whole AS w JOIN below AS b ON b.d = w.d AND b.node = w.node
+LEFT JOIN whole AS p ON p.d = w.d - 1 AND p.node = w.up
+"""
+
 STATEMENTS["op13_quality_rules"] = f"""
 WITH d AS MATERIALIZED (
   SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t,

@@ -19,6 +19,7 @@ from topicloom.llm import (
     rules,
     sharding,
     toxicity,
+    trie,
     urls,
 )
 from topicloom.llm.common import table
@@ -115,6 +116,11 @@ def op11_merkle(spark, sf_dir):
     return found.withColumn("proof_sha256", F.sha2(merkle.siblings(F.col("path")), 256)).drop("lang", "path")
 
 
+@query
+def op12_trie(spark, sf_dir):
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"), 20, _crc32(F.col("conv_id")) % 4)
+
+
 @query
 def op13_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
