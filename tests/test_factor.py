@@ -131,3 +131,47 @@ def test_string_document_ids(spark, long):
     text_ids = long.withColumn("doc_id", long.doc_id.cast("string"))
     model = factor.nmf_fit(text_ids, 2, max_iter=1)
     assert model.w.schema["doc_id"].dataType.simpleString() == "string"
+
+
+def test_accelerated_fit_is_optimal_for_both_factors(spark, long, dense):
+    _, _, (_, h0) = start(spark, dense, 3)
+    model = factor.nmf_solve(long, 3, init=h0, tol=1e-6, track_objective=True)
+    docs = sorted(r["doc_id"] for r in model.w.collect())
+    assert docs == [i for i in range(len(dense)) if dense[i].any()]
+    names = [f"w{i:02d}" for i in range(dense.shape[1])]
+    x, w, h = dense[docs], rows_of(model.w, "doc_id", docs), rows_of(model.h, "word", names)
+    assert np.isclose(model.objective[-1], loss(x, w, h.T), rtol=1e-9)
+    for a, b, target in ((w, h, x), (h, w, x.T)):
+        slope = a @ (b.T @ b + PENALTY.l2 * np.eye(3)) - target @ b + PENALTY.l1
+        assert np.all(a >= 0) and np.abs(slope[a > 0]).max() < 1e-3 and slope[a == 0].min() > -1e-3
+
+
+def test_accelerated_steps_do_not_depend_on_the_size_limit(spark, long, dense):
+    _, _, (_, h0) = start(spark, dense, 3)
+    names = [f"w{i:02d}" for i in range(dense.shape[1])]
+    held, spread = (factor.nmf_solve(long, 3, init=h0, max_iter=3, track_objective=True, limit=x) for x in (None, 0))
+    assert np.allclose(held.objective, spread.objective, rtol=1e-9)
+    assert np.allclose(rows_of(held.h, "word", names), rows_of(spread.h, "word", names), atol=1e-8)
+    docs = [i for i in range(len(dense)) if dense[i].any()]
+    assert np.allclose(rows_of(held.w, "doc_id", docs), rows_of(spread.w, "doc_id", docs), atol=1e-8)
+
+
+def test_accelerated_fit_reaches_the_loss_of_plain_sweeps_in_fewer_steps(long):
+    plain = factor.nmf_fit(long, 3, max_iter=60, tol=0.0, track_objective=True)
+    quick = factor.nmf_solve(long, 3, max_iter=30, tol=0.0, track_objective=True)
+    assert quick.objective[-1] <= plain.objective[-1]
+
+
+def test_accelerated_step_needs_no_checkpoint_of_documents(spark, long, monkeypatch):
+    cuts = []
+    monkeypatch.setattr(factor, "cut", lambda df: cuts.append(df) or df.checkpoint())
+    _, _, (_, h0) = start(spark, np.zeros((40, 25)), 3)
+    factor.nmf_solve(long, 3, init=h0, max_iter=5, tol=0.0)
+    assert len(cuts) == 1  # the weights at the end
+
+
+def test_accelerated_fit_of_one_cell_and_of_text_ids(spark):
+    one = spark.createDataFrame([("a", "w", 2.0)], "doc_id string, word string, value double")
+    model = factor.nmf_solve(one, 1, max_iter=300)
+    (w,), (h,) = model.w.collect(), model.h.collect()
+    assert w["doc_id"] == "a" and 0 < w["f"][0] * h["f"][0] <= 2

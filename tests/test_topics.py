@@ -63,3 +63,14 @@ def test_rounding_dominance_and_counts(spark):
     assert table(topics.dominant_topic_counts(found), "dominant_topic", "n_docs") == [(0, 1), (1, 1), (2, 1)]
     rounded = topics.round_doc_topics(found, 2).filter("doc_id = 1").first()["topics"]
     assert rounded == [0.12, 0.5, 0.5]
+
+
+def test_ranks_of_whole_lists_equal_the_window(spark):
+    rows = [(t, f"w{i % 7}" if i % 3 else "x", i % 5) for t in (None, 0, 3) for i in range(40)]
+    rows = [(t, f"{w}{i}" if w != "x" else chr(97 + i // 3), float(v)) for i, (t, w, v) in enumerate(rows)]
+    weights = spark.createDataFrame(rows, "topic int, word string, weight double").repartition(6)
+    key = lambda t: sorted(map(str, t.collect()))
+    ranked = topics.ranked_words(weights)
+    assert key(ranked) == key(topics.top_words(weights, 1000))
+    assert key(topics.drop_short_words(ranked, whole=True)) == key(topics.drop_short_words(ranked))
+    assert topics.ranked_words(weights.filter("false")).count() == 0

@@ -55,3 +55,32 @@ def coordinate_pass(rows: np.ndarray, target: np.ndarray, g: np.ndarray) -> np.n
         if g[t, t] != 0:
             rows[:, t] = np.maximum(rows[:, t] - slope / g[t, t], 0)
     return violation
+
+
+def solve_rows(
+    target: np.ndarray, g: np.ndarray, start: np.ndarray | None = None, tol: float = 1e-8, passes: int = 1000
+) -> np.ndarray:
+    """Non-negative rows that minimise ½·rows·g·rowsᵀ − target·rowsᵀ, each to its own precision.
+
+    Without ``start`` a row begins at the positive part of its unconstrained minimum. A row is done when its
+    projected gradient is at most ``tol`` of its target, so it does not matter which rows come together.
+    """
+    if start is None:
+        ridge = 1e-12 * max(float(np.trace(g)), 1e-300) * np.eye(len(g))
+        start = np.maximum(np.linalg.solve(g + ridge, target.T).T, 0)
+    rows = start.copy()
+    enough = tol * np.abs(target).sum(axis=1)
+    active = np.arange(len(rows))
+    for _ in range(passes):
+        part = rows[active]
+        going = coordinate_pass(part, target[active], g) > enough[active]
+        rows[active] = part
+        active = active[going]
+        if not len(active):
+            break
+    return rows
+
+
+def projected(rows: np.ndarray, slope: np.ndarray) -> float:
+    """Sum of the projected gradient: at zero only a negative slope counts."""
+    return float(np.abs(np.where(rows == 0, np.minimum(slope, 0), slope)).sum())

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.functions.columns import dominant, dot, total, zeros
-from topicloom.functions.descent import Rows, as_lists, as_matrix, coordinate_pass
+from topicloom.functions.descent import Rows, as_lists, as_matrix, coordinate_pass, projected, solve_rows
 from topicloom.plans import staging
 from topicloom.plans.staging import cut, hot_keys, lookup_join, split_hot_join
 
@@ -279,6 +279,46 @@ class HeldCells:
         fit += penalty.l2 / 2 * float(np.trace(g_w) + np.trace(g_h))
         return out.filter("block is not null"), h, float(moved), fit
 
+    def evaluate(self, h: np.ndarray, penalty: Penalty) -> tuple[np.ndarray, np.ndarray, float]:
+        """(XᵀW, WᵀW, sum of W) for the W that is best for H; one pass over X, and W is not kept."""
+        k = h.shape[1]
+        held = self.x.sparkSession.sparkContext.broadcast((h, penalty.on(h.T @ h)))
+        l1 = penalty.l1
+
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            factor, g = held.value
+            # rows after the words': WᵀW, then the sum of W in the first column
+            found = np.zeros((len(factor) + k + 1, k))
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    rows = Rows.of_block(batch, i)
+                    f = solve_rows(rows.times(factor) - l1, g)
+                    rows.add_transposed(f, found[: len(factor)])
+                    found[len(factor) : -1] += f.T @ f
+                    found[-1, 0] += f.sum()
+            yield _terms(found)
+
+        try:
+            rows = self.x.select("lengths", "terms", "values").mapInArrow(partial, "term int, f array<double>")
+            sums = self._added(rows, len(h) + k + 1, k)
+        finally:
+            held.destroy()
+        return sums[: len(h)], sums[len(h) : -1], float(sums[-1, 0])
+
+    def best_weights(self, h: np.ndarray, penalty: Penalty) -> DataFrame:
+        """``(doc_id, f)``: the W that is best for H."""
+        held = self.x.sparkSession.sparkContext.broadcast((h, penalty.on(h.T @ h)))
+        l1 = penalty.l1
+
+        def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            factor, g = held.value
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    weights = as_lists(solve_rows(Rows.of_block(batch, i).times(factor) - l1, g))
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[i].values, weights], ["doc_id", "f"])
+
+        return cut(self.x.mapInArrow(solved, f"doc_id {self.doc_type.simpleString()}, f array<double>"))
+
     def norm2(self) -> float:
         def squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -461,6 +501,138 @@ def nmf_fit(
         cells.release()
 
 
+def nmf_solve(
+    x: DataFrame,
+    k: int,
+    alpha: float = 0.1,
+    l1_ratio: float = 0.5,
+    max_iter: int = 2500,
+    tol: float = 1e-4,
+    init: DataFrame | None = None,
+    track_objective: bool = False,
+    limit: int | None = None,
+) -> Factors:
+    """Factorise X into k topics: the same loss as ``nmf_fit``, in far fewer passes over X.
+
+    W is not a state of the iteration. For a given H the best W is solved document by document inside the
+    pass that needs it, and XᵀW and WᵀW, all that H needs of it, are added up on the way. H then moves to
+    its best values for that W and beyond them by Nesterov's momentum, which starts anew whenever the loss
+    rises. A step is one job without a checkpoint.
+
+    ``init`` is the starting H, the NNDSVD factor if none. It stops after ``max_iter`` steps or when the summed
+    projected gradient of H, that of W being zero, falls to half of ``tol`` of the first step's (``nmf_fit``
+    sums the gradients of both factors). Documents without a cell have zero weights and are not listed.
+    """
+    penalty = Penalty.of(alpha, l1_ratio)
+    cells = place(x, k + SVD_EXTRA, limit)
+    try:
+        start = init if init is not None else _nndsvd(cells, k)[1]
+        steps = (_Held if isinstance(cells, HeldCells) else _Spread)(cells, penalty, k, start)
+        half_norm = cells.norm2() / 2 if track_objective else 0.0
+        first, before, t, step, history = None, np.inf, 1.0, 0, []
+        for step in range(1, max_iter + 1):
+            moved, fit = steps.evaluate()
+            if track_objective:
+                history.append(half_norm + fit)
+            first = moved if first is None else first
+            if moved <= tol / 2 * first:
+                break
+            if fit > before:
+                t = 1.0
+            before, now = fit, (1 + np.sqrt(1 + 4 * t * t)) / 2
+            steps.move((t - 1) / now)
+            t = now
+        w, h = steps.factors()
+        return Factors(w, h, k, step, history)
+    finally:
+        cells.release()
+
+
+class _Held:
+    """State of the accelerated fit while H is a matrix of the driver."""
+
+    def __init__(self, cells: HeldCells, penalty: Penalty, k: int, start: DataFrame) -> None:
+        self.cells, self.penalty = cells, penalty
+        self.y = cells.matrix(start, k)
+        self.h = self.y
+
+    def evaluate(self) -> tuple[float, float]:
+        """(projected gradient, loss without ½‖X‖²) at the present point."""
+        y, penalty = self.y, self.penalty
+        self.a, self.g_w, mass = self.cells.evaluate(y, penalty)
+        g_h = y.T @ y
+        fit = float(np.sum(self.g_w * g_h)) / 2 - float(np.sum(y * self.a)) + penalty.l1 * (mass + float(y.sum()))
+        fit += penalty.l2 / 2 * float(np.trace(self.g_w) + np.trace(g_h))
+        return projected(y, y @ penalty.on(self.g_w) - self.a + penalty.l1), fit
+
+    def move(self, momentum: float) -> None:
+        best = solve_rows(self.a - self.penalty.l1, self.penalty.on(self.g_w), self.y)
+        self.y, self.h = np.maximum(best + momentum * (best - self.h), 0), best
+
+    def factors(self) -> tuple[DataFrame, DataFrame]:
+        return self.cells.best_weights(self.y, self.penalty), self.cells.frame(self.y)
+
+
+class _Spread:
+    """State of the accelerated fit while H is a distributed table: (word, y, h)."""
+
+    def __init__(self, cells: JoinedCells, penalty: Penalty, k: int, start: DataFrame) -> None:
+        self.cells, self.penalty, self.k = cells, penalty, k
+        start = _covering(cells.words(), start, "word", k)
+        self.rows = cut(start.select("word", F.col("f").alias("y"), F.col("f").alias("h")))
+
+    def _weights(self, g_h: np.ndarray) -> DataFrame:
+        g, k, l1 = self.penalty.on(g_h), self.k, self.penalty.l1
+
+        @F.arrow_udf("array<double>")
+        def solved(b: pa.Array) -> pa.Array:
+            return as_lists(solve_rows(as_matrix(b, k) - l1, g))
+
+        products = self.cells.times_words(self.rows.select("word", F.col("y").alias("f")), k)
+        return cut(products.select("doc_id", solved("b").alias("f")))
+
+    def evaluate(self) -> tuple[float, float]:
+        """(projected gradient, loss without ½‖X‖²) at the present point."""
+        penalty, k, l1 = self.penalty, self.k, self.penalty.l1
+        g_h, _ = gram(self.rows.select(F.col("y").alias("f")), k)
+        w = self._weights(g_h)
+        self.g_w, _ = gram(w, k)
+        mass = w.agg(F.sum(total(F.col("f")))).first()[0] or 0.0
+        g = penalty.on(self.g_w)
+
+        @F.arrow_udf("double")
+        def gradient(y: pa.Array, a: pa.Array) -> pa.Array:
+            rows = as_matrix(y, k)
+            slope = rows @ g - as_matrix(a, k) + l1
+            return pa.array([projected(r, v) for r, v in zip(rows, slope)], pa.float64())
+
+        a = self.cells.times_docs(w, k).hint("shuffle_hash")
+        rows = self.rows.join(a, "word", "left").withColumn("a", F.coalesce("b", zeros(k))).drop("b")
+        self.rows = cut(rows.withColumn("moved", gradient("y", "a")))
+        found = self.rows.agg(
+            F.sum("moved").alias("moved"), F.sum(dot(F.col("y"), F.col("a"))).alias("cross"),
+            F.sum(total(F.col("y"))).alias("mass"),
+        ).first()
+        fit = float(np.sum(self.g_w * g_h)) / 2 - (found["cross"] or 0.0) + l1 * (mass + (found["mass"] or 0.0))
+        fit += penalty.l2 / 2 * float(np.trace(self.g_w) + np.trace(g_h))
+        return found["moved"] or 0.0, fit
+
+    def move(self, momentum: float) -> None:
+        g, k, l1 = self.penalty.on(self.g_w), self.k, self.penalty.l1
+
+        @F.arrow_udf("struct<y: array<double>, h: array<double>>")
+        def step(y: pa.Array, h: pa.Array, a: pa.Array) -> pa.Array:
+            best = solve_rows(as_matrix(a, k) - l1, g, as_matrix(y, k))
+            beyond = np.maximum(best + momentum * (best - as_matrix(h, k)), 0)
+            return pa.StructArray.from_arrays([as_lists(beyond), as_lists(best)], ["y", "h"])
+
+        self.rows = cut(self.rows.select("word", step("y", "h", "a").alias("s")).select("word", "s.y", "s.h"))
+
+    def factors(self) -> tuple[DataFrame, DataFrame]:
+        h = self.rows.select("word", F.col("y").alias("f"))
+        return self._weights(gram(h, self.k)[0]), h
+
+
 def _covering(keys: DataFrame, factor: DataFrame, key: str, k: int) -> DataFrame:
     """The factor's rows plus a zero row for every key it lacks."""
     have = factor.select(key, "f")

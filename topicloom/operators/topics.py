@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from topicloom.functions.columns import dominant
 from topicloom.functions.similarity import drop_lookalikes, jaro_winkler
+from topicloom.plans.staging import grouped_index
 
 
 def top_words(topic_word: DataFrame, n: int) -> DataFrame:
@@ -23,8 +24,23 @@ def top_words(topic_word: DataFrame, n: int) -> DataFrame:
     )
 
 
-def drop_short_words(topic_words: DataFrame) -> DataFrame:
-    """Drop words of fewer than two characters and close the gaps in the ranks."""
+def ranked_words(topic_word: DataFrame) -> DataFrame:
+    """``(topic, rank, word, weight)`` of all words, heaviest first; no task gathers a topic."""
+    order = [F.col("weight").desc(), F.col("word")]
+    ranked = grouped_index(topic_word.select("topic", "word", "weight"), "topic", *order, name="_rank")
+    return ranked.select("topic", (F.col("_rank") + 1).cast("int").alias("rank"), "word", "weight")
+
+
+def drop_short_words(topic_words: DataFrame, whole: bool = False) -> DataFrame:
+    """Drop words of fewer than two characters and close the gaps in the ranks.
+
+    Lists of the length asked of ``top_words`` are ranked in one task each. ``whole`` is for lists of all words
+    of a topic, which are ranked from sums over ranges instead; the rows are the same.
+    """
+    if whole:
+        longer = topic_words.filter(F.length("word") > 1).select("topic", "rank", "word")
+        closed = grouped_index(longer, "topic", "rank", name="_rank")
+        return closed.select("topic", (F.col("_rank") + 1).cast("int").alias("rank"), "word")
     order = Window.partitionBy("topic").orderBy("rank")
     return (
         topic_words.filter(F.length("word") > 1)

@@ -49,7 +49,7 @@ def _nmf_run(
     corpus: DataFrame, cells: DataFrame, n_topics: int, n_total_words: int, max_iter: int,
     decimals: int | None, tol: float,
 ) -> TopicRun:
-    model = factor.nmf_fit(cells, n_topics, max_iter=max_iter, tol=tol)
+    model = factor.nmf_solve(cells, n_topics, max_iter=max_iter, tol=tol)
     weights = factor.nmf_transform(cells, model.h, n_topics, max_iter=max_iter)
     topics = factor.doc_topics(corpus, weights, n_topics)
     rounded = round_doc_topics(topics, n_topics if decimals is None else decimals)

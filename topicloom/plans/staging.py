@@ -166,6 +166,18 @@ def row_index(df: DataFrame, name: str) -> DataFrame:
     return _with_offsets(rows.withColumn("_p", F.shiftright("_at", 33)), ["_p"], name)
 
 
+def grouped_index(df: DataFrame, group: str, *order, name: str) -> DataFrame:
+    """Number the rows of every group 0, 1, 2, … in order, however many rows a group has.
+
+    A group is a run of consecutive numbers of the global order, so no task gathers one.
+    """
+    numbered = stage(ordered_index(df, F.col(group).asc_nulls_first(), *order, name=name), "grouped-index")
+    first = numbered.groupBy(group).agg(F.min(name).alias("_first"))
+    first = stage(first.withColumn("_group", F.to_json(F.struct(group))).select("_group", "_first"), "group-firsts")
+    rows = lookup_join(numbered.withColumn("_group", F.to_json(F.struct(group))), first, "_group", spread_by=name)
+    return rows.withColumn(name, F.col(name) - F.col("_first")).drop("_group", "_first")
+
+
 def scan_index(df: DataFrame, name: str) -> DataFrame:
     """Number the rows of a file scan 0, 1, 2, … in (file path, position) order."""
     rows = df.select(

@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.operators import lda, metawords, text, topics
+from topicloom.operators import factor, lda, metawords, text, topics
 from topicloom.operators.factor import doc_topics as with_all_documents
 from topicloom.plans import runs
 from topicloom.plans.shipping import ship_package  # noqa: F401  (used by the queries and the bench)
@@ -28,6 +28,8 @@ from topicloom.plans.staging import ordered_index, shared_dir, stage
 from topicloom.sources.corpus import corpus_from_df, known_links
 
 N_SEEDS = 10
+# Topics of the whole fit whose conditions are checked.
+N_SOLVED = 10
 NEIGHBOURS, THRESHOLD = 100, 0.3
 LIST_SIZES = [5, 10, 20]
 
@@ -177,6 +179,13 @@ def acronym_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@kept
+def solved_factors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Factors (W, H) of the meta-word table at the production tolerance."""
+    model = factor.nmf_solve(cells(spark, sf_dir), N_SOLVED)
+    return stage(model.w, "solved-documents"), stage(model.h, "solved-words")
+
+
 def start_factors(spark: SparkSession, sf_dir: str, k: int = 3) -> tuple[DataFrame, DataFrame]:
     """Fixed starting factors (W, H) for a single sweep."""
     def one_hot(column):

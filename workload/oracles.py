@@ -484,6 +484,10 @@ def statements() -> dict[str, str]:
         "drop_short_words": statement("df", """SELECT 0 AS topic, row_number() OVER (ORDER BY rank) AS rank, word
             FROM (SELECT word, row_number() OVER (ORDER BY df DESC, word) AS rank FROM df)
             WHERE rank <= 2000 AND length(word) > 1"""),
+        "drop_short_words_all": statement("df", """SELECT 0 AS topic, row_number() OVER (ORDER BY df DESC, word)::INTEGER AS rank, word
+            FROM df WHERE length(word) > 1"""),
+        "nmf_documents_optimal": statement("x", "SELECT DISTINCT doc_id, true AS optimal FROM x"),
+        "nmf_words_optimal": statement("x", "SELECT DISTINCT word, true AS optimal FROM x"),
         "similar_word_pairs": statement("plain_words", f"""SELECT a.topic, a.rank AS rank_a, b.rank AS rank_b,
             a.word AS word_a, b.word AS word_b, round({winkler('a.s', 'b.s')}, 6) AS similarity
             FROM plain_words a JOIN plain_words b ON a.topic = b.topic AND a.rank < b.rank"""),

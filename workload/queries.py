@@ -438,6 +438,42 @@ def nmf_transform(spark, sf_dir):
     return per_topic(weights, "f", "weight")
 
 
+def _optimal(rows: DataFrame, key: str, g, l1: float, share: float) -> DataFrame:
+    """Whether no weight can move: ``f`` against its gradient ``f``·g − ``b`` + l1, projected at zero."""
+    k = len(g)
+    slopes = [sum((F.col("f")[s] * float(g[s, t]) for s in range(k)), F.lit(l1)) - F.col("b")[t] for t in range(k)]
+    moved = [
+        F.abs(F.when(F.col("f")[t] > 0, slope).otherwise(F.least(slope, F.lit(0.0)))) for t, slope in enumerate(slopes)
+    ]
+    whole = sum((F.abs(F.col("b")[t]) for t in range(k)), F.lit(l1))
+    return rows.select(key, (sum(moved, F.lit(0.0)) <= share * whole).alias("optimal"))
+
+
+def _solved_with(spark, sf_dir, key: str, other: str):
+    """Cells times the solved factor of the other side, beside the own one; and that side's Gram matrix."""
+    w, h = given.solved_factors(spark, sf_dir)
+    own, across = (w, h) if key == "doc_id" else (h, w)
+    products = given.cells(spark, sf_dir).join(across, other).groupBy(key).agg(
+        F.array(*[F.sum(F.col("value") * F.col("f")[t]) for t in range(given.N_SOLVED)]).alias("b")
+    )
+    penalty = factor.Penalty.of(0.1, 0.5)
+    return products.join(own, key), penalty.on(factor.gram(across, given.N_SOLVED)[0]), penalty.l1
+
+
+@query
+def nmf_documents_optimal(spark, sf_dir):
+    """At the end of the fit no document's weights can be improved for the topics found."""
+    rows, g, l1 = _solved_with(spark, sf_dir, "doc_id", "word")
+    return _optimal(rows, "doc_id", g, l1, 1e-6)
+
+
+@query
+def nmf_words_optimal(spark, sf_dir):
+    """At the end of the fit no word's weights can be improved by more than a hundredth."""
+    rows, g, l1 = _solved_with(spark, sf_dir, "word", "doc_id")
+    return _optimal(rows, "word", g, l1, 1e-2)
+
+
 @query
 def metaword_topic_words(spark, sf_dir):
     found = runs.metaword_topics(given.corpus(spark, sf_dir), given.cells(spark, sf_dir), 10)
@@ -524,6 +560,18 @@ def drop_short_words(spark, sf_dir):
     return topics.drop_short_words(topics.top_words(common, 2000))
 
 
+@query
+def drop_short_words_all(spark, sf_dir):
+    """All space tokens of all documents, the commonest first, as one topic."""
+    common = (
+        given.plain_cells(spark, sf_dir)
+        .groupBy("word")
+        .agg(F.count("*").alias("weight"))
+        .select(F.lit(0).alias("topic"), "word", "weight")
+    )
+    return topics.drop_short_words(topics.ranked_words(common), whole=True)
+
+
 @query
 def similar_word_pairs(spark, sf_dir):
     pairs = topics.similar_word_pairs(_listed(spark, sf_dir))
