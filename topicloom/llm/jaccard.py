@@ -99,37 +99,46 @@ def classes(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(frugal(work), f"doc_id {kind}, cls binary, n long")
 
 
-_PACKS = "bucket int, classes binary, sizes binary, counts binary, grams binary"
+_PACKS = "bucket int, classes binary, counts binary, grams binary"
 
 
-def _pack(bucket: np.ndarray, keys: np.ndarray, sizes: np.ndarray, owner: np.ndarray, rest: np.ndarray, more=()):
-    """Rows of ``_PACKS``: per bucket the classes in it, their set sizes, how many n-grams, 6 bytes each."""
+def _pack(bucket: np.ndarray, keys: np.ndarray, owner: np.ndarray, rest: np.ndarray, more=()):
+    """Rows of ``_PACKS``: per bucket the classes in it, how many n-grams of each, 6 bytes an n-gram.
+
+    Buckets grow in number with the data, so a class comes to have one n-gram in a bucket, and what is said
+    about the class there weighs more than the n-gram. It is its key and one byte for the count: a class
+    with more than 255 n-grams in a bucket is listed again.
+    """
     order = np.argsort(bucket, kind="stable")
     bucket, owner, rest = bucket[order], owner[order], rest[order]
     more = [m[order] for m in more]
     turn = np.flatnonzero((bucket[1:] != bucket[:-1]) | (owner[1:] != owner[:-1])) + 1
     starts = np.append(0, turn)
-    counts = np.diff(np.append(starts, len(bucket))).astype("<u4")
+    lengths = np.diff(np.append(starts, len(bucket)))
+    times = -(-lengths // 255)
+    again = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    starts = np.repeat(starts, times) + 255 * again
+    counts = np.diff(np.append(starts, len(bucket))).astype(np.uint8)
     run_bucket, run_owner = bucket[starts], owner[starts]
     six = np.ascontiguousarray(rest.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
     cuts = np.append(0, np.flatnonzero(run_bucket[1:] != run_bucket[:-1]) + 1)
     for a, b in zip(cuts, np.append(cuts[1:], len(starts))):
         first, last = starts[a], starts[b] if b < len(starts) else len(bucket)
         yield (
-            int(run_bucket[a]), keys[run_owner[a:b]].tobytes(), sizes[run_owner[a:b]].astype("<i4").tobytes(),
-            counts[a:b].tobytes(), six[first:last].tobytes(), *(m[first:last].tobytes() for m in more),
+            int(run_bucket[a]), keys[run_owner[a:b]].tobytes(), counts[a:b].tobytes(),
+            six[first:last].tobytes(), *(m[first:last].tobytes() for m in more),
         )
 
 
 def _unpack(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, set sizes and counts of all runs, and the n-grams' 6 bytes as integers."""
+    """Keys and counts of all runs, the row each run is from, and the n-grams' 6 bytes as integers."""
     keys = np.frombuffer(b"".join(r[0] for r in rows), f"V{KEY}")
-    sizes = np.frombuffer(b"".join(r[1] for r in rows), "<i4")
-    counts = np.frombuffer(b"".join(r[2] for r in rows), "<u4").astype(np.int64)
-    six = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, 6)
+    counts = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).astype(np.int64)
+    source = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
+    six = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(-1, 6)
     rest = np.zeros((len(six), 8), np.uint8)
     rest[:, :6] = six
-    return keys, sizes, counts, rest.view("<u8").reshape(-1)
+    return keys, counts, source, rest.view("<u8").reshape(-1)
 
 
 def _rows(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
@@ -138,8 +147,8 @@ def _rows(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.R
 
 def packed_sets(docs: DataFrame, width: int, bits: int) -> DataFrame:
     """Sets of the documents' classes cut into ``2 ** bits`` buckets; a task sends each class once."""
-    names = ["bucket", "classes", "sizes", "counts", "grams"]
-    kinds = [pa.int32()] + [pa.binary()] * 4
+    names = ["bucket", "classes", "counts", "grams"]
+    kinds = [pa.int32()] + [pa.binary()] * 3
     spare = max(0, 16 - bits)
 
     def flush(held: list[np.ndarray], keys: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +158,7 @@ def packed_sets(docs: DataFrame, width: int, bits: int) -> DataFrame:
         bucket = (grams >> np.uint64(64 - bits)).astype(np.uint32) if bits else np.zeros(len(grams), np.uint32)
         bucket = bucket.astype(np.uint16) if bits <= 16 else bucket
         rest = (grams >> np.uint64(spare)) & np.uint64((1 << 48) - 1)
-        packs = _pack(bucket, np.frombuffer(b"".join(keys), f"V{KEY}"), sizes, owner, rest)
+        packs = _pack(bucket, np.frombuffer(b"".join(keys), f"V{KEY}"), owner, rest)
         rows: list[tuple] = []
         for row in packs:
             rows.append(row)
@@ -183,10 +192,10 @@ def packed_sets(docs: DataFrame, width: int, bits: int) -> DataFrame:
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
-    """Rows of a partition sorted by bucket, one bucket at a time."""
+    """Rows of a partition sorted by bucket, one bucket at a time; binary values are views, not copies."""
     now, rows = None, []
     for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns]
+        columns = [_views(c) for c in batch.columns]
         for bucket, *row in zip(*columns):
             if bucket != now and rows:
                 yield now, rows
@@ -197,38 +206,48 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tu
         yield now, rows
 
 
+def _views(column: pa.Array) -> list:
+    if not pa.types.is_binary(column.type):
+        return column.to_pylist()
+    return [memoryview(v.as_buffer()) if v.is_valid else None for v in column]
+
+
 def shared_grams(packs: DataFrame, bits: int, owners: int, partitions: int) -> DataFrame:
     """Count each n-gram's classes in its bucket; send n-grams of two or more back towards their class.
 
     Returns rows ``(bucket of the class, …packed…, dfs, origin)``; counts above 65,535 are sent as that.
     """
-    names = ["bucket", "classes", "sizes", "counts", "grams", "dfs", "origin"]
-    kinds = [pa.int32()] + [pa.binary()] * 5 + [pa.int32()]
+    names = ["bucket", "classes", "counts", "grams", "dfs", "origin"]
+    kinds = [pa.int32()] + [pa.binary()] * 4 + [pa.int32()]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _by_bucket(batches):
-            keys, sizes, counts, rest = _unpack(rows)
-            _, first = np.unique(keys, return_index=True)
-            alone = np.zeros(len(keys), bool)
-            alone[first] = True  # copies of a class from other tasks carry the same n-grams
+            keys, counts, source, rest = _unpack(rows)
+            _, first, code = np.unique(keys, return_index=True, return_inverse=True)
+            # copies of a class from other tasks carry the same n-grams in rows of their own
+            alone = source == source[first][code.reshape(-1)]
+            del rows[:]  # a bucket's arrays are what a task needs most memory for
             run = np.repeat(np.arange(len(keys), dtype=np.int32), counts)
-            kept = alone[run]
-            run, rest = run[kept], rest[kept]
+            if not alone.all():
+                kept = alone[run]
+                run, rest = run[kept], rest[kept]
+                del kept
             order = np.argsort(rest)
             line = rest[order]
             starts = np.append(0, np.flatnonzero(line[1:] != line[:-1]) + 1)
+            times = np.diff(np.append(starts, len(line)))
+            del line
             df = np.zeros(len(rest), "<u2")
-            df[order] = np.minimum(np.repeat(np.diff(np.append(starts, len(line))), np.diff(np.append(starts, len(line)))), 65535)
-            del order, line
+            df[order] = np.repeat(np.minimum(times, 65535).astype("<u2"), times)
+            del order, starts, times
             many = df > 1
             if not many.any():
                 continue
             run, rest, df = run[many], rest[many], df[many]
-            home = np.frombuffer(keys.tobytes(), np.uint8).reshape(-1, KEY)[:, :4].copy().view("<u4").reshape(-1) % owners
-            out = [
-                (*row, bucket)
-                for row in _pack(home[run].astype(np.uint16 if owners <= 65536 else np.uint32), keys, sizes, run, rest, [df])
-            ]
+            home = _home(keys, owners)
+            # runs of one class are one owner again
+            run = first[code.reshape(-1)][run]
+            out = [(*row, bucket) for row in _pack(home[run], keys, run, rest, [df])]
             for at in range(0, len(out), 16):
                 yield _rows(names, kinds, out[at : at + 16])
 
@@ -236,7 +255,39 @@ def shared_grams(packs: DataFrame, bits: int, owners: int, partitions: int) -> D
     return fed.mapInArrow(frugal(work), _PACKS + ", dfs binary, origin int")
 
 
-def survivors(shared: DataFrame, bits: int, num: int, den: int, partitions: int) -> DataFrame:
+def _home(keys: np.ndarray, owners: int) -> np.ndarray:
+    """Bucket of each class when n-grams are gathered by class."""
+    home = np.frombuffer(keys.tobytes(), np.uint8).reshape(-1, KEY)[:, :4].copy().view("<u4").reshape(-1) % owners
+    return home.astype(np.uint16 if owners <= 65536 else np.uint32)
+
+
+def set_sizes(known: DataFrame, owners: int) -> DataFrame:
+    """``(bucket, classes, sizes)``: packed keys and set sizes of the classes of ``known``, by their bucket."""
+    names, kinds = ["bucket", "classes", "sizes"], [pa.int32(), pa.binary(), pa.binary()]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            found = dict(zip(*(c.to_pylist() for c in batch.columns)))
+            keys = np.frombuffer(b"".join(found), f"V{KEY}")
+            sizes = np.fromiter(found.values(), "<i4", len(found))
+            home = _home(keys, owners)
+            order = np.argsort(home, kind="stable")
+            cuts = np.append(0, np.flatnonzero(np.diff(home[order].astype(np.int64))) + 1)
+            out = []
+            for a, b in zip(cuts, np.append(cuts[1:], len(order))):
+                at = order[a:b]
+                out.append((int(home[at[0]]), keys[at].tobytes(), sizes[at].tobytes()))
+            yield _rows(names, kinds, out)
+
+    rows = known.filter("cls IS NOT NULL").select("cls", "n")
+    return rows.mapInArrow(frugal(work), "bucket int, classes binary, sizes binary")
+
+
+def survivors(
+    shared: DataFrame, sizes: DataFrame, bits: int, num: int, den: int, partitions: int
+) -> DataFrame:
     """``(cls, n, alone, grams)`` of the classes whose prefix has an n-gram of another class.
 
     ``alone`` n-grams belong to the class only; ``grams`` are the others as 8 bytes each, rarest first
@@ -246,16 +297,22 @@ def survivors(shared: DataFrame, bits: int, num: int, den: int, partitions: int)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _by_bucket(batches):
-            keys, sizes, counts, rest = _unpack(rows)
-            df = np.frombuffer(b"".join(r[4] for r in rows), "<u2")
-            each = [np.frombuffer(r[2], "<u4").sum() for r in rows]
-            origin = np.repeat(np.array([r[5] for r in rows], np.uint64), each)
+            said = [r for r in rows if r[5] is not None]
+            rows = [r for r in rows if r[5] is None]
+            if not rows:
+                continue
+            keys, counts, _, rest = _unpack(rows)
+            df = np.frombuffer(b"".join(r[3] for r in rows), "<u2")
+            origin = np.repeat(np.array([r[4] for r in rows], np.uint64), [len(r[2]) // 6 for r in rows])
             gram = rest << np.uint64(spare)
             if bits:
                 gram |= origin << np.uint64(64 - bits)
-            names, first, code = np.unique(keys, return_index=True, return_inverse=True)
-            n = sizes[first].astype(np.int64)
-            owner = np.repeat(code.reshape(-1), counts)
+            told = np.frombuffer(b"".join(r[0] for r in said), f"V{KEY}")
+            names, code = np.unique(np.concatenate([keys, told]), return_inverse=True)
+            code = code.reshape(-1)
+            n = np.zeros(len(names), np.int64)
+            n[code[len(keys) :]] = np.frombuffer(b"".join(r[5] for r in said), "<i4")
+            owner = np.repeat(code[: len(keys)], counts)
             held = np.bincount(owner, minlength=len(names))
             prefix = n - (num * n + den - 1) // den + 1
             alive = n - held < prefix
@@ -271,7 +328,8 @@ def survivors(shared: DataFrame, bits: int, num: int, den: int, partitions: int)
             for at in range(0, len(out), 256):
                 yield _rows(["cls", "n", "alone", "grams"], kinds, out[at : at + 256])
 
-    fed = shared.repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    both = shared.unionByName(sizes, allowMissingColumns=True)
+    fed = both.repartition(partitions, "bucket").sortWithinPartitions("bucket")
     return fed.mapInArrow(frugal(work), "cls binary, n long, alone long, grams binary")
 
 
@@ -384,7 +442,8 @@ def linked_classes(docs: DataFrame, known: DataFrame, width: int, num: int, den:
     partitions = min(buckets, PARTITIONS)
     packs = packed_sets(docs, width, bits)
     shared = shared_grams(packs, bits, buckets, partitions)
-    sets = stage(survivors(shared, bits, num, den, partitions), "jaccard-sets")
+    sizes = set_sizes(known, buckets)
+    sets = stage(survivors(shared, sizes, bits, num, den, partitions), "jaccard-sets")
     tokens = stage(prefix_tokens(sets, num, den), "jaccard-prefixes")
     shared_lists = tokens.groupBy("gram").agg(F.count("*").alias("k")).filter("k > 1")
     tokens = tokens.join(shared_lists, "gram", "left_semi").withColumn("root", F.col("cls"))
