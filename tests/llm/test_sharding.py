@@ -45,3 +45,14 @@ def test_written_shards(spark, tmp_path):
     sharding.write_shards(docs, assigned, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out")).select("doc_id", "shard").collect()
     assert sorted(map(tuple, back)) == sorted((r["doc_id"], r["shard"]) for r in assigned.collect())
+
+
+def test_written_shards_of_clashing_columns_and_a_null_id(spark, tmp_path):
+    rows = [(i if i else None, "t" * i, f"mine {i}", -i) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, Shard string, slot int")
+    assigned = sharding.shard_documents(docs, 3)
+    sharding.write_shards(docs, assigned, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(str, back.select(docs.columns).collect())) == sorted(map(str, docs.collect()))
+    want = {r["doc_id"]: r["shard"] for r in assigned.collect()}
+    assert {r["doc_id"]: r["_shard"] for r in back.collect()} == want

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from topicloom.llm.common import unused
 from topicloom.plans.staging import cut, stage
 
 
@@ -104,10 +105,14 @@ def shard_documents(docs: DataFrame, n_shards: int) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, assigned: DataFrame, path: str) -> None:
-    """Write whole documents under ``path/shard=…``; ``doc_id`` must be unique.
+    """Write whole documents under ``path/shard=…``; ``doc_id`` must be unique, one may be null.
 
-    Rows move once, to the ranges of (shard, slot) they are written in, so a shard is one or more
-    consecutive files and no task gathers more than its range.
+    A document column that is itself called ``shard`` (in any case) stays as it is, and the folders are then
+    named by ``_shard``. Rows move once, to the ranges of (shard, slot) they are written in, so a shard is
+    one or more consecutive files and no task gathers more than its range.
     """
-    rows = docs.join(assigned.select("doc_id", "shard", "slot"), "doc_id")
-    rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    shard, slot, key = (unused(docs.columns, name) for name in ("shard", "slot", "key"))
+    places = assigned.select(F.col("doc_id").alias(key), F.col("shard").alias(shard), F.col("slot").alias(slot))
+    rows = docs.join(places, docs["doc_id"].eqNullSafe(places[key])).drop(key)
+    rows = rows.repartitionByRange(shard, slot).sortWithinPartitions(shard, slot).drop(slot)
+    rows.write.partitionBy(shard).parquet(path)
