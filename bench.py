@@ -64,6 +64,10 @@ def main() -> None:
         model = factor.nmf_fit(cells, 10, max_iter=20, tol=0.0)
         consume(clean_topic_words(factor.topic_word(model.h), 101))
 
+    def nmf_whole_fit() -> None:
+        model = factor.nmf_solve(cells, 10)  # to the production tolerance
+        consume(clean_topic_words(factor.topic_word(model.h), 101))
+
     def nmf_transform() -> None:
         consume(factor.nmf_transform(cells, start_h, 3))
 
@@ -82,7 +86,7 @@ def main() -> None:
     _, start_h = given.start_factors(spark, sf_dir)
     seconds = {}
     for step in (
-        metaword_tfidf, tf_idf, knn_cosine, nmf_20_sweeps, nmf_transform, calc_metrics,
+        metaword_tfidf, tf_idf, knn_cosine, nmf_20_sweeps, nmf_whole_fit, nmf_transform, calc_metrics,
         link_entities, corpus_entities,
     ):
         start = time.perf_counter()
