@@ -1,7 +1,8 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from topicloom.operators import factor
+from topicloom.operators import factor, tiles
 
 PENALTY = factor.Penalty.of(0.1, 0.5)
 
@@ -54,7 +55,7 @@ def rows_of(df, key, names):
     return np.array([found[n] for n in names])
 
 
-@pytest.mark.parametrize("limit", [None, 0], ids=["held", "joined"])
+@pytest.mark.parametrize("limit", [None, 0], ids=["held", "tiled"])
 def test_sweeps_equal_sequential_descent(spark, long, dense, limit):
     w, h, init = start(spark, dense, 3)
     model = factor.nmf_fit(long, 3, max_iter=2, tol=0.0, init=init, track_objective=True, limit=limit)
@@ -68,7 +69,7 @@ def test_sweeps_equal_sequential_descent(spark, long, dense, limit):
     assert np.allclose(model.objective, losses, rtol=1e-9)
 
 
-@pytest.mark.parametrize("limit", [None, 0], ids=["held", "joined"])
+@pytest.mark.parametrize("limit", [None, 0], ids=["held", "tiled"])
 def test_fit_from_nndsvd_lowers_the_loss(long, limit):
     model = factor.nmf_fit(long, 3, max_iter=4, tol=0.0, track_objective=True, limit=limit)
     assert model.sweeps == 4
@@ -81,7 +82,7 @@ def test_fit_stops_on_tolerance(long):
     assert factor.nmf_fit(long, 2, max_iter=50, tol=0.5).sweeps < 50
 
 
-@pytest.mark.parametrize("limit", [None, 0], ids=["held", "joined"])
+@pytest.mark.parametrize("limit", [None, 0], ids=["held", "tiled"])
 def test_singular_triplets_and_start(long, dense, limit):
     cells = factor.place(long, 13, limit)
     s, u, v = factor.truncated_svd(cells, 3)
@@ -175,3 +176,94 @@ def test_accelerated_fit_of_one_cell_and_of_text_ids(spark):
     model = factor.nmf_solve(one, 1, max_iter=300)
     (w,), (h,) = model.w.collect(), model.h.collect()
     assert w["doc_id"] == "a" and 0 < w["f"][0] * h["f"][0] <= 2
+
+
+@pytest.fixture
+def small_tiles(monkeypatch):
+    """Many blocks on both sides; the packing keeps its own tile size on the workers."""
+    monkeypatch.setattr(tiles, "grid", lambda n_docs, n_words, n_cells, k: (5, 3))
+
+
+def test_tiles_multiply_and_sum_like_the_matrix(spark, long, dense, small_tiles):
+    doubled = long.union(long.filter("word = 'w03'"))  # a repeated cell counts twice
+    cells = factor.place(doubled, 3, 0)
+    assert cells.n == {"doc_id": 5, "word": 3}
+    x = dense.copy()
+    x[:, 3] *= 2
+    _, h, (_, h0) = start(spark, dense, 3)
+    names, docs = [f"w{i:02d}" for i in range(25)], [i for i in range(40) if dense[i].any()]
+    blocks = cells.blocked("word", h0, 3)
+    assert np.allclose(rows_of(cells.frame("word", blocks, 3), "word", names), h.T)
+    y, small = cells.times("doc_id", blocks, 3)
+    want = (x @ h.T)[docs]
+    assert np.allclose(rows_of(cells.frame("doc_id", y, 3), "doc_id", docs), want)
+    assert np.allclose(small, want.T @ want)
+    z, _ = cells.times("word", y, 3)
+    assert np.allclose(rows_of(cells.frame("word", z, 3), "word", names), x[docs].T @ want)
+    cells.release()
+
+
+def test_tiles_do_not_move(spark, long, small_tiles):
+    cells = factor.place(long, 3, 0)
+    blocks = cells.blocked("word", spark.createDataFrame([("w01", [1.0, 2.0, 3.0])], "word string, f array<double>"), 3)
+    for side in ("doc_id", "word"):
+        plan = cells.partial(side, cells.sizes(tiles.SIDES[side]) if side == "word" else blocks, 3)
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        before = text.split("InMemoryRelation")[0]
+        assert "InMemoryTableScan" in before
+        assert before.count("Exchange") == 1  # the copies of the factor's blocks
+    cells.release()
+
+
+def test_blocks_of_the_grid_are_bounded():
+    d, w = tiles.grid(10**9, 10**7, 10**12, 20)
+    assert 10**9 / d * 160 <= tiles.BLOCK_BYTES and 10**7 / w * 160 <= tiles.BLOCK_BYTES
+    assert d * w >= 10**12 / tiles.TILE_CELLS * 0.9
+    assert (d * 10**7 + w * 10**9) * 7 < 10**12  # rows a pass moves, against the cells
+    assert tiles.grid(0, 0, 0, 3) == (1, 1)
+
+
+def test_fit_over_many_tiles_equals_the_fit_over_one(spark, long, dense, monkeypatch):
+    init = start(spark, dense, 3)[2]
+    names = [f"w{i:02d}" for i in range(25)]
+    found = []
+    for shape in ((1, 1), (4, 6)):
+        monkeypatch.setattr(tiles, "grid", lambda *sizes, shape=shape: shape)
+        found.append(factor.nmf_fit(long, 3, max_iter=3, tol=0.0, init=init, limit=0, track_objective=True))
+    assert np.allclose(found[0].objective, found[1].objective, rtol=1e-10)
+    assert np.allclose(*(rows_of(m.h, "word", names) for m in found), atol=1e-9)
+
+
+def test_cells_without_a_document_or_a_word_take_no_part(spark, long, dense):
+    init = start(spark, dense, 3)[2]
+    more = spark.createDataFrame([(None, "w01", 5.0), (1, None, 5.0)], long.schema)
+    for limit in (None, 0):
+        clean, given = (factor.nmf_fit(x, 3, max_iter=1, init=init, limit=limit) for x in (long, long.union(more)))
+        assert sorted(map(str, clean.h.collect())) == sorted(map(str, given.h.collect()))
+
+
+def test_documents_without_cells_in_tiles(spark, long, dense):
+    _, _, (w0, h0) = start(spark, dense, 3)
+    extra = spark.createDataFrame([(999, [0.2, 0.2, 0.2])], "doc_id long, f array<double>")
+    held, tiled = (factor.nmf_fit(long, 3, max_iter=1, init=(w0.union(extra), h0), limit=x) for x in (None, 0))
+    for model in (held, tiled):
+        assert max(model.w.filter("doc_id = 999").first()["f"]) < 0.2
+    assert np.allclose(*(rows_of(m.w, "doc_id", [999, 3]) for m in (held, tiled)))
+
+
+def test_packing_cuts_a_large_tile(monkeypatch):
+    monkeypatch.setattr(tiles, "TILE_CELLS", 10)
+    rng = np.random.default_rng(1)
+    rows, cols, values = np.sort(rng.integers(0, 9, 60)), rng.integers(0, 7, 60), rng.random(60)
+    keys = pa.array(np.repeat([1, 2], [45, 15]))
+    batch = pa.RecordBatch.from_arrays([keys, keys, *map(pa.array, (rows, cols, values))], list("dwrcv"))
+    want = {k: np.zeros((9, 7)) for k in (1, 2)}
+    for k, r, c, v in zip(keys.to_pylist(), rows, cols, values):
+        want[k][r, c] += v
+    got, n = {k: np.zeros((9, 7)) for k in (1, 2)}, 0
+    for tile in tiles._pack(batch.slice(i, 4) for i in range(0, 60, 4)):
+        docs, lengths, words, terms = (np.frombuffer(tile.column(c)[0].as_buffer(), "<i4") for c in range(2, 6))
+        v = np.frombuffer(tile.column(6)[0].as_buffer(), "<f8")
+        np.add.at(got[tile.column(0)[0].as_py()], (np.repeat(docs, lengths), words[terms]), v)
+        n += 1
+    assert n > 2 and all(np.allclose(got[k], want[k]) for k in want)

@@ -8,8 +8,8 @@ How H reaches the cells depends on its measured size:
 
 * within the limit (``HeldCells``): H is broadcast, and one pass over X per sweep updates each
   document's weights and adds up its part of XᵀW per task;
-* beyond it (``JoinedCells``): H is a distributed table, and a half-sweep is one join (rows of
-  frequent words split), one grouped sum and one row-local update.
+* beyond it (``TiledCells``): X lies in two-dimensional tiles that never move; blocks of H go to the
+  tiles, and their partial products are added up per block of documents or words.
 
 Both give the same factors up to the order of floating-point sums.
 """
@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 
 from topicloom.functions.columns import dominant, dot, total, zeros
 from topicloom.functions.descent import Rows, as_lists, as_matrix, coordinate_pass, projected, solve_rows
+from topicloom.operators.tiles import TiledCells, gram_of, mapped, totals
 from topicloom.plans import staging
-from topicloom.plans.staging import cut, hot_keys, lookup_join, split_hot_join
+from topicloom.plans.staging import cut, lookup_join
 
 # Entries of the starting factors below this are zero.
 INIT_FLOOR = 1e-6
@@ -64,13 +65,15 @@ class Penalty:
 # --- placing X ----------------------------------------------------------------------------------
 
 
-def place(x: DataFrame, k: int, limit: int | None = None) -> HeldCells | JoinedCells:
+def place(x: DataFrame, k: int, limit: int | None = None) -> HeldCells | TiledCells:
     """X partitioned by document for repeated passes with factors of up to k numbers per word.
 
-    The rows come from staged tables, so a lost executor's part is read again from there.
+    The rows come from staged tables, so a lost executor's part is read again from there. Cells without
+    a document or a word take no part.
     """
     spark = x.sparkSession
     x = x.select("doc_id", "word", F.col("value").cast("double").alias("value"))
+    x = x.filter("doc_id is not null and word is not null")
     words = staging.stage(x.groupBy("word").agg(F.count("*").alias("rows")), "words")
     found = words.agg(
         F.sum(F.octet_length("word") + 8 * k + 64).alias("size"), F.sum("rows").alias("cells")
@@ -78,8 +81,7 @@ def place(x: DataFrame, k: int, limit: int | None = None) -> HeldCells | JoinedC
     # tasks hold a bounded number of cells, and there is one for every core
     parts = max(spark.sparkContext.defaultParallelism, -(-(found["cells"] or 0) // PART_CELLS))
     if (found["size"] or 0) > (staging.BROADCAST_BYTES if limit is None else limit):
-        placed = x.repartition(parts, "doc_id").persist(StorageLevel.MEMORY_AND_DISK)
-        return JoinedCells(placed, hot_keys(placed, "word", words))
+        return TiledCells(x, words, k)
     names = sorted(row["word"] for row in words.collect())  # measured above
     numbered = spark.createDataFrame(list(enumerate(names)), "term int, word string")
     # one row per document; a document's own cells are all that is gathered
@@ -346,52 +348,6 @@ def _terms(found: np.ndarray) -> pa.RecordBatch:
     )
 
 
-class JoinedCells:
-    """X as a long table; per-word factors are tables, joined with the rows of hot words split."""
-
-    def __init__(self, x: DataFrame, hot: DataFrame) -> None:
-        self.x, self.hot = x, hot
-
-    def documents(self) -> DataFrame:
-        return self.x.select("doc_id").distinct()
-
-    def words(self) -> DataFrame:
-        return self.x.select("word").distinct()
-
-    def release(self) -> None:
-        self.x.unpersist()
-
-    def times_words(self, h: DataFrame, k: int) -> DataFrame:
-        """``(doc_id, b)``: X times a per-word factor."""
-        joined = split_hot_join(self.x, h.select("word", "f"), "word", hot=self.hot)
-        return joined.groupBy("doc_id").agg(_sums(k))
-
-    def times_docs(self, w: DataFrame, k: int) -> DataFrame:
-        """``(word, b)``: transposed X times a per-document factor."""
-        weights = w.select("doc_id", "f").hint("shuffle_hash")
-        return self.x.join(weights, "doc_id").groupBy("word").agg(_sums(k))
-
-    def sweep(
-        self, w: DataFrame, h: DataFrame, g_h: np.ndarray, penalty: Penalty, k: int
-    ) -> tuple[DataFrame, DataFrame, np.ndarray, float, float]:
-        """W with H fixed, then H with W fixed: (W, H, HᵀH, violation, fit part of the objective)."""
-        w = _half_sweep(w, self.times_words(h, k), "doc_id", g_h, penalty)
-        g_w, moved_w = gram(w, k)
-        b = self.times_docs(w, k)
-        h = _half_sweep(h, b, "word", g_w, penalty)
-        g_h, moved_h = gram(h, k)
-        mass = lambda t: F.sum(total(F.col("f")))
-        row = h.agg(F.sum(dot(F.col("f"), F.col("b"))).alias("cross"), mass(h).alias("mass")).first()
-        mass_w = w.agg(mass(w)).first()[0] or 0.0
-        fit = float(np.sum(g_w * g_h)) / 2 - (row["cross"] or 0.0)
-        fit += penalty.l1 * (mass_w + (row["mass"] or 0.0))
-        fit += penalty.l2 / 2 * float(np.trace(g_w) + np.trace(g_h))
-        return w, h, g_h, moved_w + moved_h, fit
-
-    def norm2(self) -> float:
-        return self.x.agg(F.sum(F.col("value") * F.col("value"))).first()[0] or 0.0
-
-
 def _sums(k: int) -> Column:
     """Σ value·f, element by element, for the rows of a group."""
     return F.expr("array(" + ", ".join(f"sum(value * f[{j}])" for j in range(k)) + ") AS b")
@@ -426,27 +382,30 @@ def gram(factor: DataFrame, k: int) -> tuple[np.ndarray, float]:
     return flat[:-1].reshape(k, k), float(flat[-1])
 
 
-def coordinate_step(g: np.ndarray, l1: float) -> Callable[[Column, Column], Column]:
-    """Column function (f, b) -> struct(f, violation): one cyclic pass over the k coordinates."""
-    k = len(g)
+def _tiled_sweep(
+    cells: TiledCells, w: DataFrame, h: DataFrame, g_h: np.ndarray, penalty: Penalty, k: int
+) -> tuple[DataFrame, DataFrame, np.ndarray, float, float]:
+    """W with H fixed, then H with W fixed: (W, H, HᵀH, violation, fit part of the objective)."""
+    l1 = penalty.l1
 
-    @F.arrow_udf("struct<f: array<double>, violation: double>")
-    def step(f: pa.Array, b: pa.Array) -> pa.Array:
-        rows = as_matrix(f, k).copy()
-        violation = coordinate_pass(rows, as_matrix(b, k) - l1, g)
-        return pa.StructArray.from_arrays([as_lists(rows), pa.array(violation)], ["f", "violation"])
+    def half(g: np.ndarray) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, list[float]]]:
+        def move(rows: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list[float]]:
+            moved = coordinate_pass(rows, b - l1, g).sum()
+            return rows, [*gram_of(rows), float(moved), float(rows.sum()), float(np.sum(rows * b))]
 
-    return step
+        return move
 
+    def parts(rows: DataFrame) -> tuple[np.ndarray, float, float, float]:
+        found = totals(rows, k * k + 3)
+        return found[:-3].reshape(k, k), *found[-3:].tolist()
 
-def _half_sweep(old: DataFrame, b: DataFrame, key: str, g: np.ndarray, penalty: Penalty) -> DataFrame:
-    """Move every row of ``old`` once; rows without cells have b = 0."""
-    step = coordinate_step(penalty.on(g), penalty.l1)
-    joined = old.select(key, "f").join(b.hint("shuffle_hash"), key, "left")
-    moved = joined.select(key, "f", F.coalesce("b", zeros(len(g))).alias("b")).select(
-        key, "b", step(F.col("f"), F.col("b")).alias("s")
-    )
-    return cut(moved.select(key, "b", "s.f", "s.violation"))
+    w = cells.meet("doc_id", h, k, half(penalty.on(g_h)), w)
+    g_w, moved_w, mass_w, _ = parts(w)
+    h = cells.meet("word", w, k, half(penalty.on(g_w)), h)
+    g_h, moved_h, mass_h, cross = parts(h)
+    fit = float(np.sum(g_w * g_h)) / 2 - cross + l1 * (mass_w + mass_h)
+    fit += penalty.l2 / 2 * float(np.trace(g_w) + np.trace(g_h))
+    return w, h, g_h, moved_w + moved_h, fit
 
 
 # --- fitting and applying ------------------------------------------------------------------------
@@ -474,19 +433,20 @@ def nmf_fit(
     cells = place(x, k + SVD_EXTRA, limit)
     try:
         w, h = init if init is not None else _nndsvd(cells, k)
-        w = cut(_covering(cells.documents(), w, "doc_id", k))
         if isinstance(cells, HeldCells):
+            w = cut(_covering(cells.documents(), w, "doc_id", k))
             w, h = cells.weights(w, k), cells.matrix(h, k)
         else:
-            h = cut(_covering(cells.words(), h, "word", k))
-            g_h, _ = gram(h, k)
+            cells.cover("doc_id", w)
+            w, h = cells.blocked("doc_id", w, k), cells.blocked("word", h, k)
+            g_h = totals(mapped(h, lambda f: (f, gram_of(f))), k * k).reshape(k, k)
         half_norm = cells.norm2() / 2 if track_objective else 0.0
         first, sweeps, history = None, 0, []
         for sweeps in range(1, max_iter + 1):
             if isinstance(cells, HeldCells):
                 w, h, moved, fit = cells.sweep(w, h, penalty)
             else:
-                w, h, g_h, moved, fit = cells.sweep(w, h, g_h, penalty, k)
+                w, h, g_h, moved, fit = _tiled_sweep(cells, w, h, g_h, penalty, k)
             if track_objective:
                 history.append(half_norm + fit)
             first = moved if first is None else first
@@ -495,7 +455,7 @@ def nmf_fit(
         if isinstance(cells, HeldCells):
             w, h = cells.per_document(w, k), cells.frame(h)
         else:
-            h = h.select("word", "f")
+            w, h = cells.frame("doc_id", w, k), cells.frame("word", h, k)
         return Factors(w.select("doc_id", "f"), h, k, sweeps, history)
     finally:
         cells.release()
@@ -574,63 +534,58 @@ class _Held:
 
 
 class _Spread:
-    """State of the accelerated fit while H is a distributed table: (word, y, h)."""
+    """State of the accelerated fit while H is a table of blocks, the rows of one being (y, h)."""
 
-    def __init__(self, cells: JoinedCells, penalty: Penalty, k: int, start: DataFrame) -> None:
+    def __init__(self, cells: TiledCells, penalty: Penalty, k: int, start: DataFrame) -> None:
         self.cells, self.penalty, self.k = cells, penalty, k
-        start = _covering(cells.words(), start, "word", k)
-        self.rows = cut(start.select("word", F.col("f").alias("y"), F.col("f").alias("h")))
+        rows = cells.blocked("word", start, k)
+        self.rows = cut(mapped(rows, lambda f: (np.hstack([f, f]), gram_of(f))))
 
-    def _weights(self, g_h: np.ndarray) -> DataFrame:
-        g, k, l1 = self.penalty.on(g_h), self.k, self.penalty.l1
+    def _weights(self) -> tuple[DataFrame, DataFrame, np.ndarray]:
+        """(y, best W for it, yᵀy)."""
+        k, l1 = self.k, self.penalty.l1
+        g_h = totals(self.rows, k * k).reshape(k, k)
+        g = self.penalty.on(g_h)
 
-        @F.arrow_udf("array<double>")
-        def solved(b: pa.Array) -> pa.Array:
-            return as_lists(solve_rows(as_matrix(b, k) - l1, g))
+        def solved(old: np.ndarray | None, b: np.ndarray) -> tuple[np.ndarray, list[float]]:
+            f = solve_rows(b - l1, g)
+            return f, [*gram_of(f), float(f.sum())]
 
-        products = self.cells.times_words(self.rows.select("word", F.col("y").alias("f")), k)
-        return cut(products.select("doc_id", solved("b").alias("f")))
+        y = mapped(self.rows, lambda f: (f[:, :k], []))
+        return y, self.cells.meet("doc_id", y, k, solved), g_h
 
     def evaluate(self) -> tuple[float, float]:
         """(projected gradient, loss without ½‖X‖²) at the present point."""
         penalty, k, l1 = self.penalty, self.k, self.penalty.l1
-        g_h, _ = gram(self.rows.select(F.col("y").alias("f")), k)
-        w = self._weights(g_h)
-        self.g_w, _ = gram(w, k)
-        mass = w.agg(F.sum(total(F.col("f")))).first()[0] or 0.0
+        _, w, g_h = self._weights()
+        *flat, mass_w = totals(w, k * k + 1)
+        self.g_w = np.reshape(flat, (k, k))
         g = penalty.on(self.g_w)
 
-        @F.arrow_udf("double")
-        def gradient(y: pa.Array, a: pa.Array) -> pa.Array:
-            rows = as_matrix(y, k)
-            slope = rows @ g - as_matrix(a, k) + l1
-            return pa.array([projected(r, v) for r, v in zip(rows, slope)], pa.float64())
-
-        a = self.cells.times_docs(w, k).hint("shuffle_hash")
-        rows = self.rows.join(a, "word", "left").withColumn("a", F.coalesce("b", zeros(k))).drop("b")
-        self.rows = cut(rows.withColumn("moved", gradient("y", "a")))
-        found = self.rows.agg(
-            F.sum("moved").alias("moved"), F.sum(dot(F.col("y"), F.col("a"))).alias("cross"),
-            F.sum(total(F.col("y"))).alias("mass"),
-        ).first()
-        fit = float(np.sum(self.g_w * g_h)) / 2 - (found["cross"] or 0.0) + l1 * (mass + (found["mass"] or 0.0))
+        def slopes(old: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list[float]]:
+            y = old[:, :k]
+            return np.hstack([old, b]), [projected(y, y @ g - b + l1), float(np.sum(y * b)), float(y.sum())]
+
+        self.met = self.cells.meet("word", w, k, slopes, self.rows)
+        moved, cross, mass_h = totals(self.met, 3).tolist()
+        fit = float(np.sum(self.g_w * g_h)) / 2 - cross + l1 * (mass_w + mass_h)
         fit += penalty.l2 / 2 * float(np.trace(self.g_w) + np.trace(g_h))
-        return found["moved"] or 0.0, fit
+        return moved, fit
 
     def move(self, momentum: float) -> None:
         g, k, l1 = self.penalty.on(self.g_w), self.k, self.penalty.l1
 
-        @F.arrow_udf("struct<y: array<double>, h: array<double>>")
-        def step(y: pa.Array, h: pa.Array, a: pa.Array) -> pa.Array:
-            best = solve_rows(as_matrix(a, k) - l1, g, as_matrix(y, k))
-            beyond = np.maximum(best + momentum * (best - as_matrix(h, k)), 0)
-            return pa.StructArray.from_arrays([as_lists(beyond), as_lists(best)], ["y", "h"])
+        def step(rows: np.ndarray) -> tuple[np.ndarray, list[float]]:
+            y, h, a = rows[:, :k], rows[:, k : 2 * k], rows[:, 2 * k :]
+            best = solve_rows(a - l1, g, y)
+            beyond = np.maximum(best + momentum * (best - h), 0)
+            return np.hstack([beyond, best]), gram_of(beyond)
 
-        self.rows = cut(self.rows.select("word", step("y", "h", "a").alias("s")).select("word", "s.y", "s.h"))
+        self.rows = cut(mapped(self.met, step))
 
     def factors(self) -> tuple[DataFrame, DataFrame]:
-        h = self.rows.select("word", F.col("y").alias("f"))
-        return self._weights(gram(h, self.k)[0]), h
+        y, w, _ = self._weights()
+        return self.cells.frame("doc_id", w, self.k), self.cells.frame("word", y, self.k)
 
 
 def _covering(keys: DataFrame, factor: DataFrame, key: str, k: int) -> DataFrame:
@@ -696,14 +651,14 @@ def topic_word(h: DataFrame) -> DataFrame:
 
 
 def truncated_svd(
-    cells: HeldCells | JoinedCells, k: int, power_steps: int = 7
+    cells: HeldCells | TiledCells, k: int, power_steps: int = 7
 ) -> tuple[np.ndarray, DataFrame, DataFrame]:
     """``(s, U, V)``: the k leading singular triplets by subspace iteration.
 
     V starts from pseudo-random numbers derived from each word. A step multiplies by XᵀX and
     orthonormalises through the small Gram matrix. U and V are ``(doc_id, f)`` and ``(word, f)``.
     """
-    words = cut(cells.words())
+    words = cut(cells.words() if isinstance(cells, HeldCells) else cells.index("word").select("word"))
     p = min(k + SVD_EXTRA, words.count())
     # uniform in (-1, 1) from a hash of (word, column)
     start = F.transform(
@@ -718,13 +673,17 @@ def truncated_svd(
             basis = cells.times_transposed(basis)
             basis = basis @ _whitener(basis.T @ basis)
         y, v = cells.project(basis), cells.frame(basis)
+        values, rotate = np.linalg.eigh(gram(y, p)[0])
     else:
-        v = _orthonormal(cut(v), p)
+        blocks = cells.blocked("word", v, p)
+        small = totals(mapped(blocks, lambda f: (f, gram_of(f))), p * p).reshape(p, p)
         for _ in range(power_steps):
-            y = cells.times_words(v, p).withColumnRenamed("b", "f")
-            v = _orthonormal(cut(cells.times_docs(y, p).withColumnRenamed("b", "f")), p)
-        y = cut(cells.times_words(v, p).withColumnRenamed("b", "f"))
-    values, rotate = np.linalg.eigh(gram(y, p)[0])
+            y, _ = cells.times("doc_id", _rotated(blocks, _whitener(small)), p)
+            blocks, small = cells.times("word", y, p)
+        blocks = cut(_rotated(blocks, _whitener(small)))
+        y, small = cells.times("doc_id", blocks, p)
+        y, v = cells.frame("doc_id", y, p), cells.frame("word", blocks, p)
+        values, rotate = np.linalg.eigh(small)
     order = np.argsort(-values)[:k]
     s = np.sqrt(np.maximum(values[order], 0))
     rotate = rotate[:, order]
@@ -751,8 +710,8 @@ def _whitener(small: np.ndarray) -> np.ndarray:
     return vectors * np.where(values > floor, 1 / np.sqrt(np.maximum(values, floor)), 0)
 
 
-def _orthonormal(v: DataFrame, p: int) -> DataFrame:
-    return _times(v, _whitener(gram(v, p)[0]), "word")
+def _rotated(blocks: DataFrame, matrix: np.ndarray) -> DataFrame:
+    return mapped(blocks, lambda f: (f @ matrix, []))
 
 
 def nndsvd_init(
@@ -772,7 +731,7 @@ def nndsvd_init(
 
 
 def _nndsvd(
-    cells: HeldCells | JoinedCells, k: int, power_steps: int = 7
+    cells: HeldCells | TiledCells, k: int, power_steps: int = 7
 ) -> tuple[DataFrame, DataFrame]:
     s, u, v = truncated_svd(cells, k, power_steps)
     u, v = cut(u), cut(v)

@@ -476,6 +476,8 @@ def statements() -> dict[str, str]:
                    round(max(x) FILTER (p = 64), 6) AS last FROM means GROUP BY word"""),
         "nmf_sweep_documents": statement("w1", factor_rows("w1", "doc_id", "w")),
         "nmf_sweep_words": statement("h1", factor_rows("h1", "word", "h")),
+        "nmf_tiled_sweep_documents": statement("w1", factor_rows("w1", "doc_id", "w")),
+        "nmf_tiled_sweep_words": statement("h1", factor_rows("h1", "word", "h")),
         "nmf_transform": statement("wt", factor_rows("wt", "doc_id", "w")),
         "lda_update": statement("lnew", "SELECT topic::INTEGER AS topic, word, round(weight, 6) AS weight FROM lnew"),
         "lda_doc_topics_total": "SELECT doc_id, 1.0::DOUBLE AS total FROM documents",

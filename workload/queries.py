@@ -416,9 +416,9 @@ def nndsvd_start(spark, sf_dir):
     )
 
 
-def _one_sweep(spark, sf_dir):
+def _one_sweep(spark, sf_dir, limit=None):
     start = given.start_factors(spark, sf_dir)
-    return factor.nmf_fit(given.cells(spark, sf_dir), 3, max_iter=1, init=start)
+    return factor.nmf_fit(given.cells(spark, sf_dir), 3, max_iter=1, init=start, limit=limit)
 
 
 @query
@@ -431,6 +431,17 @@ def nmf_sweep_words(spark, sf_dir):
     return per_topic(_one_sweep(spark, sf_dir).h, "f", "weight")
 
 
+@query
+def nmf_tiled_sweep_documents(spark, sf_dir):
+    """The same sweep with X in tiles and H as a table."""
+    return per_topic(_one_sweep(spark, sf_dir, 0).w, "f", "weight")
+
+
+@query
+def nmf_tiled_sweep_words(spark, sf_dir):
+    return per_topic(_one_sweep(spark, sf_dir, 0).h, "f", "weight")
+
+
 @query
 def nmf_transform(spark, sf_dir):
     _, h = given.start_factors(spark, sf_dir)
