@@ -382,6 +382,15 @@ def statements() -> dict[str, str]:
         for n in range(3, 7)
     )
 
+    # words at distances 1 to 10, weighted 10 to 1, in both directions
+    near = """
+        , often AS (SELECT word FROM runs GROUP BY word HAVING count(*) >= 5)
+        , pairs AS (SELECT a.word AS w1, b.word AS w2, 11 - d AS n
+                    FROM runs a CROSS JOIN (SELECT unnest(range(1, 11)) AS d) JOIN runs b ON b.doc_id = a.doc_id AND b.pos = a.pos + d
+                    WHERE a.word IN (FROM often) AND b.word IN (FROM often))
+        , near AS (SELECT word, context, sum(n)::BIGINT AS n
+                   FROM (SELECT w1 AS word, w2 AS context, n FROM pairs UNION ALL SELECT w2, w1, n FROM pairs) GROUP BY ALL)"""
+
     def grams(source: str) -> str:
         return (
             f"SELECT word, unnest(list_distinct(flatten([{sub_grams}]))) AS ngram"
@@ -474,6 +483,13 @@ def statements() -> dict[str, str]:
                         GROUP BY ALL)
             SELECT word, round(sum(x), 5) AS total, round(max(x) FILTER (p = 1), 6) AS first,
                    round(max(x) FILTER (p = 64), 6) AS last FROM means GROUP BY word"""),
+        "context_counts": statement("runs", near + " SELECT word, context, n FROM near"),
+        "shifted_pmi": statement("runs", near + """
+            , smooth AS (SELECT context, sum(n) ** 0.75 AS p FROM near GROUP BY context)
+            , scored AS (SELECT word, context,
+                                ln(n / sum(n) OVER (PARTITION BY word) / (p / (SELECT sum(p) FROM smooth))) - ln(5.0::DOUBLE) AS value
+                         FROM near JOIN smooth USING (context))
+            SELECT word, context, round(value, 6) AS value FROM scored WHERE value > 0"""),
         "nmf_sweep_documents": statement("w1", factor_rows("w1", "doc_id", "w")),
         "nmf_sweep_words": statement("h1", factor_rows("h1", "word", "h")),
         "nmf_tiled_sweep_documents": statement("w1", factor_rows("w1", "doc_id", "w")),

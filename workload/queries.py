@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from topicloom.functions import columns
 from topicloom.operators import (
     acronyms,
+    contexts,
     embeddings,
     entities,
     factor,
@@ -23,6 +24,7 @@ from topicloom.operators import (
     topics,
 )
 from topicloom.plans import runs
+from topicloom.plans.staging import stage
 from topicloom.sources import corpus as corpora
 from topicloom.sources import results, vectors
 from workload import inputs as given
@@ -404,6 +406,18 @@ def subword_vectors(spark, sf_dir):
     )
 
 
+@query
+def context_counts(spark, sf_dir):
+    return contexts.cooccurrence(given.corpus(spark, sf_dir))
+
+
+@query
+def shifted_pmi(spark, sf_dir):
+    counts = stage(contexts.cooccurrence(given.corpus(spark, sf_dir)), "context-counts")
+    cells = contexts.shifted_pmi(counts, contexts.context_share(counts))
+    return cells.select("word", "context", F.round("value", 6).alias("value"))
+
+
 # --- topic models --------------------------------------------------------------------------------
 
 
