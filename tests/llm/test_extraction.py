@@ -1,3 +1,7 @@
+import math
+import random
+import time
+
 from topicloom.llm import extraction
 from topicloom.llm.extraction import main_text
 
@@ -79,3 +83,66 @@ def test_rows(spark):
     assert len(got) == 4 and got[0]["text"] == got[1]["text"] == main_text(PAGE)
     assert all(r["n_chars"] == len(r["text"]) for r in got) and got[2]["text"] == got[3]["text"] == ""
     assert extraction.extract(pages.limit(0)).collect() == []
+
+
+def test_comments_and_adverts_marked_as_articles():
+    texts, note = _paragraphs("a", 4, 300), _paragraphs("c", 3, 400)
+    page = (
+        f"<body><main><article class='post type-post'>{_html(texts)}</article>"
+        f"<section><article class='comment even'>{_html(note)}</article><article id='comment-12'>{_html(note)}</article>"
+        f"<article class='ad promo'>{_html(note)}</article><article class='related-post'>{_html(note)}</article></section>"
+        "</main></body>"
+    )
+    assert main_text(page).split("\n") == texts
+    outside = f"<body><article>{_html(texts)}</article><section><article class='comment'>{_html(note)}</article></section></body>"
+    assert main_text(outside).split("\n") == texts
+
+
+def test_marks_are_whole_names():
+    kept = ["share-price", "legal-reform", "search-results", "social-history", "register-office", "promo_code_guide"]
+    gone = ["share", "site-footer", "cookie-notice", "ad_slot-3", "article-comments", "main-nav", "newsletter-signup"]
+    parts = [f"<div class='{name}'><p>{name} and some text about it.</p></div>" for name in kept + gone]
+    assert main_text(f"<article>{''.join(parts)}</article>").split("\n") == [f"{n} and some text about it." for n in kept]
+    assert main_text("<article><p id='legal-reform'>A law was made.</p><p>Second.</p></article>") == "A law was made.\nSecond."
+
+
+def test_deep_pages_take_linear_time():
+    n = 100_000
+    pages = [
+        "<div>" * n + "<p>The only text of a very deep page.</p>" + "</section>" * n,
+        "<blockquote>" * n + "<p>The only text of a very deep page.</p>" + "</p>" * n,
+        "".join(f"<div><p>Line {i} of many.</p>" for i in range(20_000)),
+        "<article>" + "".join(f"<div><p>Line {i} of many.</p>" for i in range(20_000)),
+        "".join(f"<article><p>Line {i} of many.</p>" for i in range(20_000)),
+    ]
+    for page in pages:
+        start = time.process_time()
+        text = main_text(page)
+        assert time.process_time() - start < 10  # seconds; a walk up per line takes minutes
+        assert text.count("\n") in (0, 19_999)
+
+
+def test_ratios_and_clusters_equal_a_plain_scan():
+    rng = random.Random(3)
+    for _ in range(30):
+        lines = [
+            ("x" * rng.randint(1, 200), rng.randint(0, 6), rng.choice([0, 0, 100]), None, rng.random() < 0.2)
+            for _ in range(rng.randint(1, 40))
+        ]
+        ratio = [0.0 if f or 2 * k > len(t) else len(t) / max(1, g) for t, g, k, _, f in lines]
+        positive = sorted(r for r in ratio if r)
+        if not positive:
+            continue
+        at = 0.75 * (len(positive) - 1)
+        low = int(at)
+        third = positive[low] + (at - low) * (positive[min(low + 1, len(positive) - 1)] - positive[low])
+        clipped = [min(r, extraction.CLIP * third) for r in ratio]
+        mean = sum(clipped) / len(clipped)
+        spread = math.sqrt(sum((r - mean) ** 2 for r in clipped) / len(clipped))
+        kernel = {d: math.exp(-0.5 * d * d) for d in range(-2, 3)}
+        smoothed = [
+            sum(kernel[d] * ratio[i + d] for d in kernel if 0 <= i + d < len(ratio)) / sum(kernel.values())
+            for i in range(len(ratio))
+        ]
+        want = [i for i, r in enumerate(ratio) if r > 0 and smoothed[i] >= 0.5 * spread]
+        assert extraction.content_lines(lines) == want

@@ -13,7 +13,8 @@ that is neither furniture nor a link list lies beside it.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import numpy as np
@@ -39,7 +40,8 @@ HIDDEN = frozenset(
     "script style noscript template head title iframe object embed svg math canvas audio video map"
     " select textarea button input datalist".split()
 )
-# Furniture by element, by landmark role, and by words in class and id.
+# Furniture by element, by landmark role, and by names in class and id. A name counts if it is one of the
+# marks, or put together from marks and words for parts of a page ("site-footer", but not "share-price").
 FURNITURE = frozenset("nav footer aside form menu dialog".split())
 ROLES = frozenset(
     "navigation banner contentinfo complementary search form menu menubar dialog alertdialog alert toolbar".split()
@@ -53,6 +55,18 @@ MARKS = frozenset(
     " comment comments commentlist disqus respond replies reply pagination pager skip search tags"
     " copyright legal".split()
 )
+PARTS = frozenset(
+    "area article bar block blocks body box bottom button buttons col column container content entry form global"
+    " group header heading icon icons inner item items layer left line link links list main message messages outer"
+    " page panel placeholder post posts primary reader readers right row secondary section single site slot thread"
+    " title toggle top unit user users wrap wrapper zone".split()
+)
+# An article of its own that is a reader's comment or an advert says so in its marks.
+ARTICLE_MARKS = frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising adsense adbox adslot sponsor sponsored"
+    " sponsors promo promoted promotion promotions comment comments commentlist disqus respond replies reply"
+    " related recommended recommendations".split()
+)
 HEADERS = frozenset("header head heading site-header page-header".split())
 CONTENT = frozenset("article main".split())
 # Start tags that close an open element of the same group (end tags the author may leave out).
@@ -62,13 +76,21 @@ SCOPE = frozenset("ul ol dl table select article section div body main".split())
 
 
 class Node:
-    """An open or closed element that can hold lines."""
+    """An open or closed element that can hold lines.
 
-    __slots__ = ("tag", "parent", "hidden", "furniture", "depth")
+    ``top`` is the outmost content element around it and ``in_p`` whether a paragraph is open in its scope, so no
+    step has to walk up the page.
+    """
+
+    __slots__ = ("tag", "parent", "hidden", "furniture", "depth", "top", "in_p")
 
     def __init__(self, tag: str, parent: Node | None, hidden: bool, furniture: bool) -> None:
         self.tag, self.parent, self.hidden, self.furniture = tag, parent, hidden, furniture
         self.depth = parent.depth + 1 if parent else 0
+        self.top = parent.top if parent else None
+        if self.top is None and tag in CONTENT and not furniture:
+            self.top = self
+        self.in_p = tag == "p" or bool(parent) and tag not in SCOPE and parent.in_p
 
 
 class Lines(HTMLParser):
@@ -78,6 +100,7 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.node = self.root = Node("", None, False, False)
         self.links = 0
+        self.open: Counter[str] = Counter()
         self.lines: list[tuple[str, int, int, Node, bool]] = []
         self._text: list[str] = []
         self._tags = self._linked = 0
@@ -101,13 +124,14 @@ class Lines(HTMLParser):
             self._end_line()
             if tag in CLOSES:
                 self._close_open(CLOSES[tag])
-            elif self.node.tag == "p" or self._inside("p"):
+            elif self.node.in_p:
                 self._close_open({"p"})
         if tag == "a":
             self.links += 1
         if tag in BLOCK or tag in HIDDEN or tag in FURNITURE:
             hidden = self.node.hidden or tag in HIDDEN or not _shown(attrs)
             self.node = Node(tag, self.node, hidden, self.node.furniture or self._is_furniture(tag, attrs))
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in VOID or tag in HIDDEN:
@@ -120,17 +144,16 @@ class Lines(HTMLParser):
         self._tags += 1
         if tag == "a":
             self.links = max(0, self.links - 1)
-        if tag == "p" and not self._inside("p"):
+        if tag == "p" and not self.node.in_p:
+            self._end_line()
+        elif self.open[tag]:  # a stray end tag closes nothing
             self._end_line()
-        elif tag in BLOCK or tag in HIDDEN or tag in FURNITURE:
             node = self.node
-            while node.parent and node.tag != tag:
+            while node.tag != tag:
                 node = node.parent
-            if node.parent:  # a stray end tag closes nothing
-                self._end_line()
-                self.node = node.parent
-                if tag in SCOPE:
-                    self.links = 0
+            self._leave(node)
+            if tag in SCOPE:
+                self.links = 0
 
     def handle_data(self, data: str) -> None:
         if self.node.hidden:
@@ -143,19 +166,19 @@ class Lines(HTMLParser):
         super().close()
         self._end_line()
 
-    def _inside(self, tag: str) -> bool:
-        node = self.node
-        while node.parent and node.tag not in SCOPE:
-            if node.tag == tag:
-                return True
-            node = node.parent
-        return False
+    def _leave(self, node: Node) -> None:
+        """Close an open element and all in it."""
+        while self.node is not node.parent:
+            self.open[self.node.tag] -= 1
+            self.node = self.node.parent
 
     def _close_open(self, tags: set[str]) -> None:
+        if not any(self.open[tag] for tag in tags):
+            return
         node = self.node
         while node.parent and node.tag not in SCOPE:
             if node.tag in tags:
-                self.node = node.parent
+                self._leave(node)
                 return
             node = node.parent
 
@@ -165,21 +188,23 @@ class Lines(HTMLParser):
         named = {k: (v or "").lower() for k, v in attrs}
         if named.get("role", "") in ROLES:
             return True
-        in_content = self._in_content()
+        in_content = self.node.top is not None
         if tag == "header" and not in_content:
             return True
-        if tag in ("html", "body", *CONTENT):
+        if tag in ("html", "body", "main"):
             return False
-        marks = set(re.split(r"[^a-z0-9]+", f"{named.get('class', '')} {named.get('id', '')}")) - {""}
-        return bool(marks & MARKS) or (not in_content and bool(marks & HEADERS))
+        names = f"{named.get('class', '')} {named.get('id', '')}".split()
+        if tag == "article":
+            return any(_marked(name, ARTICLE_MARKS) for name in names)
+        return any(_marked(name, MARKS) for name in names) or (
+            not in_content and any(_marked(name, HEADERS) for name in names)
+        )
 
-    def _in_content(self) -> bool:
-        node = self.node
-        while node.parent:
-            if node.tag in CONTENT:
-                return True
-            node = node.parent
-        return False
+
+def _marked(name: str, marks: frozenset[str]) -> bool:
+    """Whether a class or id is a mark, or marks put together with numbers and parts of a page."""
+    words = [w for w in re.split(r"[^a-z0-9]+", name) if w]
+    return bool(marks.intersection(words)) and all(w in marks or w in MARKS or w in PARTS or w.isdigit() for w in words)
 
 
 def _shown(attrs: list[tuple[str, str | None]]) -> bool:
@@ -213,39 +238,67 @@ def content_lines(lines: list[tuple], sigma: float = SIGMA, share: float = SHARE
     return [int(i) for i in np.flatnonzero(high & (ratios > 0))]
 
 
-def _up(node: Node | None) -> Iterator[Node]:
-    """The element and those around it, inmost first."""
-    while node:
-        yield node
+def _shared(homes: Iterable[Node]) -> Node | None:
+    """The inmost element that holds all of the given ones."""
+    seen: dict[Node, int] = {}
+    first, n = {}, 0
+    for home in homes:
+        n += home not in first
+        first[home] = 1
+    for node in first:  # every element around them once
+        while node is not None and node not in seen:
+            seen[node] = first.get(node, 0)
+            node = node.parent
+    for node in sorted(seen, key=lambda e: -e.depth):
+        if seen[node] == n:
+            return node
+        if node.parent is not None:
+            seen[node.parent] += seen[node]
+    return None
+
+
+def _outmost_outside(home: Node, around: set[Node], known: dict[Node, Node | None]) -> Node | None:
+    """The largest element about ``home`` that is not in ``around``; ``known`` keeps what was found."""
+    path, node = [], home
+    while node is not None and node not in around and node not in known:
+        path.append(node)
         node = node.parent
+    found = known.get(node) if node in known else None
+    found = found or (path[-1] if path else None)
+    known.update(dict.fromkeys(path, found))
+    return found
 
 
 def region(lines: list[tuple], chosen: list[int]) -> set[Node]:
     """Elements whose lines are taken: all articles with what lies beside them, or what the chosen lines share."""
-    articles, around = set(), set()
-    for _, _, _, home, furniture in lines:
-        held = [] if furniture else [n for n in _up(home) if n.tag in CONTENT]
-        if held and held[-1] not in articles:
-            articles.add(held[-1])
-            around.update(_up(held[-1].parent))
+    articles = {home.top for _, _, _, home, furniture in lines if home.top is not None and not furniture}
     if articles:
-        beside = set()
-        for i in chosen:
-            path = list(_up(lines[i][3]))
-            if articles.isdisjoint(path):  # the largest element without an article
-                beside.update([n for n in path if n not in around][-1:])
-        return articles | beside
-    shared = None
-    for i in chosen:
-        path = list(_up(lines[i][3]))
-        inside = set(path)
-        shared = path if shared is None else [n for n in shared if n in inside]
-    if not shared:
+        around: set[Node] = set()
+        for article in articles:
+            node = article.parent
+            while node is not None and node not in around:
+                around.add(node)
+                node = node.parent
+        known: dict[Node, Node | None] = {}
+        beside = {_outmost_outside(lines[i][3], around, known) for i in chosen if lines[i][3].top not in articles}
+        return articles | (beside - {None})
+    if not chosen:
         return set()
-    # out to the element that holds all text which is neither furniture nor a link list
-    place = {n: i for i, n in enumerate(shared)}
-    loose = {home for text, _, linked, home, furniture in lines if not furniture and linked * 2 <= len(text)}
-    return {shared[max((next(place[n] for n in _up(home) if n in place) for home in loose), default=0)]}
+    # the element that holds the clusters and all text which is neither furniture nor a link list
+    homes = [lines[i][3] for i in chosen]
+    homes += [home for text, _, linked, home, furniture in lines if not furniture and linked * 2 <= len(text)]
+    found = _shared(homes)
+    return {found} if found is not None else set()
+
+
+def _within(home: Node, inside: dict[Node, bool]) -> bool:
+    path, node = [], home
+    while node is not None and node not in inside:
+        path.append(node)
+        node = node.parent
+    found = node is not None and inside[node]
+    inside.update(dict.fromkeys(path, found))
+    return found
 
 
 def main_text(html: str | None) -> str:
@@ -258,14 +311,14 @@ def main_text(html: str | None) -> str:
     lines = parser.lines
     chosen = content_lines(lines)
     taken = region(lines, chosen)
-    known = set(chosen)
+    known, inside = set(chosen), dict.fromkeys(taken, True)
     out = []
     for i, (text, _, linked, home, furniture) in enumerate(lines):
-        whole = any(n.tag in CONTENT for n in _up(home))
+        whole = home.top is not None
         # link lists around the clusters of a page, outside its articles, are furniture too
         if furniture or not whole and linked * 2 > len(text) and not chosen[0] < i < chosen[-1]:
             continue
-        if i in known or any(n in taken for n in _up(home)):
+        if i in known or _within(home, inside):
             out.append(text)
     return "\n".join(out)
 
