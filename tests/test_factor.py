@@ -3,6 +3,7 @@ import pyarrow as pa
 import pytest
 
 from topicloom.operators import factor, tiles
+from topicloom.plans import staging
 
 PENALTY = factor.Penalty.of(0.1, 0.5)
 
@@ -184,7 +185,9 @@ def small_tiles(monkeypatch):
     monkeypatch.setattr(tiles, "grid", lambda n_docs, n_words, n_cells, k: (5, 3))
 
 
-def test_tiles_multiply_and_sum_like_the_matrix(spark, long, dense, small_tiles):
+@pytest.mark.parametrize("room", [staging.BROADCAST_BYTES, 0], ids=["places broadcast", "places joined"])
+def test_tiles_multiply_and_sum_like_the_matrix(spark, long, dense, small_tiles, monkeypatch, room):
+    monkeypatch.setattr(staging, "BROADCAST_BYTES", room)
     doubled = long.union(long.filter("word = 'w03'"))  # a repeated cell counts twice
     cells = factor.place(doubled, 3, 0)
     assert cells.n == {"doc_id": 5, "word": 3}
