@@ -483,6 +483,8 @@ def statements() -> dict[str, str]:
                         GROUP BY ALL)
             SELECT word, round(sum(x), 5) AS total, round(max(x) FILTER (p = 1), 6) AS first,
                    round(max(x) FILTER (p = 64), 6) AS last FROM means GROUP BY word"""),
+        "word2vec_words": """SELECT word, 100 AS n_values, TRUE AS finite
+            FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents) GROUP BY word HAVING count(*) >= 5""",
         "context_counts": statement("runs", near + " SELECT word, context, n FROM near"),
         "shifted_pmi": statement("runs", near + """
             , smooth AS (SELECT context, sum(n) ** 0.75 AS p FROM near GROUP BY context)

@@ -394,6 +394,13 @@ def word2vec_vectors(spark, sf_dir):
     return trained.select("word", F.posexplode("vector").alias("pos", "x"))
 
 
+@query
+def word2vec_words(spark, sf_dir):
+    trained = embeddings.train_word2vec(given.corpus(spark, sf_dir))
+    finite = F.forall("vector", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return trained.select("word", F.size("vector").cast("long").alias("n_values"), finite.alias("finite"))
+
+
 @query
 def subword_vectors(spark, sf_dir):
     words = text.tokens_word(given.documents(spark, sf_dir))
