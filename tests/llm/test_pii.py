@@ -136,3 +136,41 @@ def test_empty_table_and_plan(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan) and "Exchange" not in plan
     assert out.filter(F.col("n_entities") > 0).count() > 0
+
+
+def test_names_repeated_without_a_title(spark):
+    texts = ["Mrs. Jane Doe wrote. Doe was late; Doe's car, Doerr, doe.", "Mr. John Smith came. Later Smith said that John left.",
+             "Doe and Smith without a title.", "Mr Roe met Mrs Roe. Roe left.", "Dr. J. Poe and J. Poe"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    new = {r["doc_id"]: r["text"] for r in pii.pseudonymise(docs, "k").collect()}
+    jane, doe = re.match(r"Mrs\. (\w+) (\w+) wrote\.", new[0]).groups()
+    assert new[0] == f"Mrs. {jane} {doe} wrote. {doe} was late; {doe}'s car, Doerr, doe." and doe != "Doe"
+    john, smith = re.match(r"Mr\. (\w+) (\w+) came\.", new[1]).groups()
+    assert new[1] == f"Mr. {john} {smith} came. Later {smith} said that {john} left." and "Smith" not in new[1]
+    assert new[2] == texts[2]
+    first, second = re.match(r"Mr (\w+) met Mrs (\w+)\. \1 left\.$", new[3]).groups()
+    assert first != second
+    assert re.fullmatch(r"Dr\. \w\. (\w+) and J\. \1", new[4])
+
+
+def test_numbers_that_are_no_cards_stay(spark):
+    kept = "at 1700000000000 ms, ISBN 9783161484100, on 20240131123045, ratio 12:30:45, std::string, f32::consts, a::b"
+    gone = "4222222222222 378282246310005 30569309025904 4111111111111111 2001:db8::1 FE80:0:0:0:0:0:0:1f fe80::2"
+    docs = spark.createDataFrame([(0, kept), (1, gone)], "doc_id long, text string")
+    new = {r["doc_id"]: (r["text"], r["n_entities"]) for r in pii.pseudonymise(docs, "k").collect()}
+    assert new[0] == (kept, 0) and new[1][1] == 7
+    pairs = list(zip(gone.split(), new[1][0].split(), strict=True))
+    assert all(a != b and len(a) == len(b) for a, b in pairs)
+    assert re.fullmatch(r"[0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f]", pairs[4][1])
+    assert re.fullmatch(r"[0-9A-F]{4}(:[0-9A-F]){6}:[0-9a-fA-F]{2}", pairs[5][1], re.IGNORECASE)
+
+
+def test_a_format_that_is_used_up_grows(spark):
+    # one hexadecimal digit each in two places: the address fe80::x has few draws, and short secrets grow
+    rows = [(i, f"password: a{i}b{i}cz") for i in range(10)] + [(10 + i, f"ip 1{i:02d}::{j:x}") for i in range(20) for j in range(16)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    new = [r["text"] for r in pii.pseudonymise(docs, "k").collect()]
+    assert len(set(new)) == len(rows)
+    one = F.array(F.struct(F.lit("secret").alias("kind"), F.lit("123456").alias("canon"), F.lit(9).alias("turn")))
+    draw = spark.range(1).select(pii.drawn("k", one)[0]["drawn"]).first()[0]
+    assert re.fullmatch(r"[0-9]{8}", draw)

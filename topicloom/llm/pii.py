@@ -1,7 +1,7 @@
 """Personal data replaced by keyed surrogates of the same type and format.
 
-Entities are found by one pattern: e-mail addresses, announced, hexadecimal and prefixed secrets, IPv4 addresses,
-phone numbers, bank accounts, social security numbers, card numbers, and names after a title. Every
+Entities are found by one pattern: e-mail addresses, announced, hexadecimal and prefixed secrets, IPv4 and
+IPv6 addresses, phone numbers, bank accounts, social security numbers, card numbers, and names after a title. Every
 mention is reduced to its entity (kind and canonical form), the entity's surrogate is drawn from a
 keyed hash, and the surrogate takes the mention's format: separators, capitals, a valid check digit.
 Names keep the gender of their title (if it has one) and their script, e-mail addresses the script of
@@ -41,13 +41,19 @@ _END = r"(?![\p{L}\p{N}])"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]++\.)+\p{L}{2,}+" + _END
 SECRET = r"(?:[0-9a-fA-F]{32,}+|(?:sk|pk|ghp|gho|xoxb|xoxp|AKIA)[-_]?[A-Za-z0-9_-]{16,}+)" + _END
 IP = rf"(?<![0-9]\.){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?[0-9])" + _END
+_HEX4 = "[0-9a-fA-F]{1,4}+"
+IP6 = (
+    rf"(?=[a-fA-F:]*+[0-9])(?:(?:{_HEX4}:){{7}}{_HEX4}|(?:{_HEX4}:){{2,6}}(?::{_HEX4}){{1,5}}"
+    rf"|[0-9a-fA-F]{{3,4}}:(?::{_HEX4}){{1,6}})(?!:)" + _END
+)
 PHONE = (
     r"(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}"
     r"|\([0-9]{3}\) ?[0-9]{3}[-.][0-9]{4}|[0-9]{3}[-.][0-9]{3}[-.][0-9]{4})" + _END
 )
 IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _END
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _END
-CARD = r"(?:[0-9]{13,19}+|[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,4})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})" + _END
+# Ungrouped numbers of 13 to 15 digits only as issuers begin them: moments in milliseconds and book numbers are no cards.
+CARD = r"(?:4[0-9]{12}+|3[0689][0-9]{12}+|3[47][0-9]{13}+|(?:2131|1800)[0-9]{11}+|[0-9]{16,19}+|[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,4})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})" + _END
 # A value after a word that says it is a credential; it must hold a digit. Only the value is replaced.
 KEYED = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,3}[:=]\s{0,3}[\"']?"
 VALUE = r"(?=[\p{L}_+/.=~-]*+[0-9])[\p{L}\p{N}_+/.=~-]{6,}+"
@@ -64,7 +70,7 @@ _INITIAL = rf"{_OTHER}(?:\p{{Lu}}|{'|'.join(INITIALS)})\.-?"
 _PARTICLE = rf"(?:(?:von|van|zu|auf|op|in) (?:der|den|dem|het|de|['’]t)|{'|'.join(PARTICLES)}|['’]t)"
 _NAME = rf"(?:(?:{_INITIAL}[\s\h]{{0,3}}|{_PARTICLE}{_GAP})*+{_LAST}|{_INITIAL}(?:\h{{0,3}}{_INITIAL})*+)"
 NAME = rf"{TITLED}{_NAME}(?:\h{{1,3}}{_NAME})*+"
-PII = rf"{EMAIL}|(?<![\p{{L}}\p{{N}}])(?:{KEYED}{VALUE}|{SECRET}|{IP}|{PHONE}|{IBAN}|{SSN}|{CARD}|{NAME})"
+PII = rf"{EMAIL}|(?<![\p{{L}}\p{{N}}])(?:{KEYED}{VALUE}|{SECRET}|{IP6}|{IP}|{PHONE}|{IBAN}|{SSN}|{CARD}|{NAME})"
 # A text without any of these holds no entity; cheap to test.
 HINT = rf"[0-9@]|(?<![\p{{L}}\p{{N}}])(?:{_TITLE}(?:\.?-Ing)?\.?[\s\h]|{SECRET})"
 
@@ -146,6 +152,7 @@ def kind_of(mention: Column) -> Column:
     return (
         F.when(mention.rlike(f"^{KEYED}{VALUE}"), "keyed")
         .when(mention.contains("@"), "email")
+        .when(whole(IP6), "ip6")
         .when(whole(IP), "ip")
         .when(whole(SSN), "ssn")
         .when(whole(PHONE), "phone")
@@ -182,7 +189,8 @@ def _name(stream: Column, script: str, gender: str, more: Column) -> Column:
 def drawn(key: str, found: Column) -> Column:
     """Add ``drawn``, the canonical surrogate, to an array of structs with ``kind``, ``canon``, ``turn``.
 
-    From turn 8 on, e-mail names and names grow, so that a free draw is found. Structs without a kind
+    From turn 8 on, e-mail names, names and secrets grow and a short IPv6 address gets eight groups, so that a
+    free draw is found where a format is used up. Structs without a kind
     pass through. Each step binds what the next one uses, so no expression is repeated.
     """
     with_stream = F.transform(
@@ -214,6 +222,12 @@ def _by_kind(e: Column) -> Column:
     top = F.element_at(F.array(F.lit("com"), F.lit("net"), F.lit("org")), (_number(ds, F.lit(6)) % 3 + 1).cast("int"))
     octet = [_number(s, F.lit(i)) for i in range(4)]
     ip = F.concat_ws(".", *[c.cast("string") for c in (octet[0] % 223 + 1, octet[1] % 256, octet[2] % 256, octet[3] % 254 + 1)])
+    digits = F.translate(s, "abcdef", "012345")
+    longer = F.substr(F.when(canon.rlike("^[0-9]+$"), digits).otherwise(s), F.lit(65), more)
+    groups = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: s.substr((i * 4 + 1).cast("int"), F.lit(4))), ":")
+    in_place = F.array_join(
+        F.transform(_chars(canon), lambda c, i: F.when(c == ":", c).otherwise(s.substr((i * 4 + 1).cast("int"), F.lit(1)))), ""
+    )
     body = num.substr(F.lit(1), F.length(num) - 1)
     check = ((10 - _luhn(F.concat(body, F.lit("0"))) % 10) % 10).cast("string")
     prefix = F.regexp_extract(canon, "^(?:sk|pk|ghp|gho|xoxb|xoxp|AKIA)[-_]?", 0)
@@ -224,8 +238,9 @@ def _by_kind(e: Column) -> Column:
         .when(kind == "card", F.when(_luhn(canon) % 10 == 0, F.concat(body, check)).otherwise(num))
         .when(kind == "ssn", num)
         .when(kind == "iban", F.concat(canon.substr(1, 2), sub.substr(F.lit(3), F.length(sub))))
-        .when(kind == "hex", F.array_join(F.transform(_chars(canon), lambda c, i: s.substr((i * 4 + 1).cast("int"), F.lit(1))), ""))
-        .when(kind == "secret", F.concat(prefix, sub.substr(F.length(prefix) + 1, F.length(sub))))
+        .when(kind == "hex", F.concat(in_place, longer))
+        .when(kind == "ip6", F.when(more > 0, groups).otherwise(in_place))
+        .when(kind == "secret", F.concat(prefix, sub.substr(F.length(prefix) + 1, F.length(sub)), longer))
     )
     for script in SOUNDS:
         for gender in sorted(TITLES):
@@ -352,15 +367,34 @@ def late_entities(docs: DataFrame, key: str) -> DataFrame:
     return late
 
 
+def _name_words(done: Column) -> Column:
+    """``array<struct<raw, new>>``: the words of titled names, initials aside, each with its first surrogate."""
+    words = F.filter(done, lambda e: e["kind"].startswith("name") & (F.length(e["raw"]) > 1))
+    pairs = F.transform(words, lambda e: F.struct(e["raw"].alias("raw"), e["new"].alias("new")))
+    raws = F.transform(words, lambda e: e["raw"])
+    return F.filter(pairs, lambda e, i: F.array_position(raws, e["raw"]) == i + 1)
+
+
+def _renamed(text: Column, words: Column) -> Column:
+    """The text with every whole word of ``words`` replaced; words hold letters, apostrophes and hyphens only."""
+    edge = r"[\p{L}\p{N}]"
+    return F.aggregate(
+        words, text, lambda b, w: F.regexp_replace(b, F.concat(F.lit(rf"(?<!{edge})"), w["raw"], F.lit(rf"(?!{edge})")), w["new"])
+    )
+
+
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """The documents with every entity in ``text`` replaced, all other columns as they are.
 
     A null text stays null, an empty one empty, a text without entities is unchanged. Equal texts get
     equal results wherever they are; ids play no part, so null, repeated or missing ones do not matter.
-    Added is ``n_entities``, the number of mentions replaced; a column of that name is overwritten.
+    A name's words are also replaced where the text repeats them without a title, in the same spelling; where two
+    titled names of a text share a word, such a repeat gets the surrogate of the first. Added is ``n_entities``, the
+    number of mentions replaced, repeats without a title not counted; a column of that name is overwritten.
     """
     names = docs.columns
-    found, mark, lates, turns_, pieced = (unused(names, c) for c in ("_found", "_mark", "_late", "_turns", "_new"))
+    added = ("_found", "_mark", "_late", "_turns", "_new", "_names")
+    found, mark, lates, turns_, pieced, named = (unused(names, c) for c in added)
     late = stage(late_entities(docs, key), "pii-late")
     text = F.col("text")
     rows = docs.withColumn(found, mentions(text))
@@ -387,14 +421,16 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
 
     cut = F.transform(pieces(F.col(found)), lambda p: p.withField("turn", turn(p)))
     done = F.transform(
-        drawn(key, cut), lambda e: F.struct(e["at"].alias("at"), _formatted(e).alias("new"))
+        drawn(key, cut),
+        lambda e: F.struct(e["at"].alias("at"), e["raw"].alias("raw"), e["kind"].alias("kind"), _formatted(e).alias("new")),
     )
     rows = rows.withColumn(pieced, F.when(F.size(found) > 0, done))
+    rows = rows.withColumn(named, _name_words(F.col(pieced)))
     # the text between mentions, each followed by what replaces the mention
     joined = F.transform(
         F.split(text, PII, -1),
         lambda b, i: F.concat(
-            b, F.array_join(F.transform(F.filter(pieced, lambda e: e["at"] == i), lambda e: e["new"]), "")
+            F.when(F.size(named) > 0, _renamed(b, F.col(named))).otherwise(b), F.array_join(F.transform(F.filter(pieced, lambda e: e["at"] == i), lambda e: e["new"]), "")
         ),
     )
     new = F.when(F.size(found) > 0, F.array_join(joined, "")).otherwise(text)
