@@ -51,3 +51,26 @@ def test_shared_folder_comes_from_the_session(spark):
     if named is not None:
         assert shared_dir(spark) == named
     assert shared_dir(spark) == shared_dir(spark)
+
+
+def test_common_words_need_no_weights(spark, tmp_path):
+    rows = [(1, "a b b", "s", "en"), (2, "a c", "s", "en"), (3, None, "s", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(
+        f"{tmp_path}/documents.parquet"
+    )
+    found = inputs.common_words(spark, str(tmp_path))
+    assert "Window" not in plan(found) and "/tfidf-" not in plan(found)
+    assert sorted(tuple(r) for r in found.collect()) == [(0, "a", 2), (0, "b", 1), (0, "c", 1)]
+
+
+def test_bounded_words_are_counted_once(spark, docs, monkeypatch):
+    from topicloom.plans import staging
+
+    corpus = docs((1, "a b b"), (2, "a c"), (3, "a b d"), (4, "a e"))
+    names = []
+    kept = staging.stage
+    monkeypatch.setattr(staging, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(staging, "stage", lambda df, name: names.append(name) or kept(df, name))
+    rows = text.tf_bounded(text.term_frequency(text.tokens_space(corpus)), 4).collect()
+    assert sorted((r["doc_id"], r["word"], r["n"]) for r in rows) == [(1, "b", 2), (3, "b", 1)]
+    assert "key-counts" not in names
