@@ -70,3 +70,41 @@ def test_edges(spark):
         got = toxicity.toxicity(docs, table).collect()
         assert len(got) == 4 and all(0 <= r["score"] <= 1 for r in got)
     assert toxicity.toxicity(docs.limit(0), table).count() == 0
+
+
+def test_every_labelled_row_teaches(spark, monkeypatch):
+    """More rows of a class than the old sample held, long ones too, over several shards."""
+    monkeypatch.setattr(toxicity, "SHARD_BYTES", 60_000)
+    rows, marks = [], []
+    for i in range(7000):
+        # each of 500 words marks a few texts only, so a sample of 2,000 rows would miss some of them
+        word = f"q{i % 499}x{i % 499}"
+        rows.append((i, f"alpha beta gamma {word} delta" if i % 2 else f"alpha beta gamma z{i % 499} delta"))
+        marks.append((i, i % 2))
+    rows.append((7001, "vilelong " + "alpha beta " * 3000))
+    marks.append((7001, 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    taught = toxicity.labelled(docs, labels)
+    assert taught.count() == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i, _ in marks)
+    got = toxicity.scores(docs, toxicity.fit(taught)).toPandas().merge(labels.toPandas(), on="doc_id")
+    assert (got.predicted == got.toxic).mean() > 0.98
+
+
+def test_order_and_partitions_do_not_matter(spark):
+    rows = [(i, ("bad thing" if i % 3 == 0 else "good thing") + f" number{i}", int(i % 3 == 0)) for i in range(300)]
+    first = spark.createDataFrame(rows, "doc_id long, text string, _label int")
+    second = spark.createDataFrame(rows[::-1] + rows[:50], first.schema).repartition(5)
+    a, b = toxicity.fit(first), toxicity.fit(second)
+    assert np.allclose(a.embed, b.embed, atol=1e-5) and np.allclose(a.thresholds, b.thresholds, atol=1e-4)
+    assert np.allclose(a.last, b.last, atol=1e-5) and abs(a.offset - b.offset) < 1e-5
+
+
+def test_binned_cut_is_the_cut():
+    rng = np.random.default_rng(1)
+    raws = np.round(rng.normal(0, 2, 500), 1)
+    y = (raws + rng.normal(0, 1, 500) > 0.5).astype(int)
+    best = max(2 * y[raws >= c].sum() / ((raws >= c).sum() + y.sum()) for c in raws)
+    cut = toxicity.threshold(raws, y)
+    assert 2 * y[raws >= cut].sum() / ((raws >= cut).sum() + y.sum()) == pytest.approx(best)
+    assert not (raws == cut).any()
