@@ -1,8 +1,10 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from topicloom.functions.variational import digamma, expected_log, infer
+from topicloom.functions.variational import digamma, expected_log, infer, infer_all
 from topicloom.operators import embeddings, lda, topics
 from topicloom.operators.metrics import calc_metrics
 from topicloom.plans import runs
@@ -140,3 +142,29 @@ def test_whole_run_writes_everything(spark, corpus, tmp_path):
         assert spark.read.parquet(str(tmp_path / name)).count() > 0, name
     (report,) = (tmp_path / "result_topic_3").glob("part-*")
     assert report.read_text().startswith("Topics 2 N_Words 3 - Percent of vocabulary in embedding: 1.0")
+
+
+def test_documents_are_inferred_together_as_one_by_one():
+    rng = np.random.default_rng(5)
+    lengths = rng.integers(1, 30, 200)
+    beta, counts = rng.random((lengths.sum(), 4)), rng.integers(1, 9, lengths.sum()).astype(float)
+    at = np.cumsum(lengths) - lengths
+    for steps, tol in ((1, 1e-3), (100, 1e-3), (100, 0.0)):
+        weights, added = infer_all(beta, counts, lengths, 0.25, steps, tol)
+        for d, (i, n) in enumerate(zip(at, lengths)):
+            want = infer(beta[i : i + n], counts[i : i + n], 0.25, steps, tol)
+            assert np.allclose(weights[d], want[0], atol=1e-9) and np.allclose(added[i : i + n], want[1], atol=1e-9)
+
+
+def test_inference_of_short_documents_is_not_paid_one_by_one():
+    """2,000 documents of 30 words; one by one they take many times as long."""
+    rng = np.random.default_rng(6)
+    lengths = np.full(2000, 30)
+    beta, counts = rng.random((60_000, 10)), np.ones(60_000)
+    start = time.process_time()
+    for i in range(0, 3000, 30):
+        infer(beta[i : i + 30], counts[i : i + 30], 0.1, 100, 1e-3)
+    alone = (time.process_time() - start) * 20
+    start = time.process_time()
+    infer_all(beta, counts, lengths, 0.1, 100, 1e-3)
+    assert time.process_time() - start < alone / 2
