@@ -168,3 +168,17 @@ def test_inference_of_short_documents_is_not_paid_one_by_one():
     start = time.process_time()
     infer_all(beta, counts, lengths, 0.1, 100, 1e-3)
     assert time.process_time() - start < alone / 2
+
+
+def test_hot_words_are_counted_once(spark, monkeypatch):
+    """Updates with joined weights look for hot words once, not in every mini-batch, and a hot word is split."""
+    rows = [(d, w, 1.0) for d in range(40) for w in ("all", f"own{d % 7}")]
+    cells = spark.createDataFrame(rows, "doc_id long, word string, value double")
+    monkeypatch.setattr(lda.staging, "HOT_SHARE", 4)
+    found, hot_keys = [], lda.staging.hot_keys
+    monkeypatch.setattr(lda.staging, "hot_keys", lambda *a: found.append(hot_keys(*a)) or found[-1])
+    joined = lda.lda_fit(cells, 2, passes=2, batches=3, limit=0).collect()
+    assert len(found) == 1 and [r["word"] for r in found[0].collect()] == ["all"]
+    held = {r["word"]: r["f"] for r in lda.lda_fit(cells, 2, passes=2, batches=3).collect()}
+    assert {r["word"] for r in joined} == set(held)
+    assert all(r["f"] == pytest.approx(held[r["word"]], abs=1e-6) for r in joined)
