@@ -103,6 +103,23 @@ def test_word2vec_trains_vectors(corpus):
     assert len(rows) == 8 and all(len(r["vector"]) == 8 for r in rows)
 
 
+def test_subword_vectors_beyond_the_limit_travel_per_chunk_of_words(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "CHUNK_WORDS", 3)
+    monkeypatch.setattr(embeddings, "SUM_ROWS", 7)
+    vectors = spark.createDataFrame(
+        [("water", [1.0, -2.0]), ("waters", [0.5, 4.0]), ("tower", [3.0, None]), ("é", [None, None])],
+        "word string, vector array<double>",
+    )
+    words = spark.createDataFrame(
+        [(w,) for w in ("watered", "towers", "power", "zzz", "a", "", "é", "water", "water", None)], "word string"
+    )
+    want = {r["word"]: r["vector"] for r in embeddings.subword_vectors(words, vectors).collect()}
+    got = {r["word"]: r["vector"] for r in embeddings.subword_vectors(words, vectors, limit=0).collect()}
+    assert sorted(got) == sorted(want) == ["power", "towers", "water", "watered", "é"]
+    for word, values in want.items():
+        assert got[word] == [v if v is None else pytest.approx(v) for v in values]
+
+
 def test_subword_vectors_of_unseen_words(spark):
     vectors = spark.createDataFrame([("cats", [1.0, 0.0]), ("dog", [0.0, 1.0])], "word string, vector array<float>")
     words = spark.createDataFrame([("cat",), ("zzz",), ("dog",)], "word string")
