@@ -85,3 +85,26 @@ def test_measured_bytes_follow_the_data(spark):
     large = spark.createDataFrame([("ab" * 1000, [1.0] * 1000)], "word string, f array<double>")
     assert staging.measured_bytes(small) < 200
     assert staging.measured_bytes(large) > 9000
+
+
+def test_only_counts_of_rare_words_move_to_a_large_lookup(spark, docs, monkeypatch):
+    rows = [(i, "the of " + " ".join(f"w{j}" for j in range(i % 7)) + f" only{i}") for i in range(40)]
+    corpus = docs(*rows, *rows[:3], (None, "the w1"), (41, None), (42, ""))
+    counts = text.term_frequency(text.tokens_space(text.by_document(corpus)))
+    want = table(text.tf_idf(counts, 46).na.fill(-1), "doc_id", "word", "value", digits=12)
+    bounded = table(text.tf_bounded(counts, 46).na.fill(-1), "doc_id", "word", "n")
+    moved = []
+    kept = staging.split_hot_join
+    monkeypatch.setattr(staging, "split_hot_join", lambda facts, *rest: moved.append(facts) or kept(facts, *rest))
+    monkeypatch.setattr(staging, "BROADCAST_BYTES", 200)
+    assert table(text.tf_idf(counts, 46).na.fill(-1), "doc_id", "word", "value", digits=12) == want
+    assert table(text.tf_bounded(counts, 46).na.fill(-1), "doc_id", "word", "n") == bounded
+    assert len(moved) == 2
+    for facts in moved:
+        words = {r["word"] for r in facts.select("word").distinct().collect()}
+        assert "the" not in words and "only7" in words
+    facts, lookup = counts, counts.groupBy("word").agg(F.count("*").alias("df")).filter("df < 30")
+    inner = staging.lookup_join(facts, lookup, "word", key_rows=lookup, common_first=True, limit=150)
+    assert table(inner.na.fill(-1), "doc_id", "word", "n", "df") == table(
+        facts.join(lookup, "word").na.fill(-1), "doc_id", "word", "n", "df"
+    )
