@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from topicloom.functions.columns import let
 from topicloom.llm.common import unused
 from topicloom.plans.staging import lookup_join, stage
 
@@ -370,9 +371,11 @@ def late_entities(docs: DataFrame, key: str) -> DataFrame:
 def _name_words(done: Column) -> Column:
     """``array<struct<raw, new>>``: the words of titled names, initials aside, each with its first surrogate."""
     words = F.filter(done, lambda e: e["kind"].startswith("name") & (F.length(e["raw"]) > 1))
-    pairs = F.transform(words, lambda e: F.struct(e["raw"].alias("raw"), e["new"].alias("new")))
-    raws = F.transform(words, lambda e: e["raw"])
-    return F.filter(pairs, lambda e, i: F.array_position(raws, e["raw"]) == i + 1)
+    ordered = F.sort_array(F.transform(words, lambda e, i: F.struct(e["raw"].alias("raw"), i.alias("i"), e["new"].alias("new"))))
+    # sorted, the first of equal words follows another word; a search for each word would take the square of their number
+    first = let(ordered, lambda o: F.filter(o, lambda e, j: (j == 0) | (F.get(o, j - 1)["raw"] != e["raw"])))
+    placed = F.sort_array(F.transform(first, lambda e: F.struct(e["i"].alias("i"), e["raw"].alias("raw"), e["new"].alias("new"))))
+    return F.transform(placed, lambda e: F.struct(e["raw"].alias("raw"), e["new"].alias("new")))
 
 
 def _renamed(text: Column, words: Column) -> Column:
