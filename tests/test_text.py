@@ -108,3 +108,15 @@ def test_only_counts_of_rare_words_move_to_a_large_lookup(spark, docs, monkeypat
     assert table(inner.na.fill(-1), "doc_id", "word", "n", "df") == table(
         facts.join(lookup, "word").na.fill(-1), "doc_id", "word", "n", "df"
     )
+
+
+def test_words_of_documents_are_distinct_over_all_rows_of_a_document(spark, docs):
+    schema = "doc_id long, text string"
+    several = [(1, "Cat cat dog"), (1, "dog sun"), (None, "sun"), (None, "sun"), (2, None), (3, "a")]
+    for rows in (several, [(1, "Cat cat dog"), (2, "cat"), (3, None)]):
+        corpus = spark.createDataFrame(rows, schema)
+        want = text.tokens_word(corpus).select("doc_id", "word").distinct()
+        got = text.words_of_documents(corpus)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    # with one row per document no row is compared with another
+    assert "HashAggregate" not in got._jdf.queryExecution().executedPlan().toString()
