@@ -73,7 +73,10 @@ def main() -> None:
 
     def calc_metrics() -> None:
         wanted = ["coherence", "npmi", "w2v_l1"]
-        consume(metrics.calc_metrics(listed, given.LIST_SIZES, wanted, plain, cells, vectors))
+        built = given.built(spark, sf_dir)
+        consume(metrics.calc_metrics(
+            listed, given.LIST_SIZES, wanted, plain, built.tfidf_of(listed), vectors, metaword_universe=built.n_cells(),
+        ))
 
     def link_entities() -> None:
         links = given.links(spark, sf_dir)
